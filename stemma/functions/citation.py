@@ -1,75 +1,44 @@
-"""Bibliographic citation of a cleaned batch row as one expression."""
+"""Bibliographic citation of a cleaned batch row as one SQL expression.
+
+The expressions read the columns of `transform.clean_rows`: `kind` (lower-case
+publication type), `author_k`, `editor_k`, `title`, `year`, `journal`, `volume`,
+`issue`, `booktitle`, `publisher` and `pages`; missing values are NULL.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+PERIODICAL = "(contains(kind, 'issue') or contains(kind, 'article'))"
+LOOSE_PART = "(contains(kind, 'incollection') and journal is null or contains(kind, 'misc'))"
+# Types that name editors, and types that are part of a book.
+EDITED = f"((contains(kind, 'book') or {LOOSE_PART}) and not {PERIODICAL})"
+IN_BOOK = f"((contains(kind, 'book chapter') or {LOOSE_PART}) and not {PERIODICAL})"
 
 
-def _join(*names: str) -> Column:
-    return F.concat_ws("; ", *[F.col(n) for n in names])
+def _names(word: str, first: int = 1) -> str:
+    return ", ".join(f"{word}_{k}" for k in range(first, 11))
 
 
-def _after(lead: str, x: Column) -> Column:
+def _after(lead: str, x: str) -> str:
     """Lead text and value, nothing when the value is missing."""
-    return F.coalesce(F.concat(F.lit(lead), x), F.lit(""))
-
-
-def citation() -> Column:
-    """Citation text over columns cleaned by `transform.clean_rows`.
-
-    Needs `kind` (lower-case publication type), `author_k`, `editor_k`,
-    `title`, `year`, `journal`, `volume`, `issue`, `booktitle`, `publisher`
-    and `pages`, missing values being NULL.
-    """
-    kind = F.col("kind")
-    periodical = kind.contains("issue") | kind.contains("article")
-    edited = edited_kind()
-    year = F.concat(F.lit(" ("), F.coalesce("year", F.lit("")), F.lit(")."))
-    first_editor = F.coalesce("editor_1", F.lit(""))
-    several = F.col("editor_2").isNotNull()
-    editors = F.when(
-        several,
-        F.concat_ws("; ", first_editor, *[F.col(f"editor_{k}") for k in range(2, 11)])
-    ).otherwise(first_editor)
-
-    by = (
-        F.when(F.col("author_1").isNotNull(),
-               F.concat(_join(*[f"author_{k}" for k in range(1, 11)]), year))
-        .when(kind.contains("book"),
-              F.concat(editors, F.when(several, F.lit(" (eds)")).otherwise(F.lit(" (ed)")), year))
-        .otherwise(F.concat(F.lit("No author"), year))
-    )
-    number = F.when(F.col("volume").isNotNull(),
-                    F.coalesce(F.concat(F.lit("("), F.col("issue"), F.lit(")")), F.lit("")))
-    serial = F.concat(_after(" ", F.col("journal")), _after(", ", F.col("volume")),
-                      number.otherwise(_after(", ", F.col("issue"))))
-    inside = F.when(
-        edited & F.col("author_1").isNull() & F.col("editor_1").isNotNull(),
-        F.concat(F.lit(" In "), editors,
-                 F.when(several, F.lit(" (eds), ")).otherwise(F.lit(" (ed), ")))
-    ).otherwise(F.lit(""))
-    book = F.when(in_book_kind(), F.coalesce(F.concat(F.col("booktitle"), F.lit(".")), F.lit("")))
-    host = F.concat(inside, book.otherwise(F.lit("")), _after(" ", F.col("publisher")))
-    return F.trim(F.concat(
-        by, F.lit(" "), F.col("title"), F.lit("."),
-        F.when(periodical, serial).otherwise(host), _after(", ", F.col("pages"))))
-
-
-def periodical_kind() -> Column:
-    return F.col("kind").contains("issue") | F.col("kind").contains("article")
-
-
-def _loose_part() -> Column:
-    kind = F.col("kind")
-    return ((kind.contains("incollection") & F.col("journal").isNull())
-            | kind.contains("misc"))
-
-
-def edited_kind() -> Column:
-    """Types that name editors."""
-    return (F.col("kind").contains("book") | _loose_part()) & ~periodical_kind()
-
-
-def in_book_kind() -> Column:
-    """Types that are part of a book."""
-    return (F.col("kind").contains("book chapter") | _loose_part()) & ~periodical_kind()
+    return f"coalesce('{lead}' || {x}, '')"
+
+
+def citation() -> str:
+    editors = (f"if(editor_2 is null, coalesce(editor_1, ''), "
+               f"concat_ws('; ', coalesce(editor_1, ''), {_names('editor', 2)}))")
+
+    def marked(one: str, many: str) -> str:
+        return f"({editors} || if(editor_2 is null, '{one}', '{many}'))"
+
+    by = (f"case when author_1 is not null then concat_ws('; ', {_names('author')}) "
+          f"when contains(kind, 'book') then {marked(' (ed)', ' (eds)')} "
+          "else 'No author' end")
+    serial = " || ".join([
+        _after(" ", "journal"), _after(", ", "volume"),
+        f"if(volume is null, {_after(', ', 'issue')}, coalesce('(' || issue || ')', ''))"])
+    inside = (f"if({EDITED} and author_1 is null and editor_1 is not null, "
+              f"' In ' || {marked(' (ed), ', ' (eds), ')}, '')")
+    host = (f"{inside} || if({IN_BOOK}, coalesce(booktitle || '.', ''), '') || "
+            + _after(" ", "publisher"))
+    return (f"trim({by} || ' (' || coalesce(year, '') || '). ' || title || '.' || "
+            f"if({PERIODICAL}, {serial}, {host}) || {_after(', ', 'pages')})")

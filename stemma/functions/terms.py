@@ -1,68 +1,64 @@
-"""Expressions that build or classify URIs and class names."""
+"""URIs and class names as SQL expressions over SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from stemma import model as M
-from stemma.functions.text import last_segment
+from stemma.functions.text import last_segment, lit
+
+
+def first_hit(x: str, pairs: list[tuple[str, str]], default: str) -> str:
+    """Value of the first pair whose text occurs in `x`, else the default."""
+    whens = " ".join(f"when contains({x}, {lit(t)}) then {lit(v)}" for t, v in pairs)
+    return f"case {whens} else {default} end"
 
 
-def first_hit(x: Column, pairs: list[tuple], default) -> Column:
-    """Value of the first pair whose text occurs in `x`."""
-    out = None
-    for text, value in pairs:
-        hit = x.contains(text)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out.otherwise(default if isinstance(default, Column) else F.lit(default))
+def choose(x: str, values: dict[str, str]) -> str:
+    """Value listed for `x`, NULL when none is."""
+    whens = " ".join(f"when {lit(k)} then {lit(v)}" for k, v in values.items())
+    return f"case {x} {whens} end"
 
 
-def vocab_uri(label: Column, base: str = M.BASE) -> Column:
+def vocab_uri(label: str, base: str = M.BASE) -> str:
     """URI of a controlled-vocabulary term."""
-    low = F.lower(label)
-    plain = F.replace(low, F.lit(" "), F.lit("-"))
-    return F.concat(F.lit(base + "vocabularies/"),
-                    first_hit(low, M.SUBJECT_IDS, plain))
+    low = f"lower({label})"
+    return (f"concat({lit(base + 'vocabularies/')}, "
+            + first_hit(low, M.SUBJECT_IDS, f"replace({low}, ' ', '-')") + ")")
 
 
-def work_class(publication_type: Column) -> Column:
-    kind = F.lower(F.coalesce(publication_type, F.lit("")))
-    return first_hit(kind, M.CLASS_CASCADE, M.WORK)
+def work_class(publication_type: str) -> str:
+    return first_hit(f"lower(coalesce({publication_type}, ''))", M.CLASS_CASCADE, lit(M.WORK))
 
 
-def template_of(work_class_uri: Column) -> Column:
+def template_of(work_class_uri: str) -> str:
     """Template that describes a class; plain works use the report template."""
-    out = F.when(work_class_uri == M.WORK, F.lit("report"))
-    for template, uri in M.TEMPLATE_CLASSES.items():
-        out = out.when(work_class_uri == uri, F.lit(template))
-    return out
+    return choose(work_class_uri, {M.WORK: "report"} | {
+        c: t for t, c in M.TEMPLATE_CLASSES.items()})
 
 
-def uri_base(value: Column, base: str = M.BASE) -> Column:
+def uri_base(value: str, base: str = M.BASE) -> str:
     """Namespace that a submitted identifier belongs to."""
-    return (F.when(value.startswith("Q"), F.lit(M.WIKIDATA))
-            .when(value.rlike(r"^\p{Nd}+$"), F.lit(M.GEONAMES))
-            .when(value.startswith("http"), F.lit(""))
-            .otherwise(F.lit(base)))
+    return (f"case when startswith({value}, 'Q') then {lit(M.WIKIDATA)} "
+            f"when {value} rlike r'^\\p{{Nd}}+$' then {lit(M.GEONAMES)} "
+            f"when startswith({value}, 'http') then '' else {lit(base)} end")
 
 
-def short_uri(uri: Column) -> Column:
+def short_uri(uri: str) -> str:
     """Identifier only for external authority URIs, the full URI otherwise."""
-    external = uri.contains("wikidata") | uri.contains("geonames")
-    return F.when(external, last_segment(uri)).otherwise(uri)
+    return (f"if(contains({uri}, 'wikidata') or contains({uri}, 'geonames'), "
+            f"{last_segment(uri)}, {uri})")
 
 
-def minted_uri(kind: Column, label: Column, base: str = M.BASE) -> Column:
+def minted_uri(kind: str, label: str, base: str = M.BASE) -> str:
     """URI of a new entity: stable, so two runs and two tasks agree."""
-    return F.concat(F.lit(base), F.sha2(F.concat_ws("#", kind, label), 256))
+    return f"concat({lit(base)}, sha2(concat_ws('#', {kind}, {label}), 256))"
 
 
-def display_class(work_class_uri: Column) -> Column:
-    return first_hit(work_class_uri, M.DISPLAY_CLASSES, M.DEFAULT_DISPLAY_CLASS)
+def display_class(work_class_uri: str) -> str:
+    return first_hit(work_class_uri, M.DISPLAY_CLASSES, lit(M.DEFAULT_DISPLAY_CLASS))
 
 
-def slot_property(role: str, ordinal: Column, base: str = M.BASE) -> Column:
+def slot_property(role: str, ordinal: str, base: str = M.BASE) -> str:
     """Predicate of the k-th author or editor."""
-    words = F.array(*[F.lit(o) for o in M.ORDINALS])
-    return F.concat(F.lit(base), F.element_at(words, ordinal),
-                    F.lit(role.capitalize()))
+    words = ", ".join(lit(o) for o in M.ORDINALS)
+    return (f"concat({lit(base)}, element_at(array({words}), {ordinal}), "
+            f"{lit(role.capitalize())})")

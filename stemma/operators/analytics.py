@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stemma import model as M
+from stemma.functions.terms import choose
 from stemma.plans.catalog import Catalog, one_label
 
 
@@ -18,12 +19,8 @@ def counters(cat: Catalog, approximate: bool = False) -> DataFrame:
                "primary_subject": "n_topics", "subject": "n_topics"}
     names = ["n_authors", "n_publications", "n_languages", "n_publishers", "n_journals",
              "n_topics"]
-    role = F.col("role")
-    counter = None
-    for r, n in by_role.items():
-        counter = (F.when(role == r, F.lit(n)) if counter is None
-                   else counter.when(role == r, F.lit(n)))
-    things = cat.links_of(*by_role).select(counter.alias("counter"), F.col("target").alias("x"))
+    things = cat.links_of(*by_role).selectExpr(
+        f"{choose('role', by_role)} as counter", "target as x")
     articles = cat.types.filter(F.col("class") == M.ARTICLE).select("work")
     things = things.unionByName(
         cat.types.select(F.lit("n_publications").alias("counter"), F.col("work").alias("x"))
@@ -35,8 +32,7 @@ def counters(cat: Catalog, approximate: bool = False) -> DataFrame:
     else:
         counted = things.distinct().groupBy("counter").agg(F.count("*").alias("n"))
     return counted.agg(*[
-        F.coalesce(F.sum(F.when(F.col("counter") == n, F.col("n"))), F.lit(0)).alias(n)
-        for n in names])
+        F.expr(f"coalesce(sum(n) filter (where counter = '{n}'), 0)").alias(n) for n in names])
 
 
 def _year_labels(counts: DataFrame, cat: Catalog, by: str) -> DataFrame:
@@ -127,9 +123,9 @@ def work_properties(cat: Catalog) -> DataFrame:
     return links.unionByName(texts).unionByName(types)
 
 
-def property_value(prop: str) -> Column:
+def property_value(prop: str, name: str) -> Column:
     """Least value of a property inside a group of `work_properties`."""
-    return F.min(F.when(F.col("property") == prop, F.col("label")))
+    return F.expr(f"min(label) filter (where property = '{prop}')").alias(name)
 
 
 def export_wide(cat: Catalog) -> DataFrame:
@@ -138,7 +134,8 @@ def export_wide(cat: Catalog) -> DataFrame:
     A single aggregation of the long form by work replaces one outer join per
     column; missing values are '-', topics are the distinct primary subjects.
     """
-    topic = F.when(F.col("property") == M.PRIMARY_SUBJECT, F.col("label"))
+    topics = (f"array_join(array_sort(collect_set(label) filter "
+              f"(where property = '{M.PRIMARY_SUBJECT}')), '; ')")
     columns = {
         "type": M.RDF_TYPE, "citation": M.REFERENCED_BY, "title": M.DCT_TITLE,
         **{f"author{k}": p for k, p in enumerate(M.AUTHOR_PROPS, 1)},
@@ -149,16 +146,11 @@ def export_wide(cat: Catalog) -> DataFrame:
     }
     wide = (
         work_properties(cat).groupBy(F.col("work").alias("article_id"))
-        .agg(*[property_value(p).alias(c) for c, p in columns.items()],
-             F.array_join(F.array_sort(F.collect_set(topic)), "; ").alias("topic"))
+        .agg(*[property_value(p, c) for c, p in columns.items()],
+             F.expr(topics).alias("topic"))
         .filter("citation is not null and type is not null")
     )
-    shown = {
-        "type": F.replace("type", F.lit(M.FABIO), F.lit("")),
-        "language": F.lower(F.coalesce("language", F.lit("-"))),
-    }
-    plain = ("article_id", "citation", "topic")
-    return wide.select(*[
-        (shown.get(c) if c in shown else F.col(c) if c in plain
-         else F.coalesce(F.col(c), F.lit("-"))).alias(c)
-        for c in EXPORT_COLUMNS])
+    shown = {"type": f"replace(type, '{M.FABIO}')", "language": "lower(coalesce(language, '-'))",
+             "article_id": "article_id", "citation": "citation", "topic": "topic"}
+    return wide.selectExpr(*[
+        f"{shown.get(c, f"coalesce({c}, '-')")} as {c}" for c in EXPORT_COLUMNS])

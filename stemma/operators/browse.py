@@ -6,7 +6,7 @@ result covers all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from stemma import model as M
 from stemma.functions import terms, text as X
@@ -47,17 +47,14 @@ def records(cat: Catalog, work_class: str | None = None,
         .join(users.select(F.col("uri").alias("modifier"), F.col("label").alias("changed_by")),
               "modifier", "left")
     )
-    whole = F.col("title").isNotNull() & F.col("generated_at").isNotNull() \
-        & F.col("status").isNotNull()
+    def shown(x, name, alone="-"):
+        whole = "title is not null and generated_at is not null and status is not null"
+        return f"coalesce(if({whole}, {x}, null), '{alone}') as {name}"
 
-    def shown(x, alone="-"):
-        return F.coalesce(F.when(whole, x), F.lit(alone))
-
-    return rows.select(
-        "g", shown(F.col("title"), "none").alias("title"), shown(F.col("user")).alias("user"),
-        shown(F.when(F.col("user").isNotNull(), F.col("changed_by"))).alias("modifier"),
-        shown(F.col("generated_at")).alias("date"), shown(F.col("status")).alias("stage"),
-        "class").distinct()
+    return rows.selectExpr(
+        "g", shown("title", "title", "none"), shown("user", "user"),
+        shown("if(user is null, null, changed_by)", "modifier"),
+        shown("generated_at", "date"), shown("status", "stage"), "class").distinct()
 
 
 def records_page(cat: Catalog, page: int = 1, stage: str | None = None,
@@ -81,13 +78,11 @@ def stage_counts(cat: Catalog) -> DataFrame:
         F.col("status").isin(*M.STAGES) & (F.col("g") != M.VOCAB_GRAPH)
     ).groupBy("status").agg(F.countDistinct("g").alias("n"))
 
-    def n(stage):
-        return F.coalesce(F.sum(F.when(F.col("status") == stage, F.col("n"))), F.lit(0))
-
     return per_stage.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"),
-        n(M.NOT_MODIFIED).alias("n_not_modified"), n(M.MODIFIED).alias("n_modified"),
-        n(M.PUBLISHED).alias("n_published"))
+        F.expr("coalesce(sum(n), 0)").alias("n_all"),
+        *[F.expr(f"coalesce(sum(n) filter (where status = '{stage}'), 0)").alias(name)
+          for stage, name in ((M.NOT_MODIFIED, "n_not_modified"), (M.MODIFIED, "n_modified"),
+                              (M.PUBLISHED, "n_published"))])
 
 
 def _in_status(df: DataFrame, cat: Catalog, statuses: list[str]) -> DataFrame:
@@ -151,8 +146,8 @@ def record_fields(cat: Catalog, fields: DataFrame, graphs: DataFrame | None = No
         chosen(cat.state.filter("status is not null").select("g"))
         .join(cat.labels_of("graph").select(F.col("uri").alias("g")), "g", "left_semi")
     )
-    types = cat.types.join(complete, "g", "left_semi").select(
-        "work", "g", terms.template_of(F.col("class")).alias("template"))
+    types = cat.types.join(complete, "g", "left_semi").selectExpr(
+        "work", "g", f"{terms.template_of('class')} as template")
     shape = fields.select("template", "field_id", "property", "value_kind")
     texts = (
         cat.literals.join(types, ["work", "g"])
@@ -166,8 +161,8 @@ def record_fields(cat: Catalog, fields: DataFrame, graphs: DataFrame | None = No
         .join(shape.filter("value_kind <> 'Literal'"), ["template", "property"])
         .select("g", "template", "field_id", "target").distinct()
         .join(labels, "target")
-        .select("g", "template", "field_id", terms.short_uri(F.col("target")).alias("value"),
-                "label")
+        .selectExpr("g", "template", "field_id", f"{terms.short_uri('target')} as value",
+                    "label")
     )
     return texts.unionByName(linked).distinct()
 
@@ -184,10 +179,10 @@ def record_view(cat: Catalog, fields: DataFrame, graphs: DataFrame | None = None
         cat.state.groupBy("g").agg(F.min("status").alias("status")), "g")
     return (
         named.join(titles, "g", "left").join(head, "g")
-        .select("g", F.coalesce("title", F.lit("No title")).alias("title"),
-                terms.display_class(F.col("class")).alias("class_name"),
-                F.col("status").contains("modified").alias("is_draft"),
-                "field", "value", F.coalesce("label", "value").alias("label"))
+        .selectExpr("g", "coalesce(title, 'No title') as title",
+                    f"{terms.display_class('class')} as class_name",
+                    "contains(status, 'modified') as is_draft",
+                    "field", "value", "coalesce(label, value) as label")
         .distinct()
     )
 
@@ -204,7 +199,7 @@ def describe(quads: DataFrame, names: DataFrame, base: str = M.BASE) -> DataFram
     found = exact.join(objects, "uri", "left_semi")
     ending = (
         objects.filter(F.col("uri").startswith(base))
-        .withColumn("name", X.last_segment(F.col("uri")))
+        .selectExpr("*", f"{X.last_segment('uri')} as name")
         .join(exact.join(objects, "uri", "left_anti").select("name"), "name", "left_semi")
     )
     subjects = found.select("name", "uri").unionByName(ending.select("name", "uri"))
@@ -318,7 +313,7 @@ def data_profile(cat: Catalog) -> DataFrame:
     used = typed.groupBy("class", "property").agg(
         F.countDistinct("work").alias("n_works"), F.countDistinct("value").alias("n_values"))
     totals = cat.types.groupBy("class").agg(F.countDistinct("work").alias("n_class"))
-    return used.join(totals, "class").select(
-        "class", "property", X.readable_name(F.col("class")).alias("class_name"),
-        X.readable_name(F.col("property")).alias("property_name"), "n_works", "n_values",
-        (F.col("n_works") / F.col("n_class")).alias("fill_rate"))
+    return used.join(totals, "class").selectExpr(
+        "class", "property", f"{X.readable_name('class')} as class_name",
+        f"{X.readable_name('property')} as property_name", "n_works", "n_values",
+        "n_works / n_class as fill_rate")

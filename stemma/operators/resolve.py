@@ -65,13 +65,10 @@ def entities(cat: Catalog) -> DataFrame:
 
 def batch_names(batch: DataFrame) -> DataFrame:
     """Trimmed names of a batch as distinct (kind, label)."""
-    def column(kind, name):
-        return F.struct(F.lit(kind).alias("kind"), X.cell(F.col(name)).alias("label"))
-
-    slots = [column("people", f"{w}_{k}") for w in ("author", "editor") for k in range(1, 11)]
-    slots += [column("journals", "journal"), column("publishers", "publisher"),
-              column("books", "booktitle")]
-    return (batch.select(F.explode(F.array(*slots)).alias("n")).select("n.kind", "n.label")
+    columns = [("people", f"{w}_{k}") for w in ("author", "editor") for k in range(1, 11)]
+    columns += [("journals", "journal"), ("publishers", "publisher"), ("books", "booktitle")]
+    slots = [f"named_struct('kind', '{kind}', 'label', {X.cell(c)})" for kind, c in columns]
+    return (batch.selectExpr(f"inline(array({', '.join(slots)}))")
             .filter("label is not null").distinct())
 
 
@@ -88,6 +85,5 @@ def match_entities(names: DataFrame, known: DataFrame) -> DataFrame:
 
 def mint_uris(matched: DataFrame, base: str = M.BASE) -> DataFrame:
     """New names with the URI they get."""
-    return matched.filter("status = 'NEW'").select(
-        "kind", "label",
-        terms.minted_uri(F.col("kind"), F.col("label"), base).alias("uri"))
+    return matched.filter("status = 'NEW'").selectExpr(
+        "kind", "label", f"{terms.minted_uri('kind', 'label', base)} as uri")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from stemma import model as M
 from stemma.functions import terms
+from stemma.functions.text import lit
 from stemma.operators.analytics import property_value, work_properties
 from stemma.plans.catalog import Catalog
 
@@ -26,26 +27,24 @@ def to_ris(cat: Catalog, database_name: str = "Catalogue",
         "language": M.DCT_LANGUAGE, "link": M.URL}
     wide = (
         work_properties(cat).groupBy("work")
-        .agg(property_value(M.RDF_TYPE).alias("class"),
-             *[property_value(p).alias(c) for c, p in tags.items()])
+        .agg(property_value(M.RDF_TYPE, "class"),
+             *[property_value(p, c) for c, p in tags.items()])
         .filter("class is not null")
-        .withColumn("template", terms.template_of(F.col("class")))
+        .selectExpr("*", f"{terms.template_of('class')} as template")
+        .selectExpr("*", f"coalesce({terms.choose('template', M.RIS_TYPES)}, 'JOUR') as kind")
     )
-    kind = F.coalesce(F.element_at(F.create_map(
-        *[F.lit(v) for kv in M.RIS_TYPES.items() for v in kv]), F.col("template")), F.lit("JOUR"))
 
-    def line(tag: str | Column, name: str) -> Column:
-        tag = F.lit(tag + " - ") if isinstance(tag, str) else tag
-        fits = F.col("template").isin(*holders.get(tags[name], [""]))
-        return F.when(fits, F.concat(tag, F.col(name)))
+    def line(tag: str, name: str) -> str:
+        fits = ", ".join(lit(t) for t in holders.get(tags[name], [""]))
+        return f"if(template in ({fits}), {tag} || {name}, null)"
 
-    host_tag = F.when(kind == "CHAP", F.lit("J2 - ")).otherwise(F.lit("JO - "))
+    simple = {"PY": "year", "DO": "doi", "IS": "issue", "TI": "title", "JO": "host",
+              "VL": "volume", "PB": "publisher", "LA": "language", "L2": "link"}
+    host_tag = "if(kind = 'CHAP', 'J2 - ', 'JO - ')"
     lines = [
-        F.concat(F.lit("TY - "), kind),
-        *[line("AU", f"author{k}") for k in range(1, 11)],
-        line("PY", "year"), line("DO", "doi"), line("IS", "issue"), line("TI", "title"),
-        line(host_tag, "host"), line("VL", "volume"), line("PB", "publisher"),
-        line("LA", "language"), line("L2", "link"),
-        F.lit("DP - " + database_name), F.lit("ER  - "),
+        "'TY - ' || kind", *[line("'AU - '", f"author{k}") for k in range(1, 11)],
+        *[line(host_tag if tag == "JO" else f"'{tag} - '", name)
+          for tag, name in simple.items()],
+        lit("DP - " + database_name), "'ER  - '",
     ]
-    return wide.select("work", F.concat_ws("\n", *lines).alias("ris"))
+    return wide.selectExpr("work", f"concat_ws('\\n', {', '.join(lines)}) as ris")

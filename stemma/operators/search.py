@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from stemma import model as M
 from stemma.functions import text as X
@@ -23,59 +23,58 @@ from stemma.plans.skew import HOT_ROWS, hot_keys, salted_join
 
 # ---- one query -----------------------------------------------------------
 
-def _query_tokens(query: str) -> Column:
+def _query_tokens(query: str) -> str:
     words = re.findall(r"[^\W_]+", query.lower())
-    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    return "cast(array({}) as array<string>)".format(", ".join(f"'{w}'" for w in words))
 
 
-def has_all_tokens(text_tokens: Column, query: Column, last_prefix: bool) -> Column:
+def has_all_tokens(toks: str, query: str, last_prefix: bool) -> str:
     """True when every query token is a text token (the last may be a prefix)."""
-    n = F.size(query)
-    full = F.slice(query, 1, F.greatest(n - 1, F.lit(0))) if last_prefix else query
-    ok = (n > 0) & (F.size(F.array_except(full, text_tokens)) == 0)
-    if last_prefix:
-        ok = ok & F.exists(text_tokens, lambda t: t.startswith(F.element_at(query, -1)))
-    return ok
+    if not last_prefix:
+        return f"size({query}) > 0 and size(array_except({query}, {toks})) = 0"
+    full = f"slice({query}, 1, greatest(size({query}) - 1, 0))"
+    return (f"size({query}) > 0 and size(array_except({full}, {toks})) = 0 "
+            f"and exists({toks}, t -> startswith(t, element_at({query}, -1)))")
 
 
-def relevance(text_tokens: Column, query: Column, last_prefix: bool) -> Column:
+def relevance(toks: str, query: str, last_prefix: bool) -> str:
     """Share of distinct text tokens that the query hits."""
-    distinct = F.array_distinct(text_tokens)
+    hit = f"array_intersect({toks}, {query})"
     if last_prefix:
-        hit = F.filter(distinct, lambda t: F.array_contains(query, t)
-                       | t.startswith(F.element_at(query, -1)))
-    else:
-        hit = F.array_intersect(distinct, query)
-    return F.size(hit) / F.size(distinct)
+        hit = (f"filter(array_distinct({toks}), t -> array_contains({query}, t) "
+               f"or startswith(t, element_at({query}, -1)))")
+    return f"size({hit}) / size(array_distinct({toks}))"
 
 
 def search_title(cat: Catalog, query: str) -> DataFrame:
     """(work, title) of titles with all tokens, the last one as a prefix."""
-    titles = cat.literal(M.DCT_TITLE).select("work", F.col("value").alias("title"))
-    hit = has_all_tokens(X.tokens(F.col("title")), _query_tokens(query), True)
-    return titles.filter(hit).distinct()
+    titles = cat.literal(M.DCT_TITLE).selectExpr(
+        "work", "value as title", f"{X.tokens('value')} as toks")
+    hit = has_all_tokens("toks", _query_tokens(query), True)
+    return titles.filter(hit).select("work", "title").distinct()
 
 
 def search_label(cat: Catalog, query: str, roles: list[str],
                  min_relevance: float = 0.5) -> DataFrame:
     """(work, label) of works linking by `roles` to a label with all tokens."""
     kinds = sorted({M.LABEL_KINDS.get(r, r) for r in roles})
-    toks, q = X.tokens(F.col("label")), _query_tokens(query)
-    hits = cat.labels_of(*kinds).filter(
-        has_all_tokens(toks, q, False) & (relevance(toks, q, False) >= min_relevance)).distinct()
-    return (cat.links_of(*roles).select("work", F.col("target").alias("uri")).distinct()
+    q = _query_tokens(query)
+    hits = cat.labels_of(*kinds).selectExpr("uri", "label", f"{X.tokens('label')} as toks").filter(
+        f"{has_all_tokens('toks', q, False)} and "
+        f"{relevance('toks', q, False)} >= {min_relevance}").select("uri", "label").distinct()
+    return (cat.links_of(*roles).select("work", F.col("target").alias("uri"))
             .join(hits, "uri").select("work", "label").distinct())
 
 
-def checkbox_uris(value: Column) -> Column:
+def checkbox_uris(value: str) -> str:
     """URIs of a submitted choice 'uri,uri,…,label'; ', ' belongs to the label."""
-    parts = F.split(value, r",(?!\s)")
-    return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    parts = f"split({value}, r',(?!\\s)')"
+    return f"slice({parts}, 1, greatest(size({parts}) - 1, 0))"
 
 
 def filter_checkbox(cat: Catalog, role: str, choices: DataFrame) -> DataFrame:
     """Works linked by `role` to any URI of the choices (column value)."""
-    uris = choices.select(F.explode(checkbox_uris(F.col("value"))).alias("target")).distinct()
+    uris = choices.selectExpr(f"explode({checkbox_uris('value')}) as target").distinct()
     return cat.links_of(role).join(uris, "target", "left_semi").select("work").distinct()
 
 
@@ -133,10 +132,9 @@ def advanced_search(cat: Catalog, criteria: dict[str, str]) -> DataFrame:
     dois = cat.literal(M.DOI).select("work", F.col("value").alias("doi"))
     return (
         rows.join(cited, "work").join(years, "work").join(dois, "work", "left")
-        .select(X.camel_words(X.last_segment(F.col("class"))).alias("worktype"), "citation",
-                X.last_segment(F.col("year_uri")).alias("year"),
-                X.last_segment(F.col("work")).alias("workid"),
-                F.coalesce("doi", F.lit("")).alias("doi"))
+        .selectExpr(f"{X.camel_words(X.last_segment('class'))} as worktype", "citation",
+                    f"{X.last_segment('year_uri')} as year", f"{X.last_segment('work')} as workid",
+                    "coalesce(doi, '') as doi")
         .distinct().orderBy("year", "citation", "worktype", "workid")
     )
 
@@ -152,38 +150,33 @@ def match_labels(queries: DataFrame, labels: DataFrame, last_prefix: bool = Fals
     query of one unfinished token first becomes the known tokens that start
     with it.
     """
-    texts = labels.select("label").distinct().select(
-        "label", F.xxhash64("label").alias("id"),
-        F.array_distinct(X.tokens(F.col("label"))).alias("toks"))
+    texts = labels.select("label").distinct().selectExpr(
+        "label", "xxhash64(label) as id", f"array_distinct({X.tokens('label')}) as toks")
     # Postings carry a hash instead of the text. Should two texts share it, both
     # come back as candidates and are checked like any other.
     postings = texts.select("id", F.explode("toks").alias("token"))
     freq = postings.groupBy("token").agg(F.count("*").alias("df"))
-    asked = queries.select("query").distinct().withColumn(
-        "q", X.tokens(F.col("query"))).filter(F.size("q") > 0)
-    usable = F.slice("q", 1, F.size("q") - 1) if last_prefix else F.col("q")
-    full = asked.select("query", "q", F.explode(F.array_distinct(usable)).alias("token"))
+    asked = queries.select("query").distinct().selectExpr(
+        "query", f"{X.tokens('query')} as q").filter("size(q) > 0")
+    usable = "slice(q, 1, size(q) - 1)" if last_prefix else "q"
+    full = asked.selectExpr("query", "q", f"explode(array_distinct({usable})) as token")
     # A token nobody has leaves its query without a result: it is the rarest.
     driver = (
         full.join(freq, "token", "left").groupBy("query", "q")
-        .agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), F.col("token")))
-             .alias("token"))
+        .agg(F.expr("min_by(token, struct(coalesce(df, 0), token))").alias("token"))
     )
     if last_prefix:
         # Vocabulary and typed prefix meet on the prefix itself.
-        single = asked.filter(F.size("q") == 1).select("query", "q", F.col("q")[0].alias("prefix"))
-        starts = freq.select("token", F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("token")),
-            lambda n: F.col("token").substr(F.lit(1), n))).alias("prefix"))
+        single = asked.filter("size(q) = 1").selectExpr("query", "q", "q[0] as prefix")
+        starts = freq.selectExpr(
+            "token", "explode(transform(sequence(1, length(token)), n -> left(token, n))) as prefix")
         driver = driver.unionByName(
             starts.join(single, "prefix").select("query", "q", "token"))
     hot = hot_keys(postings, "token", hot_rows)
     pairs = salted_join(postings, driver, "token", ["id"], hot).select(
         "id", "query", "q").distinct().join(texts, "id")
-    ok = has_all_tokens(F.col("toks"), F.col("q"), last_prefix)
-    return (pairs.filter(ok)
-            .select("query", "label",
-                    relevance(F.col("toks"), F.col("q"), last_prefix).alias("score")))
+    return pairs.filter(has_all_tokens("toks", "q", last_prefix)).selectExpr(
+        "query", "label", f"{relevance('toks', 'q', last_prefix)} as score")
 
 
 def label_search(queries: DataFrame, labels: DataFrame, last_prefix: bool = False,
@@ -234,16 +227,16 @@ def link_mentions(texts: DataFrame, labels: DataFrame, max_words: int = 4) -> Da
     are made distinct inside the document; only those that could be a label's
     words go into the join.
     """
-    names = labels.select("uri", "label").distinct().withColumn(
-        "words", X.tokens(F.col("label"))).filter(F.size("words").between(1, max_words))
-    keys = names.select("uri", "label", F.array_join("words", " ").alias("gram"))
-    toks = texts.select("doc", X.tokens(F.col("text")).alias("toks"))
-
-    def grams(n: int) -> Column:
-        starts = F.when(F.size("toks") >= n, F.sequence(F.lit(1), F.size("toks") - n + 1)
-                        ).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("toks", i, n), " "))
-
-    found = toks.select("doc", F.explode(F.array_distinct(F.flatten(F.array(
-        *[grams(n) for n in range(1, max_words + 1)])))).alias("gram"))
+    keys = labels.select("uri", "label").distinct().selectExpr(
+        "uri", "label", f"{X.tokens('label')} as words").filter(
+        f"size(words) between 1 and {max_words}").selectExpr(
+        "uri", "label", "array_join(words, ' ') as gram")
+    toks = texts.selectExpr("doc", f"{X.tokens('text')} as toks")
+
+    def grams(n: int) -> str:
+        starts = f"if(size(toks) >= {n}, sequence(1, size(toks) - {n - 1}), array())"
+        return f"transform({starts}, i -> array_join(slice(toks, i, {n}), ' '))"
+
+    runs = ", ".join(grams(n) for n in range(1, max_words + 1))
+    found = toks.selectExpr("doc", f"explode(array_distinct(flatten(array({runs})))) as gram")
     return found.join(keys, "gram").select("doc", "uri", "label").distinct()

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stemma import model as M
 from stemma.functions import terms, text as X
-from stemma.functions.citation import citation, edited_kind, in_book_kind, periodical_kind
+from stemma.functions.citation import EDITED, IN_BOOK, PERIODICAL, citation
+from stemma.functions.text import lit
+
+PEOPLE = [f"{w}_{k}" for w in ("author", "editor") for k in range(1, 11)]
+NO_ISSUE = "not contains(kind, 'issue')"
+ET_AL = f"author_5 is not null and {NO_ISSUE}"
 
 
 def clean_rows(batch: DataFrame, id_column: str | None = None, base: str = M.BASE,
@@ -19,28 +24,28 @@ def clean_rows(batch: DataFrame, id_column: str | None = None, base: str = M.BAS
     present = {c.lower(): c for c in batch.columns}
 
     def get(name):
-        col = F.col(f"`{present[name]}`") if name in present else F.lit(None).cast("string")
-        return X.cell(col)
-
-    row_id = (F.col(id_column) if id_column else F.sha2(F.to_json(F.struct(
-        *[get(c).alias(c) for c in M.BATCH_COLUMNS])), 256))
-    number = [(n, X.norm_number(get(n), strict_reference)) for n in ("volume", "issue", "pages")]
-    rows = batch.select(
-        F.concat(F.lit(base), row_id).alias("work"),
-        F.lower(F.coalesce(get("publication type"), F.lit(""))).alias("kind"),
-        terms.work_class(get("publication type")).alias("class"),
-        X.norm_title(get("title")).alias("title"),
-        *[get(f"{w}_{k}").alias(f"{w}_{k}") for w in ("author", "editor") for k in range(1, 11)],
-        get("journal").alias("journal"), *[v.alias(n) for n, v in number],
-        X.norm_year(get("year")).alias("year"),
-        X.split_themes(get("main_theme"), strict_reference).alias("main_theme"),
-        X.split_themes(get("secondary_theme"), strict_reference).alias("secondary_theme"),
-        get("lang").alias("lang"), X.norm_link(get("link")).alias("link"),
-        X.norm_doi(get("doi"), strict_reference).alias("doi"),
-        get("booktitle").alias("booktitle"), get("publisher").alias("publisher"),
+        if name not in present:
+            return "cast(null as string)"
+        return X.cell(f"`{present[name]}`")
+
+    row_id = id_column or "sha2(to_json(array({})), 256)".format(
+        ", ".join(get(c) for c in M.BATCH_COLUMNS))
+    rows = batch.selectExpr(
+        f"concat({lit(base)}, {row_id}) as work",
+        f"lower(coalesce({get('publication type')}, '')) as kind",
+        f"{terms.work_class(get('publication type'))} as class",
+        f"{X.norm_title(get('title'))} as title",
+        *[f"{get(c)} as {c}" for c in PEOPLE],
+        *[f"{X.norm_number(get(n), strict_reference)} as {n}"
+          for n in ("volume", "issue", "pages")],
+        *[f"{get(c)} as {c}" for c in ("journal", "lang", "booktitle", "publisher")],
+        f"{X.norm_year(get('year'))} as year",
+        f"{X.split_themes(get('main_theme'), strict_reference)} as main_theme",
+        f"{X.split_themes(get('secondary_theme'), strict_reference)} as secondary_theme",
+        f"{X.norm_link(get('link'))} as link",
+        f"{X.norm_doi(get('doi'), strict_reference)} as doi",
     ).filter("title is not null")
-    return rows.select("*", F.concat("work", F.lit("/")).alias("g"),
-                       citation().alias("citation"))
+    return rows.selectExpr("*", "concat(work, '/') as g", f"{citation()} as citation")
 
 
 def name_slots(rows: DataFrame) -> DataFrame:
@@ -48,30 +53,24 @@ def name_slots(rows: DataFrame) -> DataFrame:
 
     Journal issues have no authors; editors need a first editor and a type that
     is edited; the container is a journal or a book by type; periodicals have
-    no publisher. One `explode`, no join.
+    no publisher. One `inline`, no join.
     """
-    issue = F.col("kind").contains("issue")
-
     def slot(kind, role, ordinal, prop, name, when):
-        return F.struct(
-            F.lit(kind).alias("name_kind"), F.lit(role).alias("role"),
-            F.lit(ordinal).cast("int").alias("ordinal"), F.lit(prop).alias("property"),
-            F.when(when, F.col(name)).alias("label"))
+        return (f"named_struct('kind', '{kind}', 'role', '{role}', 'ordinal', "
+                f"cast({ordinal} as int), 'property', {lit(prop)}, "
+                f"'label', if({when}, {name}, null))")
 
-    edited = edited_kind() & F.col("editor_1").isNotNull()
-    slots = [slot("people", "author", k, p, f"author_{k}", ~issue)
+    edited = f"{EDITED} and editor_1 is not null"
+    slots = [slot("people", "author", k, p, f"author_{k}", NO_ISSUE)
              for k, p in enumerate(M.AUTHOR_PROPS, 1)]
     slots += [slot("people", "editor", k, p, f"editor_{k}", edited)
               for k, p in enumerate(M.EDITOR_PROPS, 1)]
-    slots += [slot("journals", "container", None, M.PART_OF, "journal", periodical_kind()),
-              slot("books", "container", None, M.PART_OF, "booktitle", in_book_kind()),
-              slot("publishers", "publisher", None, M.DCT_PUBLISHER, "publisher",
-                   ~periodical_kind())]
-    return (
-        rows.select("g", "work", F.inline(F.array(*slots)))
-        .filter("label is not null")
-        .withColumnRenamed("name_kind", "kind")
-    )
+    slots += [slot("journals", "container", "null", M.PART_OF, "journal", PERIODICAL),
+              slot("books", "container", "null", M.PART_OF, "booktitle", IN_BOOK),
+              slot("publishers", "publisher", "null", M.DCT_PUBLISHER, "publisher",
+                   f"not {PERIODICAL}")]
+    named = rows.selectExpr("g", "work", f"inline(array({', '.join(slots)}))")
+    return named.filter("label is not null")
 
 
 def resolve_slots(slots: DataFrame, matches: DataFrame, base: str = M.BASE) -> DataFrame:
@@ -81,20 +80,27 @@ def resolve_slots(slots: DataFrame, matches: DataFrame, base: str = M.BASE) -> D
     an expression.
     """
     hit = matches.filter("uri is not null").select("kind", "label", "uri")
-    return slots.join(hit, ["kind", "label"], "left").withColumn(
-        "target", F.coalesce("uri", terms.minted_uri(F.col("kind"), F.col("label"), base))
-    ).drop("uri")
+    return slots.join(hit, ["kind", "label"], "left").selectExpr(
+        "g", "work", "kind", "role", "ordinal", "property", "label",
+        f"coalesce(uri, {terms.minted_uri('kind', 'label', base)}) as target")
 
 
-def _fact(s, p, o, kind="literal", o_type=None) -> Column:
-    return F.struct(s.alias("s"), F.lit(p).alias("p") if isinstance(p, str) else p.alias("p"),
-                    o.alias("o"), F.lit(kind).alias("o_kind"),
-                    F.lit(o_type).cast("string").alias("o_type"))
+def quad_fact(s: str, p: str, o: str, kind: str = "literal", o_type: str | None = None) -> str:
+    """Struct of one quad; s and o are expressions, p a URI or a column name."""
+    prop = lit(p) if ":" in p else p
+    o_type = lit(o_type) if o_type else "cast(null as string)"
+    return f"named_struct('s', {s}, 'p', {prop}, 'o', {o}, 'o_kind', '{kind}', 'o_type', {o_type})"
 
 
-def _facts(df: DataFrame, facts: list[Column]) -> DataFrame:
-    return (df.select("g", F.inline(F.array(*facts))).filter("o is not null and s is not null")
-            .select(*M.QUAD_COLUMNS))
+def quad_facts(df: DataFrame, facts: list[str]) -> DataFrame:
+    """Quads of each row of `df`, those with a missing end left out."""
+    out = df.selectExpr("g", f"inline(array({', '.join(facts)}))")
+    return out.filter("o is not null and s is not null").select(*M.QUAD_COLUMNS)
+
+
+def _name_quads(resolved: DataFrame) -> DataFrame:
+    return quad_facts(resolved, [quad_fact("work", "property", "target", "uri"),
+                             quad_fact("target", M.RDFS_LABEL, "label")])
 
 
 def row_authors(resolved: DataFrame) -> DataFrame:
@@ -114,84 +120,69 @@ def row_publisher(resolved: DataFrame) -> DataFrame:
     return _name_quads(resolved.filter("role = 'publisher'"))
 
 
-def _name_quads(resolved: DataFrame) -> DataFrame:
-    return _facts(resolved, [
-        _fact(F.col("work"), F.col("property"), F.col("target"), "uri"),
-        _fact(F.col("target"), M.RDFS_LABEL, F.col("label"))])
-
-
 def row_et_al(rows: DataFrame) -> DataFrame:
     """'et al.' marker of works with a fifth author."""
-    five = F.col("author_5").isNotNull() & ~F.col("kind").contains("issue")
-    return _facts(rows.filter(five), _et_al_facts(F.lit(True)))
+    return quad_facts(rows, _et_al_facts())
 
 
-def _et_al_facts(when: Column) -> list[Column]:
-    uri = F.when(when, F.lit(M.ET_AL))
-    return [_fact(F.col("work"), M.OTHER_AUTHORS, uri, "uri"),
-            _fact(uri, M.RDFS_LABEL, F.lit("et al."))]
+def _et_al_facts() -> list[str]:
+    uri = f"if({ET_AL}, {lit(M.ET_AL)}, null)"
+    return [quad_fact("work", M.OTHER_AUTHORS, uri, "uri"), quad_fact(uri, M.RDFS_LABEL, "'et al.'")]
 
 
 def row_subjects(rows: DataFrame, base: str = M.BASE) -> DataFrame:
     """Primary and secondary subject quads, one pair per theme."""
     def themes(column, prop):
-        return F.transform(
-            F.coalesce(F.col(column), F.array().cast("array<string>")),
-            lambda t: F.struct(F.lit(prop).alias("property"), t.alias("label")))
+        return (f"transform(coalesce({column}, cast(array() as array<string>)), "
+                f"t -> named_struct('property', {lit(prop)}, 'label', t))")
 
-    long = rows.select("g", "work", F.inline(F.concat(
-        themes("main_theme", M.PRIMARY_SUBJECT), themes("secondary_theme", M.SUBJECT))))
-    named = long.withColumn("target", terms.vocab_uri(F.col("label"), base))
-    return _name_quads(named)
+    long = rows.selectExpr("g", "work", "inline(concat({}, {}))".format(
+        themes("main_theme", M.PRIMARY_SUBJECT), themes("secondary_theme", M.SUBJECT)))
+    return _name_quads(long.selectExpr("*", f"{terms.vocab_uri('label', base)} as target"))
 
 
-def _language_facts(base: str) -> list[Column]:
-    uri = terms.vocab_uri(F.col("lang"), base)
-    return [_fact(F.col("work"), M.DCT_LANGUAGE, uri, "uri"),
-            _fact(uri, M.RDFS_LABEL, F.lower("lang"))]
+def _language_facts(base: str) -> list[str]:
+    uri = terms.vocab_uri("lang", base)
+    return [quad_fact("work", M.DCT_LANGUAGE, uri, "uri"), quad_fact(uri, M.RDFS_LABEL, "lower(lang)")]
 
 
 def row_language(rows: DataFrame, base: str = M.BASE) -> DataFrame:
-    return _facts(rows, _language_facts(base))
+    return quad_facts(rows, _language_facts(base))
 
 
-def _scalar_facts(base: str) -> list[Column]:
-    work, year = F.col("work"), F.concat(F.lit(base + "vocabularies/"), F.col("year"))
-    facts = [_fact(work, M.RDF_TYPE, F.col("class"), "uri"),
-             _fact(work, M.DCT_TITLE, F.col("title")),
-             _fact(work, M.RDFS_LABEL, F.col("title")),
-             _fact(work, M.PUBLICATION_DATE, year, "uri"),
-             _fact(year, M.RDFS_LABEL, F.col("year")),
-             _fact(work, M.URL, F.col("link")), _fact(work, M.DOI, F.col("doi")),
-             _fact(work, M.PAGES, F.col("pages")),
-             _fact(work, M.REFERENCED_BY, F.col("citation"))]
-    serial = periodical_kind()
-    return facts + [_fact(work, M.VOLUME, F.when(serial, F.col("volume"))),
-                    _fact(work, M.ISSUE, F.when(serial, F.col("issue")))]
+def _scalar_facts(base: str) -> list[str]:
+    year = f"concat({lit(base + 'vocabularies/')}, year)"
+    texts = {M.DCT_TITLE: "title", M.RDFS_LABEL: "title", M.URL: "link", M.DOI: "doi",
+             M.PAGES: "pages", M.REFERENCED_BY: "citation",
+             M.VOLUME: f"if({PERIODICAL}, volume, null)",
+             M.ISSUE: f"if({PERIODICAL}, issue, null)"}
+    return [quad_fact("work", M.RDF_TYPE, "class", "uri"),
+            quad_fact("work", M.PUBLICATION_DATE, year, "uri"), quad_fact(year, M.RDFS_LABEL, "year"),
+            *[quad_fact("work", p, x) for p, x in texts.items()]]
 
 
 def row_scalars(rows: DataFrame, base: str = M.BASE) -> DataFrame:
     """Class, title, year, link, DOI, volume, issue, pages, citation."""
-    return _facts(rows, _scalar_facts(base))
+    return quad_facts(rows, _scalar_facts(base))
 
 
-def _provenance_facts(creator: str, moment: Column, base: str) -> list[Column]:
-    g, user = F.col("g"), F.concat(F.lit(base), X.encode_user(F.lit(creator)))
-    return [_fact(g, M.RDFS_LABEL, F.col("citation")),
-            _fact(g, M.ATTRIBUTED_TO, user, "uri"),
-            _fact(user, M.RDFS_LABEL, F.lit(creator)),
-            _fact(g, M.GENERATED_AT, moment, "literal", M.XSD_DATETIME),
-            _fact(g, M.STATUS, F.lit(M.PUBLISHED))]
+def moment_text(generated_at: str | None) -> str:
+    """Given moment, or the time of the run, as text."""
+    return (lit(generated_at) if generated_at
+            else "date_format(current_timestamp(), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")")
 
 
-def moment_text(generated_at: str | None) -> Column:
-    return (F.lit(generated_at) if generated_at
-            else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+def _provenance_facts(creator: str, moment: str, base: str) -> list[str]:
+    user = f"concat({lit(base)}, {X.encode_user(lit(creator))})"
+    return [quad_fact("g", M.RDFS_LABEL, "citation"), quad_fact("g", M.ATTRIBUTED_TO, user, "uri"),
+            quad_fact(user, M.RDFS_LABEL, lit(creator)),
+            quad_fact("g", M.GENERATED_AT, moment, "literal", M.XSD_DATETIME),
+            quad_fact("g", M.STATUS, lit(M.PUBLISHED))]
 
 
 def row_provenance(rows: DataFrame, creator: str, generated_at: str | None = None,
                    base: str = M.BASE) -> DataFrame:
-    return _facts(rows, _provenance_facts(creator, moment_text(generated_at), base))
+    return quad_facts(rows, _provenance_facts(creator, moment_text(generated_at), base))
 
 
 def rows_to_quads(batch: DataFrame, matches: DataFrame, creator: str,
@@ -203,8 +194,7 @@ def rows_to_quads(batch: DataFrame, matches: DataFrame, creator: str,
     join with the matches, whatever the number of slots.
     """
     rows = clean_rows(batch, id_column, base, strict_reference)
-    five = F.col("author_5").isNotNull() & ~F.col("kind").contains("issue")
-    plain = _facts(rows, _scalar_facts(base) + _language_facts(base) + _et_al_facts(five)
+    plain = quad_facts(rows, _scalar_facts(base) + _language_facts(base) + _et_al_facts()
                    + _provenance_facts(creator, moment_text(generated_at), base))
     names = _name_quads(resolve_slots(name_slots(rows), matches, base))
     return plain.unionByName(names).unionByName(row_subjects(rows, base)).distinct()
@@ -215,82 +205,73 @@ def form_to_quads(submissions: DataFrame, fields: DataFrame, creators: DataFrame
     """Form submissions with their template's fields turned into quads.
 
     `submissions`: record_id, template, stage, user, fields (map of text).
-    `fields`: template fields; for single choices `vocabulary` (map uri→label)
-    may be given as a column. `creators`: (g, creator, creator_label) of stored
+    `fields`: template fields, with a column `values` (map uri→label) where a
+    field is a single choice. `creators`: (g, creator, creator_label) of stored
     records, carried over when a record is modified or published.
     """
-    names = ["template", "class", "field_id", "property", "field_type", "value_kind",
-             "disambiguate"]
     if "values" not in fields.columns:
         fields = fields.withColumn("values", F.lit(None).cast("map<string,string>"))
-    sub = submissions.select(
-        "template", "stage", "user",
-        F.concat(F.lit(base), "record_id").alias("work"),
-        F.concat(F.lit(base), "record_id", F.lit("/")).alias("g"), "fields")
-    entries = sub.select("*", F.explode("fields").alias("key", "value")).drop("fields")
-    by_id = entries.withColumn("field_id", F.col("key"))
+    sub = submissions.selectExpr(
+        "template", "stage", "user", f"concat({lit(base)}, record_id) as work",
+        f"concat({lit(base)}, record_id, '/') as g", "fields")
+    entries = sub.selectExpr("template", "stage", "work", "g",
+                             "explode(fields) as (key, value)")
+    by_id = entries.withColumnRenamed("key", "field_id")
     # A multi-value key is 'field-suffix'; the field id itself may hold dashes.
-    split_at = F.transform(
-        F.filter(F.sequence(F.lit(1), F.length("key")),
-                 lambda i: F.col("key").substr(i, F.lit(1)) == "-"),
-        lambda i: F.col("key").substr(F.lit(1), i - 1))
-    by_prefix = entries.withColumn("field_id", F.explode(split_at))
-    known = fields.select(*names, "values")
+    prefixes = ("transform(filter(sequence(1, length(key)), i -> substr(key, i, 1) = '-'), "
+                "i -> left(key, i - 1))")
+    by_prefix = entries.selectExpr("*", f"explode({prefixes}) as field_id")
+    known = fields.select("template", "field_id", "property", "field_type", "value_kind",
+                          "disambiguate", "values")
 
     literal = by_id.join(known.filter("value_kind = 'Literal'"), ["template", "field_id"])
-    single = by_id.join(known.filter("value_kind <> 'Literal' and field_type <> 'Textarea'"),
-                        ["template", "field_id"]).select(
-        "work", "g", "property", F.col("value").alias("id"),
-        F.element_at(F.col("values"), F.col("value")).alias("name")).filter("name is not null")
-    ident = F.replace(F.replace(X.strip(F.split("value", ",", 2)[0]), F.lit('"'), F.lit("")),
-                      F.lit("'"), F.lit(""))
-    linked = by_prefix.join(
-        known.filter("value_kind <> 'Literal' or field_type = 'Textarea'"),
-        ["template", "field_id"])
-    kept_words = by_prefix.filter((F.col("field_id") == "keywords")
-                                  & (F.col("stage") == M.MODIFIED)).withColumn(
-        "property", F.lit(M.KEYWORDS))
-    many = (
-        linked.withColumn("property", F.when(F.col("field_type") == "Textarea",
-                                             F.lit(M.KEYWORDS)).otherwise(F.col("property")))
-        .select("work", "g", "property", "value")
-        .unionByName(kept_words.select("work", "g", "property", "value"))
-        .select("work", "g", "property", ident.alias("id"),
-                F.url_decode(F.replace(F.split("value", ",", 2)[1], F.lit("+"), F.lit("%2B")))
-                .alias("name"))
+    single = (
+        by_id.join(known.filter("value_kind <> 'Literal' and field_type <> 'Textarea'"),
+                   ["template", "field_id"])
+        .selectExpr("work", "g", "property", "value as id", "values[value] as name")
+        .filter("name is not null")
     )
-    targets = single.unionByName(many).withColumn(
-        "target", F.concat(terms.uri_base(F.col("id"), base), F.col("id"))).withColumn(
-        "label", X.strip(F.col("name")))
-    work, g = F.col("work"), F.col("g")
-    object_quads = _facts(targets, [
-        _fact(work, F.col("property"), F.col("target"), "uri"),
-        _fact(F.col("target"), M.RDFS_LABEL, F.col("label"), "literal", M.XSD_STRING)])
-
-    flat = F.regexp_replace("value", "[\n\r]", "")
-    main = F.when(F.col("disambiguate"), F.col("value"))
-    literal_quads = _facts(literal, [
-        _fact(work, F.col("property"), F.when(F.length("value") >= 1, flat)),
-        _fact(g, F.col("property"), main),
-        _fact(work, M.RDFS_LABEL, main), _fact(g, M.RDFS_LABEL, main)])
+    linked = by_prefix.join(known.filter("value_kind <> 'Literal' or field_type = 'Textarea'"),
+                            ["template", "field_id"]).selectExpr(
+        "work", "g", f"if(field_type = 'Textarea', {lit(M.KEYWORDS)}, property) as property",
+        "value")
+    kept_words = by_prefix.filter(f"field_id = 'keywords' and stage = '{M.MODIFIED}'").selectExpr(
+        "work", "g", f"{lit(M.KEYWORDS)} as property", "value")
+    # 'id,name' with the name percent-encoded; a plus sign stands for itself.
+    many = linked.unionByName(kept_words).selectExpr(
+        "work", "g", "property",
+        f"translate({X.strip("split(value, ',', 2)[0]")}, '\"\\'', '') as id",
+        "url_decode(replace(split(value, ',', 2)[1], '+', '%2B')) as name")
+    targets = single.unionByName(many).selectExpr(
+        "work", "g", "property", f"concat({terms.uri_base('id', base)}, id) as target",
+        f"{X.strip('name')} as label")
+    object_quads = quad_facts(targets, [
+        quad_fact("work", "property", "target", "uri"),
+        quad_fact("target", M.RDFS_LABEL, "label", "literal", M.XSD_STRING)])
+
+    flat = "if(length(value) >= 1, translate(value, '\n\r', ''), null)"
+    main = "if(disambiguate, value, null)"
+    literal_quads = quad_facts(literal, [
+        quad_fact("work", "property", flat), quad_fact("g", "property", main),
+        quad_fact("work", M.RDFS_LABEL, main), quad_fact("g", M.RDFS_LABEL, main)])
 
     titled = fields.filter("disambiguate").select("template").distinct()
-    untitled = _facts(sub.join(titled, "template", "left_anti"),
-                      [_fact(g, M.RDFS_LABEL, F.lit("no title"))])
+    untitled = quad_facts(sub.join(titled, "template", "left_anti"),
+                      [quad_fact("g", M.RDFS_LABEL, "'no title'")])
     classes = sub.join(fields.select("template", "class").distinct(), "template")
-    user = F.concat(F.lit(base), X.encode_user(F.col("user")))
-    new = F.col("stage") == M.NOT_MODIFIED
-    told = _facts(classes, [
-        _fact(work, M.RDF_TYPE, F.col("class"), "uri"),
-        _fact(g, M.ATTRIBUTED_TO, F.when(new, user), "uri"),
-        _fact(g, M.INFLUENCED_BY, F.when(~new, user), "uri"),
-        _fact(user, M.RDFS_LABEL, F.col("user")),
-        _fact(g, M.GENERATED_AT, moment_text(generated_at), "literal", M.XSD_DATETIME),
-        _fact(g, M.STATUS, F.col("stage"), "literal", M.XSD_STRING)])
+    user = f"concat({lit(base)}, {X.encode_user('user')})"
+    new = f"stage = '{M.NOT_MODIFIED}'"
+    told = quad_facts(classes, [
+        quad_fact("work", M.RDF_TYPE, "class", "uri"),
+        quad_fact("g", M.ATTRIBUTED_TO, f"if({new}, {user}, null)", "uri"),
+        quad_fact("g", M.INFLUENCED_BY, f"if({new}, null, {user})", "uri"),
+        quad_fact(user, M.RDFS_LABEL, "user"),
+        quad_fact("g", M.GENERATED_AT, moment_text(generated_at), "literal", M.XSD_DATETIME),
+        quad_fact("g", M.STATUS, "stage", "literal", M.XSD_STRING)])
     out = told.unionByName(literal_quads).unionByName(object_quads).unionByName(untitled)
     if creators is not None:
-        kept = creators.join(sub.filter(~new).select("g").distinct(), "g", "left_semi")
-        out = out.unionByName(_facts(kept, [
-            _fact(g, M.ATTRIBUTED_TO, F.col("creator"), "uri"),
-            _fact(F.col("creator"), M.RDFS_LABEL, F.col("creator_label"))]))
+        later = sub.filter(f"not {new}").select("g").distinct()
+        out = out.unionByName(quad_facts(creators.join(later, "g", "left_semi"), [
+            quad_fact("g", M.ATTRIBUTED_TO, "creator", "uri"),
+            quad_fact("creator", M.RDFS_LABEL, "creator_label")]))
     return out.distinct()

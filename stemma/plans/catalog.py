@@ -11,13 +11,14 @@ no `distinct` pass over the facts first.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stemma import model as M
 
 
-@dataclass(frozen=True)
+@dataclass
 class Catalog:
     """Typed tables.
 
@@ -48,6 +49,46 @@ class Catalog:
         return to_quads(self)
 
 
+class FacetCatalog(Catalog):
+    """A catalogue whose tables are unions of facets, each built when asked for.
+
+    `links`, `literals` and `labels` map a role, property or kind to a function
+    that gives its rows. An operator on two roles builds and reads just those.
+    """
+
+    def __init__(self, types, state, links, literals, labels):
+        self._parts = {"types": {"": types}, "state": {"": state}, "links": links,
+                       "literals": literals, "labels": labels}
+        self._built: dict[tuple, DataFrame] = {}
+
+    def _part(self, name: str, key: str) -> DataFrame:
+        if (name, key) not in self._built:
+            self._built[name, key] = self._parts[name][key]()
+        return self._built[name, key]
+
+    def _rows(self, name: str, keys=None) -> DataFrame:
+        known = self._parts[name]
+        wanted = [k for k in (known if keys is None else keys) if k in known]
+        if not wanted:
+            return self._part(name, next(iter(known))).filter(F.lit(False))
+        return reduce(DataFrame.unionByName, [self._part(name, k) for k in wanted])
+
+    types = property(lambda self: self._rows("types"))
+    state = property(lambda self: self._rows("state"))
+    links = property(lambda self: self._rows("links"))
+    literals = property(lambda self: self._rows("literals"))
+    labels = property(lambda self: self._rows("labels"))
+
+    def links_of(self, *roles: str) -> DataFrame:
+        return self._rows("links", roles)
+
+    def labels_of(self, *kinds: str) -> DataFrame:
+        return self._rows("labels", kinds).select("uri", "label")
+
+    def literal(self, prop: str) -> DataFrame:
+        return self._rows("literals", [prop])
+
+
 def label_kind(role: Column) -> Column:
     """Kind of the entities a role links to."""
     return F.when(role.isin("author", "editor"), F.lit("person")).otherwise(role)
@@ -96,10 +137,7 @@ def to_quads(cat: Catalog) -> DataFrame:
         _quad(st, "g", F.lit(M.ATTRIBUTED_TO), "creator", "uri", None, "g"),
         _quad(st, "g", F.lit(M.INFLUENCED_BY), "modifier", "uri", None, "g"),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def role_of(prop: Column) -> Column:

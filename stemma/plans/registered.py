@@ -86,9 +86,9 @@ def explore(spark, sf):
 @query
 def class_of(spark, sf):
     uris = adapter.table(spark, sf, "orders").select(
-        adapter.work_uri(F.col("o_orderkey")).alias("uri")).unionByName(
+        F.expr(adapter.work_uri()).alias("uri")).unionByName(
         adapter.table(spark, sf, "supplier").select(
-            adapter.person_uri(F.col("s_suppkey")).alias("uri")))
+            F.expr(adapter.person_uri("s_suppkey")).alias("uri")))
     return Q.class_of(adapter.catalog(spark, sf), uris)
 
 
@@ -215,7 +215,7 @@ def mention_links_documents(spark, sf):
 def vocab_violations(spark, sf):
     rows = adapter.batch(spark, sf)
     years = adapter.table(spark, sf, "orders").select(
-        adapter.order_year().alias("label")).distinct()
+        F.expr(adapter.YEAR).alias("label")).distinct()
     segments = adapter.table(spark, sf, "customer").select(
         F.replace("c_mktsegment", F.lit("U"), F.lit("-")).alias("label")).distinct()
     return (V.check_vocabulary(rows, "lang", V.vocabulary(rows, M.LANGUAGES))
@@ -255,7 +255,7 @@ def drop_existing(spark, sf):
 def _untidy_labels(spark, sf):
     return adapter.table(spark, sf, "lineitem").join(
         adapter.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
-        adapter.person_uri(F.col("l_suppkey")).alias("uri"),
+        F.expr(adapter.person_uri("l_suppkey")).alias("uri"),
         F.concat("s_name", F.when(F.col("l_linenumber") % 2 == 0, F.lit("; ; ;  ;"))
                  .otherwise(F.lit("; ")), F.lit("B"), F.col("l_linenumber").cast("string"))
         .alias("label")).distinct()
@@ -277,7 +277,7 @@ def label_update(spark, sf):
     ones on the graph only; just the former may change."""
     quads = adapter.catalog(spark, sf).quads()
     stage = adapter.table(spark, sf, "orders").select(
-        adapter.graph_uri(F.col("o_orderkey")).alias("g"), "o_orderstatus")
+        F.expr(adapter.graph_uri()).alias("g"), "o_orderstatus")
     on_graph = (F.col("p") == M.RDFS_LABEL) & (F.col("s") == F.col("g"))
     on_work = F.col("p") == M.REFERENCED_BY
     hurt = ((on_graph & F.col("o_orderstatus").isin("F", "O"))
@@ -292,39 +292,37 @@ def label_update(spark, sf):
 
 @query
 def norm_year(spark, sf):
-    raw = F.col("year")
-    return adapter.batch(spark, sf).select(
-        raw.alias("raw"), X.norm_year(raw).alias("year")).distinct()
+    return adapter.batch(spark, sf).selectExpr(
+        "year as raw", f"{X.norm_year('year')} as year").distinct()
 
 
 @query
 def norm_doi(spark, sf):
-    raw = F.col("doi")
-    return adapter.batch(spark, sf).select(
-        "id", X.norm_doi(raw).alias("doi"), X.norm_doi(raw, True).alias("as_written"))
+    return adapter.batch(spark, sf).selectExpr(
+        "id", f"{X.norm_doi('doi')} as doi", f"{X.norm_doi('doi', True)} as as_written")
 
 
 @query
 def norm_link(spark, sf):
-    return adapter.batch(spark, sf).select("id", X.norm_link(F.col("link")).alias("link"))
+    return adapter.batch(spark, sf).selectExpr("id", f"{X.norm_link('link')} as link")
 
 
 @query
 def norm_title(spark, sf):
-    return adapter.batch(spark, sf).select("id", X.norm_title(F.col("title")).alias("title"))
+    return adapter.batch(spark, sf).selectExpr("id", f"{X.norm_title('title')} as title")
 
 
 @query
 def norm_pages(spark, sf):
-    return adapter.batch(spark, sf).select(
-        "id", *[X.norm_number(F.col(c)).alias(c) for c in ("volume", "issue", "pages")],
-        X.norm_number(F.col("issue"), True).alias("issue_as_written"))
+    return adapter.batch(spark, sf).selectExpr(
+        "id", *[f"{X.norm_number(c)} as {c}" for c in ("volume", "issue", "pages")],
+        f"{X.norm_number('issue', True)} as issue_as_written")
 
 
 @query
 def split_themes(spark, sf):
-    themes = [X.split_themes(F.col(c)) for c in ("main_theme", "secondary_theme")]
-    return adapter.batch(spark, sf).select("id", F.explode(F.concat(*themes)).alias("theme"))
+    themes = ", ".join(X.split_themes(c) for c in ("main_theme", "secondary_theme"))
+    return adapter.batch(spark, sf).selectExpr("id", f"explode(concat({themes})) as theme")
 
 
 # ---- entities ------------------------------------------------------------
@@ -358,22 +356,21 @@ def vocab_uri(spark, sf):
         nations.select(F.concat(F.lit("Higher Education in "), F.col("n_name")).alias("label"))
     ).unionByName(adapter.table(spark, sf, "part").select(
         F.concat_ws(" ", "p_brand", "p_name").alias("label")).distinct())
-    return labels.select("label", terms.vocab_uri(F.col("label")).alias("uri"))
+    return labels.selectExpr("label", f"{terms.vocab_uri('label')} as uri")
 
 
 @query
 def work_class(spark, sf):
-    kind = F.col("publication type")
-    return adapter.batch(spark, sf).groupBy(
-        kind.alias("kind"), terms.work_class(kind).alias("class")).agg(
-        F.count("*").alias("n_rows"))
+    return adapter.batch(spark, sf).selectExpr(
+        "`publication type` as kind", f"{terms.work_class('`publication type`')} as class"
+    ).groupBy("kind", "class").agg(F.count("*").alias("n_rows"))
 
 
 @query
 def class_to_template(spark, sf):
-    cls = terms.work_class(F.col("publication type"))
-    return adapter.batch(spark, sf).groupBy(
-        terms.template_of(cls).alias("template")).agg(F.count("*").alias("n_rows"))
+    template = terms.template_of(terms.work_class("`publication type`"))
+    return adapter.batch(spark, sf).groupBy(F.expr(template).alias("template")).agg(
+        F.count("*").alias("n_rows"))
 
 
 def _identifiers(spark, sf):
@@ -391,22 +388,24 @@ def _identifiers(spark, sf):
 
 @query
 def uri_base(spark, sf):
-    return _identifiers(spark, sf).select(
-        "value", F.concat(terms.uri_base(F.col("value")), F.col("value")).alias("uri"))
+    return _identifiers(spark, sf).selectExpr(
+        "value", f"concat({terms.uri_base('value')}, value) as uri")
 
 
 @query
 def short_uri(spark, sf):
-    uri = F.concat(terms.uri_base(F.col("value")), F.col("value"))
-    return _identifiers(spark, sf).select(uri.alias("uri"), terms.short_uri(uri).alias("short"))
+    return _identifiers(spark, sf).selectExpr(
+        f"concat({terms.uri_base('value')}, value) as uri").selectExpr(
+        "uri", f"{terms.short_uri('uri')} as short")
 
 
 @query
 def user_codec(spark, sf):
-    user = F.concat(F.replace(F.lower("c_name"), F.lit("#"), F.lit(".")), F.lit("@example.org"))
-    return adapter.table(spark, sf, "customer").select(
-        user.alias("user"), X.encode_user(user).alias("encoded"),
-        X.decode_user(X.encode_user(user)).alias("decoded"))
+    users = adapter.table(spark, sf, "customer").selectExpr(
+        "replace(lower(c_name), '#', '.') || '@example.org' as user")
+    return users.selectExpr(
+        "user", f"{X.encode_user('user')} as encoded",
+        f"{X.decode_user(X.encode_user('user'))} as decoded")
 
 
 # ---- rows to quads -------------------------------------------------------
@@ -445,42 +444,28 @@ def citation(spark, sf):
 @query
 def form_quads(spark, sf):
     """Orders handed in as forms; stored creators are kept on later stages."""
-    years = {f"{M.VOCAB}{y}": str(y) for y in range(1990, 2011)}
-    fields = templates.standard_templates(spark).withColumn(
-        "values", F.when(F.col("property") == M.PUBLICATION_DATE, F.create_map(
-            *[F.lit(v) for kv in years.items() for v in kv])))
+    years = ", ".join(f"'{M.VOCAB}{y}', '{y}'" for y in range(1990, 2011))
+    fields = templates.standard_templates(spark).selectExpr(
+        "*", f"if(property = '{M.PUBLICATION_DATE}', map({years}), null) as values")
     cat = adapter.catalog(spark, sf)
     orders = adapter.table(spark, sf, "orders").join(
         adapter.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    key = F.col("o_orderkey").cast("string")
-    template = terms.template_of(F.element_at(F.create_map(*[
-        F.lit(v) for kv in adapter.CLASS_BY_PRIORITY.items() for v in kv]),
-        F.substring("o_orderpriority", 1, 1)))
-    is_book = template == "book"
-
-    def field(i):
-        return F.concat(template, F.lit(f"-{i:02d}"))
-
-    year_field = F.element_at(F.create_map(*[
-        F.lit(v) for row in M.standard_fields() if row[4] == M.PUBLICATION_DATE
-        for v in (row[0], row[2])]), template)
-    author_id = F.concat(F.lit("Q"), F.col("o_custkey").cast("string"))
-    submissions = orders.select(
-        F.concat(F.lit("o"), key).alias("record_id"), template.alias("template"),
-        F.when(F.col("o_orderstatus") == "F", F.lit(M.PUBLISHED))
-        .when(F.col("o_orderstatus") == "O", F.lit(M.MODIFIED))
-        .otherwise(F.lit(M.NOT_MODIFIED)).alias("stage"),
-        F.concat(F.lit("u"), F.col("o_custkey").cast("string"), F.lit("@example.org"))
-        .alias("user"),
-        F.map_from_arrays(
-            F.array(F.when(is_book, field(2)).otherwise(field(1)),
-                    F.when(is_book, field(1)).otherwise(field(2)),
-                    F.concat(field(3), F.lit("-"), author_id), year_field, F.lit("keywords-k1")),
-            F.array(F.concat(F.lit("Cited "), key), F.concat(F.lit("Title\n"), key),
-                    F.concat(F.lit(" "), author_id, F.lit(","),
-                             F.replace("c_name", F.lit("#"), F.lit("%23"))),
-                    F.concat(F.lit(M.VOCAB), F.year("o_orderdate").cast("string")),
-                    F.concat(key, F.lit(",Place%20"), key))).alias("fields"))
+    template = terms.template_of(terms.choose(adapter.PRIORITY, adapter.CLASS_BY_PRIORITY))
+    year_field = terms.choose("template", {
+        row[0]: row[2] for row in M.standard_fields() if row[4] == M.PUBLICATION_DATE})
+    submissions = orders.selectExpr(
+        "*", f"{template} as template", "concat('Q', o_custkey) as author_id").selectExpr(
+        "concat('o', o_orderkey) as record_id", "template",
+        f"{terms.choose('o_orderstatus', adapter.STAGE_BY_STATUS)} as stage",
+        "concat('u', o_custkey, '@example.org') as user",
+        f"""map(
+            concat(template, if(template = 'book', '-02', '-01')), concat('Cited ', o_orderkey),
+            concat(template, if(template = 'book', '-01', '-02')),
+              concat('Title\\n', o_orderkey),
+            concat(template, '-03-', author_id),
+              concat(' ', author_id, ',', replace(c_name, '#', '%23')),
+            {year_field}, concat('{M.VOCAB}', year(o_orderdate)),
+            'keywords-k1', concat(o_orderkey, ',Place%20', o_orderkey)) as fields""")
     creators = cat.state.select("g", "creator").join(
         cat.labels_of("user").select(F.col("uri").alias("creator"),
                                      F.col("label").alias("creator_label")), "creator")
@@ -496,7 +481,7 @@ def _per_property(quads):
 
 def _graphs(spark, sf, condition):
     return adapter.table(spark, sf, "orders").filter(condition).select(
-        adapter.graph_uri(F.col("o_orderkey")).alias("g"))
+        F.expr(adapter.graph_uri()).alias("g"))
 
 
 @query

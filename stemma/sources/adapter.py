@@ -1,18 +1,20 @@
 """The analytics tables (orders, lineitem, …) seen as a catalogue.
 
 An order is a work, its lines name authors (suppliers) and subjects (parts),
-its customer gives creator, language and publisher. Each facet is one branch
-of a union with literal `role`/`kind`, so a query that filters on them reads
-only the base tables it needs.
+its customer gives creator, language and publisher. Each facet is a projection
+of the base tables it needs, so a query reads nothing else.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemma import model as M
-from stemma.functions.terms import slot_property
-from stemma.plans.catalog import Catalog
+from stemma.functions.terms import choose, slot_property
+from stemma.functions.text import lit
+from stemma.plans.catalog import FacetCatalog
 
 # Class by order priority, stage by order status.
 CLASS_BY_PRIORITY = {"1": M.ARTICLE, "2": M.BOOK, "3": M.CHAPTER,
@@ -26,149 +28,157 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _case(key: Column, values: dict[str, str]) -> Column:
-    out = None
-    for k, v in values.items():
-        out = F.when(key == k, F.lit(v)) if out is None else out.when(key == k, F.lit(v))
-    return out
+def work_uri(order_key: str = "o_orderkey") -> str:
+    return f"concat('{M.BASE}o', {order_key})"
 
 
-def work_uri(order_key: Column) -> Column:
-    return F.concat(F.lit(M.BASE + "o"), order_key.cast("string"))
+def graph_uri(order_key: str = "o_orderkey") -> str:
+    return f"concat('{M.BASE}o', {order_key}, '/')"
 
 
-def graph_uri(order_key: Column) -> Column:
-    return F.concat(work_uri(order_key), F.lit("/"))
+def user_uri(customer_key: str) -> str:
+    return f"concat('{M.BASE}c', {customer_key})"
 
 
-def user_uri(customer_key: Column) -> Column:
-    return F.concat(F.lit(M.BASE + "c"), customer_key.cast("string"))
+def person_uri(supplier_key: str) -> str:
+    return f"concat('{M.BASE}s', {supplier_key})"
 
 
-def person_uri(supplier_key: Column) -> Column:
-    return F.concat(F.lit(M.BASE + "s"), supplier_key.cast("string"))
+def container_uri(title: str) -> str:
+    return f"concat('{M.BASE}j-', replace({title}, ' ', '-'))"
 
 
-def container_uri(title: Column) -> Column:
-    return F.concat(F.lit(M.BASE + "j-"), F.replace(title, F.lit(" "), F.lit("-")))
+def publisher_uri(segment: str) -> str:
+    return f"concat('{M.BASE}p-', lower({segment}))"
 
 
-def publisher_uri(segment: Column) -> Column:
-    return F.concat(F.lit(M.BASE + "p-"), F.lower(segment))
+def term_uri(label: str) -> str:
+    return f"concat('{M.VOCAB}', translate(lower({label}), '# ', '--'))"
 
 
-def term_uri(label: Column) -> Column:
-    slug = F.replace(F.replace(F.lower(label), F.lit("#"), F.lit("-")),
-                     F.lit(" "), F.lit("-"))
-    return F.concat(F.lit(M.VOCAB), slug)
+YEAR = "cast(year(o_orderdate) as string)"
+PRIORITY = "left(o_orderpriority, 1)"
+CITATION = f"concat(c_name, ' (', {YEAR}, '). ', coalesce(title, '-'), '.')"
 
 
-def order_year() -> Column:
-    return F.year("o_orderdate").cast("string")
+class Tables:
+    """Base tables, each opened once, and the joins that several facets share."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._open: dict[str, DataFrame] = {}
 
-def lead_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title of an order: the name of its line's least part key.
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self._open:
+            self._open[name] = table(self.spark, self.sf_dir, name)
+        return self._open[name]
 
-    Parts join before the aggregation, so the result is known to hold one row
-    per order; queries that do not read the title lose the whole join.
-    """
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return (
-        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.min_by("p_name", "l_partkey").alias("title"))
-    )
+    def lead_titles(self) -> DataFrame:
+        """Title of an order: the name of its line's least part key.
+
+        Parts join before the aggregation, so the result is known to hold one
+        row per order and Spark drops the join where the title is not read.
+        """
+        part = self("part").select("p_partkey", "p_name")
+        return (
+            self("lineitem").select("l_orderkey", "l_partkey")
+            .join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+            .agg(F.min_by("p_name", "l_partkey").alias("title"))
+        )
+
+    @cached_property
+    def titled(self) -> DataFrame:
+        return self("orders").join(self.lead_titles(), "o_orderkey", "left")
+
+    @cached_property
+    def with_customer(self) -> DataFrame:
+        return self("orders").join(self("customer"), F.col("o_custkey") == F.col("c_custkey"))
+
+    @cached_property
+    def with_nation(self) -> DataFrame:
+        return self.with_customer.join(
+            self("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+
+    @cached_property
+    def cited(self) -> DataFrame:
+        return self.titled.join(self("customer"), F.col("o_custkey") == F.col("c_custkey"))
 
+    @cached_property
+    def line_parts(self) -> DataFrame:
+        return self("lineitem").select("l_orderkey", "l_partkey").join(
+            self("part").select("p_partkey", "p_type", "p_brand"),
+            F.col("l_partkey") == F.col("p_partkey"))
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    def read(name):
-        return table(spark, sf_dir, name)
-
-    orders, lines = read("orders"), read("lineitem")
-    work, graph = work_uri(F.col("o_orderkey")), graph_uri(F.col("o_orderkey"))
-    titled = orders.join(lead_titles(spark, sf_dir), "o_orderkey", "left")
-    named = orders.join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-
-    types = orders.select(
-        work.alias("work"), graph.alias("g"),
-        _case(F.substring("o_orderpriority", 1, 1), CLASS_BY_PRIORITY).alias("class"))
-
-    def link(df, role, prop, target, key="o_orderkey", ordinal=None):
-        return df.select(
-            work_uri(F.col(key)).alias("work"), graph_uri(F.col(key)).alias("g"),
-            F.lit(role).alias("role"),
-            (prop if isinstance(prop, Column) else F.lit(prop)).alias("property"),
-            (F.lit(None).cast("int") if ordinal is None else F.col(ordinal)).alias("ordinal"),
-            target.alias("target"))
-
-    parted = lines.select("l_orderkey", "l_partkey").join(
-        read("part").select("p_partkey", "p_type", "p_brand"),
-        F.col("l_partkey") == F.col("p_partkey"))
-    tongued = named.join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    links = _union([
-        link(lines, "author", slot_property("author", F.col("l_linenumber")),
-             person_uri(F.col("l_suppkey")), "l_orderkey", "l_linenumber"),
-        link(parted, "primary_subject", M.PRIMARY_SUBJECT, term_uri(F.col("p_type")),
-             "l_orderkey"),
-        link(parted, "subject", M.SUBJECT, term_uri(F.col("p_brand")), "l_orderkey"),
-        link(orders, "year", M.PUBLICATION_DATE, term_uri(order_year())),
-        link(tongued, "language", M.DCT_LANGUAGE, term_uri(F.col("n_name"))),
-        link(named, "publisher", M.DCT_PUBLISHER, publisher_uri(F.col("c_mktsegment"))),
-        link(titled.filter("title is not null"), "container", M.PART_OF,
-             container_uri(F.col("title"))),
-    ])
-
-    citation = F.concat(F.col("c_name"), F.lit(" ("), order_year(), F.lit("). "),
-                        F.coalesce("title", F.lit("-")), F.lit("."))
-    cited = titled.join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
-
-    def literal(df, prop, value):
-        return df.select(work.alias("work"), graph.alias("g"),
-                         F.lit(prop).alias("property"), value.alias("value"))
-
-    literals = _union([
-        literal(titled.filter("title is not null"), M.DCT_TITLE, F.col("title")),
-        literal(cited, M.REFERENCED_BY, citation),
-    ])
-
-    def label(df, kind, uri, text):
-        return df.select(uri.alias("uri"), text.alias("label"), F.lit(kind).alias("kind"))
-
-    part = read("part")
-    labels = _union([
-        label(read("supplier"), "person", person_uri(F.col("s_suppkey")), F.col("s_name")),
-        label(read("customer"), "user", user_uri(F.col("c_custkey")), F.col("c_name")),
-        label(orders.select(order_year().alias("y")).distinct(), "year",
-              term_uri(F.col("y")), F.col("y")),
-        label(read("nation"), "language", term_uri(F.col("n_name")), F.col("n_name")),
-        label(read("customer").select("c_mktsegment").distinct(), "publisher",
-              publisher_uri(F.col("c_mktsegment")), F.col("c_mktsegment")),
-        label(part.select("p_type").distinct(), "primary_subject",
-              term_uri(F.col("p_type")), F.col("p_type")),
-        label(part.select("p_brand").distinct(), "subject",
-              term_uri(F.col("p_brand")), F.col("p_brand")),
-        label(part.select("p_name").distinct(), "container",
-              container_uri(F.col("p_name")), F.col("p_name")),
-        label(titled.filter("title is not null"), "work", work, F.col("title")),
-        label(cited, "graph", graph, citation),
-    ])
-
-    state = orders.select(
-        graph.alias("g"),
-        _case(F.col("o_orderstatus"), STAGE_BY_STATUS).alias("status"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
-        user_uri(F.col("o_custkey")).alias("creator"),
-        F.when(F.col("o_orderstatus") == "O", user_uri(F.col("o_custkey"))).alias("modifier"))
-    return Catalog(types, links, literals, labels, state)
+
+def catalog(spark: SparkSession, sf_dir: str) -> FacetCatalog:
+    t = Tables(spark, sf_dir)
+
+    def titled():
+        return t.titled.filter("title is not null")
+
+    def types():
+        return t("orders").selectExpr(
+            f"{work_uri()} as work", f"{graph_uri()} as g",
+            f"{choose(PRIORITY, CLASS_BY_PRIORITY)} as class")
+
+    def state():
+        creator = user_uri("o_custkey")
+        return t("orders").selectExpr(
+            f"{graph_uri()} as g", f"{choose('o_orderstatus', STAGE_BY_STATUS)} as status",
+            "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") as generated_at",
+            f"{creator} as creator", f"if(o_orderstatus = 'O', {creator}, null) as modifier")
+
+    def link(role, rows, prop, target, key="o_orderkey", ordinal="cast(null as int)"):
+        return lambda: rows().selectExpr(
+            f"{work_uri(key)} as work", f"{graph_uri(key)} as g", f"'{role}' as role",
+            f"{prop} as property", f"{ordinal} as ordinal", f"{target} as target")
+
+    def literal(prop, rows, value):
+        return lambda: rows().selectExpr(
+            f"{work_uri()} as work", f"{graph_uri()} as g", f"'{prop}' as property",
+            f"{value} as value")
+
+    def label(kind, rows, uri, text):
+        return lambda: rows().selectExpr(f"{uri} as uri", f"{text} as label", f"'{kind}' as kind")
+
+    def base(name):
+        return lambda: t(name)
+
+    def once(name, value):
+        return lambda: t(name).selectExpr(value).distinct()
+
+    authors = slot_property("author", "l_linenumber")
+    links = {role: link(role, *args) for role, *args in [
+        ("author", base("lineitem"), authors, person_uri("l_suppkey"), "l_orderkey",
+         "l_linenumber"),
+        ("primary_subject", lambda: t.line_parts, lit(M.PRIMARY_SUBJECT), term_uri("p_type"),
+         "l_orderkey"),
+        ("subject", lambda: t.line_parts, lit(M.SUBJECT), term_uri("p_brand"), "l_orderkey"),
+        ("year", base("orders"), lit(M.PUBLICATION_DATE), term_uri(YEAR)),
+        ("language", lambda: t.with_nation, lit(M.DCT_LANGUAGE), term_uri("n_name")),
+        ("publisher", lambda: t.with_customer, lit(M.DCT_PUBLISHER),
+         publisher_uri("c_mktsegment")),
+        ("container", titled, lit(M.PART_OF), container_uri("title")),
+    ]}
+    literals = {prop: literal(prop, *args) for prop, *args in [
+        (M.DCT_TITLE, titled, "title"),
+        (M.REFERENCED_BY, lambda: t.cited, CITATION),
+    ]}
+    labels = {kind: label(kind, *args) for kind, *args in [
+        ("person", base("supplier"), person_uri("s_suppkey"), "s_name"),
+        ("user", base("customer"), user_uri("c_custkey"), "c_name"),
+        ("year", once("orders", f"{YEAR} as y"), term_uri("y"), "y"),
+        ("language", base("nation"), term_uri("n_name"), "n_name"),
+        ("publisher", once("customer", "c_mktsegment"), publisher_uri("c_mktsegment"),
+         "c_mktsegment"),
+        ("primary_subject", once("part", "p_type"), term_uri("p_type"), "p_type"),
+        ("subject", once("part", "p_brand"), term_uri("p_brand"), "p_brand"),
+        ("container", once("part", "p_name"), container_uri("p_name"), "p_name"),
+        ("work", titled, work_uri(), "title"),
+        ("graph", lambda: t.cited, graph_uri(), CITATION),
+    ]}
+    return FacetCatalog(types, state, links, literals, labels)
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,70 +188,55 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded; names on open lines end in ' Jr' and so are new to the catalogue.
     One aggregation by order builds the row.
     """
+    t = Tables(spark, sf_dir)
     lines = (
-        table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"),
+        t("lineitem")
+        .join(t("supplier").select("s_suppkey", "s_name"),
               F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand"),
+        .join(t("part").select("p_partkey", "p_name", "p_type", "p_brand"),
               F.col("l_partkey") == F.col("p_partkey"))
     )
-    name = F.concat(
-        F.when(F.col("l_linenumber") % 2 == 0, F.lit("  ")).otherwise(F.lit("")),
-        F.col("s_name"),
-        F.when(F.col("l_linestatus") == "O", F.lit(" Jr")).otherwise(F.lit("")))
-    is_editor = F.col("l_returnflag") == "R"
+    name = ("concat(if(l_linenumber % 2 = 0, '  ', ''), s_name, "
+            "if(l_linestatus = 'O', ' Jr', ''))")
 
-    def slot(k, editors):
-        wanted = (is_editor if editors else ~is_editor) & (F.col("l_linenumber") == k)
-        return F.min(F.when(wanted, name))
+    def slot(word, k):
+        op = "<>" if word == "author" else "="
+        return (f"min({name}) filter (where l_returnflag {op} 'R' and l_linenumber = {k}) "
+                f"as {word}_{k}")
 
     def listed(x):
-        return F.concat(F.lit("['"), F.array_join(F.array_sort(F.collect_set(x)), "', '"),
-                        F.lit("']"))
-
-    per_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.min_by("p_name", "l_partkey").alias("p_title"),
-        F.max_by("p_name", "l_partkey").alias("p_book"),
-        F.max("l_partkey").cast("string").alias("n_issue"),
-        F.min("l_partkey").cast("string").alias("n_volume"),
-        listed("p_type").alias("main_theme"), listed("p_brand").alias("secondary_theme"),
-        *[slot(k, False).alias(f"author_{k}") for k in range(1, 11)],
-        *[slot(k, True).alias(f"editor_{k}") for k in range(1, 11)],
-    )
-    key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
-    kind = F.substring("o_orderpriority", 1, 1)
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    df = (
-        table(spark, sf_dir, "orders").join(per_order, "o_orderkey", "left")
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    )
-    return df.select(
-        F.concat(F.lit("o"), key).alias("id"),
-        F.lit(None).cast("string").alias("reference (apa)"),
-        F.when((kind == "1") & (status == "P"), F.lit("Journal Issue"))
-        .when((kind == "5") & (status == "P"), F.lit("Grey Literature"))
-        .otherwise(_case(kind, TYPE_BY_PRIORITY)).alias("publication type"),
-        F.concat(F.lit(' "'), F.col("p_title"), F.lit('" '), key).alias("title"),
-        *[F.col(f"author_{k}") for k in range(1, 11)],
-        F.when(kind == "1", F.col("p_title")).alias("journal"),
-        F.when(kind == "1", F.concat(F.lit("("), F.col("n_volume"), F.lit(")"))).alias("volume"),
-        F.when((kind == "1") & (status != "O"), F.col("n_issue")).alias("issue"),
-        F.when(status == "F", F.concat(F.lit("("), key, F.lit("-"), F.col("n_issue"), F.lit(")")))
-        .alias("pages"),
-        F.when(status == "F", F.concat(order_year(), F.lit(".0")))
-        .when(status == "O", F.concat(F.lit("("), order_year(), F.lit(")")))
-        .when(F.col("o_custkey") % 10 == 0, F.lit("n.d."))
-        .otherwise(order_year()).alias("year"),
-        F.col("main_theme"), F.col("secondary_theme"),
-        F.col("n_name").alias("lang"),
-        F.when(F.col("o_custkey") % 3 == 0, F.lit("Not found"))
-        .otherwise(F.concat(F.lit("https://example.org/item/"), key)).alias("link"),
-        F.when(F.col("o_custkey") % 4 == 0, F.concat(F.lit("https://doi.org/10.5/AB"), key))
-        .when(F.col("o_custkey") % 4 == 1, F.concat(F.lit("doi: 10.5/ab"), key))
-        .when(F.col("o_custkey") % 4 == 2, F.concat(F.lit("http://dx.doi.org/10.5/Ab"), key))
-        .otherwise(F.lit("not available")).alias("doi"),
-        F.when(kind == "3", F.col("p_book")).alias("booktitle"),
-        F.initcap("c_mktsegment").alias("publisher"),
-        *[F.col(f"editor_{k}") for k in range(1, 11)],
+        return f"concat('[\\'', array_join(array_sort(collect_set({x})), '\\', \\''), '\\']')"
+
+    people = [f"{w}_{k}" for w in ("author", "editor") for k in range(1, 11)]
+    per_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*map(F.expr, [
+        "min_by(p_name, l_partkey) as p_title", "max_by(p_name, l_partkey) as p_book",
+        "cast(max(l_partkey) as string) as n_issue", "cast(min(l_partkey) as string) as n_volume",
+        f"{listed('p_type')} as main_theme", f"{listed('p_brand')} as secondary_theme",
+        *[slot(w, k) for w in ("author", "editor") for k in range(1, 11)]]))
+    df = t.with_nation.join(per_order, "o_orderkey", "left")
+    article = f"{PRIORITY} = '1'"
+    return df.selectExpr(
+        "concat('o', o_orderkey) as id", "cast(null as string) as `reference (apa)`",
+        f"""case when {article} and o_orderstatus = 'P' then 'Journal Issue'
+            when {PRIORITY} = '5' and o_orderstatus = 'P' then 'Grey Literature'
+            else {choose(PRIORITY, TYPE_BY_PRIORITY)} end as `publication type`""",
+        "concat(' \"', p_title, '\" ', o_orderkey) as title",
+        *people[:10],
+        f"if({article}, p_title, null) as journal",
+        f"if({article}, concat('(', n_volume, ')'), null) as volume",
+        f"if({article} and o_orderstatus <> 'O', n_issue, null) as issue",
+        "if(o_orderstatus = 'F', concat('(', o_orderkey, '-', n_issue, ')'), null) as pages",
+        f"""case when o_orderstatus = 'F' then concat({YEAR}, '.0')
+            when o_orderstatus = 'O' then concat('(', {YEAR}, ')')
+            when o_custkey % 10 = 0 then 'n.d.' else {YEAR} end as year""",
+        "main_theme", "secondary_theme", "n_name as lang",
+        "if(o_custkey % 3 = 0, 'Not found', concat('https://example.org/item/', o_orderkey))"
+        " as link",
+        """case o_custkey % 4 when 0 then concat('https://doi.org/10.5/AB', o_orderkey)
+            when 1 then concat('doi: 10.5/ab', o_orderkey)
+            when 2 then concat('http://dx.doi.org/10.5/Ab', o_orderkey)
+            else 'not available' end as doi""",
+        f"if({PRIORITY} = '3', p_book, null) as booktitle",
+        "initcap(c_mktsegment) as publisher",
+        *people[10:],
     )

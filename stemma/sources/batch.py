@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stemma.functions.text import cell
+from stemma.functions.text import cell, lit
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
@@ -31,6 +31,6 @@ def read_authority(spark: SparkSession, path: str, kinds: list[str]) -> DataFram
     """
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
     columns = df.columns[:len(kinds)]
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), cell(F.col(f"`{c}`")).alias("label"))
-                      for k, c in zip(kinds, columns)])
-    return df.select(F.inline(pairs)).filter("label is not null").distinct()
+    pairs = ", ".join(f"named_struct('kind', {lit(k)}, 'label', {cell(f'`{c}`')})"
+                      for k, c in zip(kinds, columns))
+    return df.selectExpr(f"inline(array({pairs}))").filter("label is not null").distinct()

@@ -10,10 +10,8 @@ from stemma.functions.text import strip
 
 def parse_log(lines: DataFrame) -> DataFrame:
     """'moment --- client --- request' lines as (ts, ip, request)."""
-    parts = F.split("value", " --- ")
-    return lines.filter(F.size(parts) >= 3).select(
-        F.try_to_timestamp(parts[0]).alias("ts"), parts[1].alias("ip"),
-        strip(parts[2]).alias("request"))
+    return lines.selectExpr("split(value, ' --- ') as part").filter("size(part) >= 3").selectExpr(
+        "try_to_timestamp(part[0]) as ts", "part[1] as ip", f"{strip('part[2]')} as request")
 
 
 def daily_quota(log: DataFrame, limit: int = M.DAILY_LIMIT, client: str = "ip") -> DataFrame:
