@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from stemma import model as M
 from stemma.functions import text as X
 from stemma.plans.catalog import Catalog
-from stemma.plans.skew import HOT_ROWS, hot_keys, salted_join
+from stemma.plans.skew import HOT_ROWS, most_frequent, salted_join
 
 
 # ---- one query -----------------------------------------------------------
@@ -141,50 +141,54 @@ def advanced_search(cat: Catalog, criteria: dict[str, str]) -> DataFrame:
 
 # ---- many queries --------------------------------------------------------
 
-def match_labels(queries: DataFrame, labels: DataFrame, last_prefix: bool = False,
+def label_search(queries: DataFrame, labels: DataFrame, last_prefix: bool = False,
+                 min_relevance: float = 0.0, long_texts: bool = False,
                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(query, label, score) for every distinct label with all query tokens.
+    """(query, uri, label, score) of every label that has all query tokens.
+
+    `queries` has a text column `query`, `labels` has `uri` and `label`. The
+    index holds only tokens that occur in a query, and text hashes instead of
+    texts, each once however many copies exist. Texts are compared with the
+    query at the end, so two texts of one hash do no harm.
 
-    `queries` has a text column `query`, `labels` a text column `label`. Equal
-    texts are matched once. A query drives by its least frequent full token; a
-    query of one unfinished token first becomes the known tokens that start
-    with it.
+    Equal labels are indexed once and meet their URIs last. With `long_texts`
+    (documents, few copies) that step is left out, as it would shuffle texts.
     """
-    texts = labels.select("label").distinct().selectExpr(
-        "label", "xxhash64(label) as id", f"array_distinct({X.tokens('label')}) as toks")
-    # Postings carry a hash instead of the text. Should two texts share it, both
-    # come back as candidates and are checked like any other.
-    postings = texts.select("id", F.explode("toks").alias("token"))
-    freq = postings.groupBy("token").agg(F.count("*").alias("df"))
     asked = queries.select("query").distinct().selectExpr(
         "query", f"{X.tokens('query')} as q").filter("size(q) > 0")
+    texts = labels.select("uri", "label") if long_texts else labels.select("label").distinct()
+    texts = texts.selectExpr("*", "xxhash64(label) as id",
+                             f"array_distinct({X.tokens('label')}) as toks")
+    words = texts.selectExpr("id", "explode(toks) as token")
     usable = "slice(q, 1, size(q) - 1)" if last_prefix else "q"
     full = asked.selectExpr("query", "q", f"explode(array_distinct({usable})) as token")
+    wanted = full.select("token")
+    if last_prefix:
+        # One unfinished token: typed prefix and vocabulary meet on the prefix.
+        single = asked.filter("size(q) = 1").selectExpr("query", "q", "q[0] as prefix")
+        starts = words.select("token").distinct().selectExpr(
+            "token", "explode(transform(sequence(1, length(token)), n -> left(token, n))) as prefix")
+        begun = starts.join(single, "prefix").select("query", "q", "token")
+        wanted = wanted.unionByName(begun.select("token"))
+    postings = words.join(wanted.distinct(), "token", "left_semi").distinct()
+    freq = postings.groupBy("token").agg(F.count("*").alias("n"))
     # A token nobody has leaves its query without a result: it is the rarest.
     driver = (
         full.join(freq, "token", "left").groupBy("query", "q")
-        .agg(F.expr("min_by(token, struct(coalesce(df, 0), token))").alias("token"))
+        .agg(F.expr("min_by(token, struct(coalesce(n, 0), token))").alias("token"))
     )
     if last_prefix:
-        # Vocabulary and typed prefix meet on the prefix itself.
-        single = asked.filter("size(q) = 1").selectExpr("query", "q", "q[0] as prefix")
-        starts = freq.selectExpr(
-            "token", "explode(transform(sequence(1, length(token)), n -> left(token, n))) as prefix")
-        driver = driver.unionByName(
-            starts.join(single, "prefix").select("query", "q", "token"))
-    hot = hot_keys(postings, "token", hot_rows)
-    pairs = salted_join(postings, driver, "token", ["id"], hot).select(
-        "id", "query", "q").distinct().join(texts, "id")
-    return pairs.filter(has_all_tokens("toks", "q", last_prefix)).selectExpr(
-        "query", "label", f"{relevance('toks', 'q', last_prefix)} as score")
-
-
-def label_search(queries: DataFrame, labels: DataFrame, last_prefix: bool = False,
-                 min_relevance: float = 0.0) -> DataFrame:
-    """(query, uri, label, score) of every entity label that matches."""
-    hits = match_labels(queries, labels, last_prefix).filter(F.col("score") >= min_relevance)
-    return hits.join(labels.select("uri", "label").distinct(), "label").select(
-        "query", "uri", "label", "score")
+        driver = driver.unionByName(begun)
+    pairs = salted_join(postings, driver, "token", ["id"], most_frequent(freq, "token", hot_rows))
+    hits = (
+        texts.join(pairs.select("id", "query", "q").distinct(), "id")
+        .filter(has_all_tokens("toks", "q", last_prefix))
+        .selectExpr("*", f"{relevance('toks', 'q', last_prefix)} as score")
+        .filter(F.col("score") >= min_relevance)
+    )
+    if not long_texts:
+        hits = hits.select("query", "label", "score").join(labels.select("uri", "label"), "label")
+    return hits.select("query", "uri", "label", "score").distinct()
 
 
 def best_per_query(hits: DataFrame, k: int) -> DataFrame:

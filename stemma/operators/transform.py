@@ -94,7 +94,11 @@ def quad_fact(s: str, p: str, o: str, kind: str = "literal", o_type: str | None
 
 def quad_facts(df: DataFrame, facts: list[str]) -> DataFrame:
     """Quads of each row of `df`, those with a missing end left out."""
-    out = df.selectExpr("g", f"inline(array({', '.join(facts)}))")
+    return _stated(df, f"array({', '.join(facts)})")
+
+
+def _stated(df: DataFrame, facts: str) -> DataFrame:
+    out = df.selectExpr("g", f"inline(array_distinct({facts}))")
     return out.filter("o is not null and s is not null").select(*M.QUAD_COLUMNS)
 
 
@@ -130,15 +134,20 @@ def _et_al_facts() -> list[str]:
     return [quad_fact("work", M.OTHER_AUTHORS, uri, "uri"), quad_fact(uri, M.RDFS_LABEL, "'et al.'")]
 
 
-def row_subjects(rows: DataFrame, base: str = M.BASE) -> DataFrame:
-    """Primary and secondary subject quads, one pair per theme."""
+def _subject_facts(base: str) -> str:
+    """Array of quads: link and label of every theme of a row."""
     def themes(column, prop):
-        return (f"transform(coalesce({column}, cast(array() as array<string>)), "
-                f"t -> named_struct('property', {lit(prop)}, 'label', t))")
+        uri = terms.vocab_uri("t", base)
+        pair = f"array({quad_fact('work', prop, uri, 'uri')}, {quad_fact(uri, M.RDFS_LABEL, 't')})"
+        return f"flatten(transform(coalesce({column}, cast(array() as array<string>)), t -> {pair}))"
 
-    long = rows.selectExpr("g", "work", "inline(concat({}, {}))".format(
-        themes("main_theme", M.PRIMARY_SUBJECT), themes("secondary_theme", M.SUBJECT)))
-    return _name_quads(long.selectExpr("*", f"{terms.vocab_uri('label', base)} as target"))
+    return (f"concat({themes('main_theme', M.PRIMARY_SUBJECT)}, "
+            f"{themes('secondary_theme', M.SUBJECT)})")
+
+
+def row_subjects(rows: DataFrame, base: str = M.BASE) -> DataFrame:
+    """Primary and secondary subject quads, one pair per theme."""
+    return _stated(rows, _subject_facts(base))
 
 
 def _language_facts(base: str) -> list[str]:
@@ -194,10 +203,11 @@ def rows_to_quads(batch: DataFrame, matches: DataFrame, creator: str,
     join with the matches, whatever the number of slots.
     """
     rows = clean_rows(batch, id_column, base, strict_reference)
-    plain = quad_facts(rows, _scalar_facts(base) + _language_facts(base) + _et_al_facts()
-                   + _provenance_facts(creator, moment_text(generated_at), base))
+    single = (_scalar_facts(base) + _language_facts(base) + _et_al_facts()
+              + _provenance_facts(creator, moment_text(generated_at), base))
+    plain = _stated(rows, f"concat(array({', '.join(single)}), {_subject_facts(base)})")
     names = _name_quads(resolve_slots(name_slots(rows), matches, base))
-    return plain.unionByName(names).unionByName(row_subjects(rows, base)).distinct()
+    return plain.unionByName(names).distinct()
 
 
 def form_to_quads(submissions: DataFrame, fields: DataFrame, creators: DataFrame | None = None,

@@ -189,7 +189,7 @@ def label_search_batch(spark, sf):
         F.col("doc_id").cast("string").alias("uri"), F.col("text").alias("label"))
     asked = adapter.table(spark, sf, "benchmark").select(F.col("text").alias("query")).unionByName(
         _site_names(spark, sf).select(F.col("label").alias("query")))
-    return S.label_search(asked, docs).select("query", "uri", "score")
+    return S.label_search(asked, docs, long_texts=True).select("query", "uri", "score")
 
 
 @query
@@ -334,9 +334,9 @@ on_catalog("books", E.books)
 on_catalog("entities", E.entities)
 
 
-def _matched(spark, sf):
-    return E.match_entities(E.batch_names(adapter.batch(spark, sf)),
-                            E.entities(adapter.catalog(spark, sf)))
+def _matched(spark, sf, batch=None):
+    names = E.batch_names(adapter.batch(spark, sf) if batch is None else batch)
+    return E.match_entities(names, E.entities(adapter.catalog(spark, sf)))
 
 
 @query
@@ -414,13 +414,20 @@ def _rows(spark, sf):
     return T.clean_rows(adapter.batch(spark, sf), "id")
 
 
+def _stored_batch(spark, sf):
+    """The spreadsheet as a file, as it would arrive; it is read twice."""
+    return written(adapter.batch(spark, sf), "batch")
+
+
 def _resolved(spark, sf):
-    return T.resolve_slots(T.name_slots(_rows(spark, sf)), _matched(spark, sf))
+    batch = _stored_batch(spark, sf)
+    return T.resolve_slots(T.name_slots(T.clean_rows(batch, "id")), _matched(spark, sf, batch))
 
 
 @query
 def rows_to_quads(spark, sf):
-    return T.rows_to_quads(adapter.batch(spark, sf), _matched(spark, sf), CREATOR, MOMENT, "id")
+    batch = _stored_batch(spark, sf)
+    return T.rows_to_quads(batch, _matched(spark, sf, batch), CREATOR, MOMENT, "id")
 
 
 for _name, _op in (("row_authors", T.row_authors), ("row_editors", T.row_editors),

@@ -76,16 +76,13 @@ class Tables:
     def lead_titles(self) -> DataFrame:
         """Title of an order: the name of its line's least part key.
 
-        Parts join before the aggregation, so the result is known to hold one
-        row per order and Spark drops the join where the title is not read.
+        The least key is a number, so the aggregation by order runs hash-based;
+        names join afterwards, one per order.
         """
-        part = self("part").select("p_partkey", "p_name")
-        return (
-            self("lineitem").select("l_orderkey", "l_partkey")
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-            .agg(F.min_by("p_name", "l_partkey").alias("title"))
-        )
+        least = self("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+            F.min("l_partkey").alias("p_partkey"))
+        return least.join(self("part").select("p_partkey", F.col("p_name").alias("title")),
+                          "p_partkey").select("o_orderkey", "title")
 
     @cached_property
     def titled(self) -> DataFrame:
