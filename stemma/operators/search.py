@@ -34,7 +34,7 @@ def has_all_tokens(toks: str, query: str, last_prefix: bool) -> str:
         return f"size({query}) > 0 and size(array_except({query}, {toks})) = 0"
     full = f"slice({query}, 1, greatest(size({query}) - 1, 0))"
     return (f"size({query}) > 0 and size(array_except({full}, {toks})) = 0 "
-            f"and exists({toks}, t -> startswith(t, element_at({query}, -1)))")
+            f"and exists({toks}, t -> startswith(t, try_element_at({query}, -1)))")
 
 
 def relevance(toks: str, query: str, last_prefix: bool) -> str:
@@ -42,7 +42,7 @@ def relevance(toks: str, query: str, last_prefix: bool) -> str:
     hit = f"array_intersect({toks}, {query})"
     if last_prefix:
         hit = (f"filter(array_distinct({toks}), t -> array_contains({query}, t) "
-               f"or startswith(t, element_at({query}, -1)))")
+               f"or startswith(t, try_element_at({query}, -1)))")
     return f"size({hit}) / size(array_distinct({toks}))"
 
 
