@@ -38,22 +38,27 @@ def records(cat: Catalog, work_class: str | None = None,
     state = cat.state if single_state else latest_state(cat)
     users = cat.labels_of("user")
     titles = cat.labels_of("graph").select(F.col("uri").alias("g"), F.col("label").alias("title"))
+
+    def labelled(who, name):
+        pairs = state.select("g", F.col(who).alias("uri")).filter("uri is not null")
+        pairs = pairs if single_state else pairs.distinct()
+        return pairs.join(users, "uri").select("g", F.col("label").alias(name))
+
+    # The optional block as a whole first, then its outer join; all by graph.
+    people = labelled("creator", "user").join(labelled("modifier", "changed_by"), "g", "left")
     rows = (
         types.filter(F.col("g") != M.VOCAB_GRAPH).select("g", "class")
-        .join(state, "g", "left")
-        .join(titles, "g", "left")
-        .join(users.select(F.col("uri").alias("creator"), F.col("label").alias("user")),
-              "creator", "left")
-        .join(users.select(F.col("uri").alias("modifier"), F.col("label").alias("changed_by")),
-              "modifier", "left")
+        .join(state.select("g", "status", "generated_at"), "g", "left")
+        .join(titles, "g", "left").join(people, "g", "left")
     )
+
     def shown(x, name, alone="-"):
         whole = "title is not null and generated_at is not null and status is not null"
         return f"coalesce(if({whole}, {x}, null), '{alone}') as {name}"
 
     return rows.selectExpr(
         "g", shown("title", "title", "none"), shown("user", "user"),
-        shown("if(user is null, null, changed_by)", "modifier"),
+        shown("changed_by", "modifier"),
         shown("generated_at", "date"), shown("status", "stage"), "class").distinct()
 
 

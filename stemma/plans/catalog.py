@@ -111,7 +111,7 @@ def _quad(df, s, p, o, kind, o_type, g) -> DataFrame:
 def to_quads(cat: Catalog) -> DataFrame:
     lab = cat.labels.select("uri", "label", "kind")
     mentioned = (
-        cat.links.select("g", "target", label_kind(F.col("role")).alias("kind")).distinct()
+        cat.links.select("g", "target", label_kind(F.col("role")).alias("kind"))
         .join(lab.withColumnRenamed("uri", "target"), ["target", "kind"])
     )
     users = (

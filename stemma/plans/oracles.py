@@ -666,7 +666,12 @@ ORACLES: dict[str, str] = {
     "nquads_lines": f"""{WQ} select p, count(*) as n_lines, min(line) as first_line,
           max(line) as last_line, cast(sum(length(line)) as bigint) as n_chars
         from (select p, {NQ_LINE} as line from quads) group by p""",
+    "import_stream": f"{WQ} select p, {PER_P} from quads group by p",
+    "read_batch": f"""with {BATCH} select id, title, year, link,
+        '[''' || array_to_string(types, ''', ''') || ''']' as main_theme from batch""",
+    "read_authority": """select distinct 'publishers' as kind, c_mktsegment || ', Ltd' as label
+        from customer union all select 'people', c_name from customer where c_custkey % 2 = 0""",
     "daily_quota": f"""select cast(user_id as varchar) as client, cast(ts as date) as day,
         count(*) as n_requests, count(*) > {QUOTA} as blocked from events group by 1, 2""",
 }
-ORACLES["daily_quota_stream"] = ORACLES["daily_quota"]
+ORACLES["daily_quota_stream"] = ORACLES["quota_log"] = ORACLES["daily_quota"]

@@ -16,8 +16,8 @@ from stemma.operators import (analytics as A, browse as Q, lifecycle as L, resol
                               search as S, transform as T, validate as V)
 from stemma.operators.ris import to_ris
 from stemma.plans.durable import new_path, written
-from stemma.sources import adapter, exports, nquads, templates
-from stemma.streaming import quota
+from stemma.sources import adapter, batch as batches, exports, nquads, templates
+from stemma.streaming import imports, quota
 
 CREATOR = "curator@example.org"
 MOMENT = "2024-01-01T00:00:00"
@@ -552,6 +552,40 @@ def nquads_lines(spark, sf):
         F.max("value").alias("last_line"), F.sum(F.length("value")).alias("n_chars"))
 
 
+@query
+def import_stream(spark, sf):
+    """The dump sent in twice through the import stream, counted per property."""
+    folder = new_path(spark, "import")
+    lines = nquads.nquads_lines(adapter.catalog(spark, sf).quads())
+    lines.unionByName(lines).write.text(f"{folder}/inbox")
+    imports.run_import(spark, f"{folder}/inbox", f"{folder}/quads",
+                       f"{folder}/checkpoint").awaitTermination()
+    return _per_property(imports.imported(spark, f"{folder}/quads"))
+
+
+# ---- files in ------------------------------------------------------------
+
+@query
+def read_batch(spark, sf):
+    """The spreadsheet written with capital headers and read as a batch."""
+    path = new_path(spark, "sheet")
+    rows = adapter.batch(spark, sf).withColumn("Unnamed: 36", F.lit("x"))
+    rows.toDF(*[c if c.startswith("Unnamed") else c.upper() for c in rows.columns]).write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False)
+    return batches.read_batch(spark, path).select("id", "title", "main_theme", "year", "link")
+
+
+@query
+def read_authority(spark, sf):
+    """Publisher names and people in a two-column list with blanks and repeats."""
+    path = new_path(spark, "names")
+    customers = adapter.table(spark, sf, "customer").selectExpr(
+        "c_mktsegment || ', Ltd' as `Publishers\n\"all\"`",
+        "if(c_custkey % 2 = 0, ' ' || c_name, '') as People", "c_acctbal as note")
+    customers.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False)
+    return batches.read_authority(spark, path, ["publishers", "people"])
+
+
 # ---- quotas --------------------------------------------------------------
 
 @query
@@ -569,3 +603,11 @@ def daily_quota_stream(spark, sf):
     quota.run_quota(log, f"{out}/counts", f"{out}/checkpoint", QUOTA, "user_id").awaitTermination()
     updates = spark.read.option("basePath", f"{out}/counts").parquet(f"{out}/counts/batch=*")
     return quota.latest_counts(updates)
+
+
+@query
+def quota_log(spark, sf):
+    """Events as request-log lines, parsed and counted."""
+    lines = adapter.table(spark, sf, "events").selectExpr(
+        "concat(cast(ts as string), ' --- ', user_id, ' --- ', event_type) as value")
+    return quota.daily_quota(quota.parse_log(lines), QUOTA)

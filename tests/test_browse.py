@@ -29,6 +29,16 @@ def test_records_of_incomplete_graph(spark, quads):
     assert (B + "w9/", "none", "-", "-", "-", "-", M.BOOK) in got
 
 
+def test_unlabelled_people_give_way_to_labelled_ones(spark, quads):
+    from stemma.plans.catalog import from_quads
+    g = B + "w2/"
+    more = spark.createDataFrame([
+        (g, M.ATTRIBUTED_TO, B + "nolabel", "uri", None, g),
+        (g, M.INFLUENCED_BY, B + "nolabel", "uri", None, g)], M.QUAD)
+    got = Q.records(from_quads(quads.unionByName(more)), M.BOOK)
+    assert rows(got, "user", "modifier") == [("u1@example.org", "u2@example.org")]
+
+
 def test_pages(cat):
     first = [r.g for r in Q.records_page(cat, 1, size=2).collect()]
     second = [r.g for r in Q.records_page(cat, 2, size=2).collect()]
