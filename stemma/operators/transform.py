@@ -98,7 +98,7 @@ def quad_facts(df: DataFrame, facts: list[str]) -> DataFrame:
 
 
 def _stated(df: DataFrame, facts: str) -> DataFrame:
-    out = df.selectExpr("g", f"inline(array_distinct({facts}))")
+    out = df.selectExpr("g", f"inline({facts})")
     return out.filter("o is not null and s is not null").select(*M.QUAD_COLUMNS)
 
 
