@@ -37,13 +37,16 @@ def has_all_tokens(toks: str, query: str, last_prefix: bool) -> str:
             f"and exists({toks}, t -> startswith(t, try_element_at({query}, -1)))")
 
 
-def relevance(toks: str, query: str, last_prefix: bool) -> str:
-    """Share of distinct text tokens that the query hits."""
+def relevance(toks: str, query: str, last_prefix: bool, total: str | None = None) -> str:
+    """Share of distinct text tokens that the query hits.
+
+    `toks` are distinct; `total` is their number where `toks` is a part of them.
+    """
     hit = f"array_intersect({toks}, {query})"
     if last_prefix:
-        hit = (f"filter(array_distinct({toks}), t -> array_contains({query}, t) "
+        hit = (f"filter({toks}, t -> array_contains({query}, t) "
                f"or startswith(t, try_element_at({query}, -1)))")
-    return f"size({hit}) / size(array_distinct({toks}))"
+    return f"size({hit}) / {total or f'size({toks})'}"
 
 
 def search_title(cat: Catalog, query: str) -> DataFrame:
@@ -59,7 +62,8 @@ def search_label(cat: Catalog, query: str, roles: list[str],
     """(work, label) of works linking by `roles` to a label with all tokens."""
     kinds = sorted({M.LABEL_KINDS.get(r, r) for r in roles})
     q = _query_tokens(query)
-    hits = cat.labels_of(*kinds).selectExpr("uri", "label", f"{X.tokens('label')} as toks").filter(
+    hits = cat.labels_of(*kinds).selectExpr(
+        "uri", "label", f"array_distinct({X.tokens('label')}) as toks").filter(
         f"{has_all_tokens('toks', q, False)} and "
         f"{relevance('toks', q, False)} >= {min_relevance}").select("uri", "label").distinct()
     return (cat.links_of(*roles).select("work", F.col("target").alias("uri"))
@@ -147,28 +151,30 @@ def label_search(queries: DataFrame, labels: DataFrame, last_prefix: bool = Fals
     """(query, uri, label, score) of every label that has all query tokens.
 
     `queries` has a text column `query`, `labels` has `uri` and `label`. The
-    index holds only tokens that occur in a query, and text hashes instead of
-    texts, each once however many copies exist. Texts are compared with the
-    query at the end, so two texts of one hash do no harm.
+    index holds only tokens that some query can hit, each once per text, so
+    texts are read and cut into tokens once and never shuffled. A query looks up
+    its rarest full token and checks the others on the candidate.
 
     Equal labels are indexed once and meet their URIs last. With `long_texts`
-    (documents, few copies) that step is left out, as it would shuffle texts.
+    (documents, few copies) every text is its own unit and the label is left out
+    of the result.
     """
     asked = queries.select("query").distinct().selectExpr(
         "query", f"{X.tokens('query')} as q").filter("size(q) > 0")
-    texts = labels.select("uri", "label") if long_texts else labels.select("label").distinct()
-    texts = texts.selectExpr("*", "xxhash64(label) as id",
-                             f"array_distinct({X.tokens('label')}) as toks")
-    words = texts.selectExpr("id", "explode(toks) as token")
+    toks = f"array_distinct({X.tokens('label')}) as toks"
+    units = (labels.selectExpr("struct(uri, xxhash64(label) as text) as id", toks) if long_texts
+             else labels.select("label").distinct().selectExpr("label as id", toks))
+    # The outer form spares a filter that would cut the text into tokens again.
+    words = units.selectExpr("id", "size(toks) as n_tokens", "explode_outer(toks) as token")
     usable = "slice(q, 1, size(q) - 1)" if last_prefix else "q"
     full = asked.selectExpr("query", "q", f"explode(array_distinct({usable})) as token")
     wanted = full.select("token")
     if last_prefix:
-        # One unfinished token: typed prefix and vocabulary meet on the prefix.
-        single = asked.filter("size(q) = 1").selectExpr("query", "q", "q[0] as prefix")
+        # Unfinished token: typed prefix and vocabulary meet on the prefix.
+        ends = asked.selectExpr("query", "q", "element_at(q, -1) as prefix")
         starts = words.select("token").distinct().selectExpr(
             "token", "explode(transform(sequence(1, length(token)), n -> left(token, n))) as prefix")
-        begun = starts.join(single, "prefix").select("query", "q", "token")
+        begun = starts.join(ends, "prefix").select("query", "q", "token")
         wanted = wanted.unionByName(begun.select("token"))
     postings = words.join(wanted.distinct(), "token", "left_semi").distinct()
     freq = postings.groupBy("token").agg(F.count("*").alias("n"))
@@ -178,17 +184,22 @@ def label_search(queries: DataFrame, labels: DataFrame, last_prefix: bool = Fals
         .agg(F.expr("min_by(token, struct(coalesce(n, 0), token))").alias("token"))
     )
     if last_prefix:
-        driver = driver.unionByName(begun)
-    pairs = salted_join(postings, driver, "token", ["id"], most_frequent(freq, "token", hot_rows))
+        driver = driver.unionByName(begun.filter("size(q) = 1"))
+    pairs = salted_join(postings.select("token", "id"), driver, "token", ["id"],
+                        most_frequent(freq, "token", hot_rows))
+    found = postings.groupBy("id").agg(F.collect_set("token").alias("toks"),
+                                       F.max("n_tokens").alias("n_tokens"))
     hits = (
-        texts.join(pairs.select("id", "query", "q").distinct(), "id")
+        pairs.select("id", "query", "q").distinct().join(found, "id")
         .filter(has_all_tokens("toks", "q", last_prefix))
-        .selectExpr("*", f"{relevance('toks', 'q', last_prefix)} as score")
+        .selectExpr("*", f"{relevance('toks', 'q', last_prefix, 'n_tokens')} as score")
         .filter(F.col("score") >= min_relevance)
     )
-    if not long_texts:
-        hits = hits.select("query", "label", "score").join(labels.select("uri", "label"), "label")
-    return hits.select("query", "uri", "label", "score").distinct()
+    if long_texts:
+        return hits.selectExpr("query", "id.uri as uri", "score").distinct()
+    return hits.selectExpr("query", "id as label", "score").join(
+        labels.select("uri", "label"), "label").select(
+        "query", "uri", "label", "score").distinct()
 
 
 def best_per_query(hits: DataFrame, k: int) -> DataFrame:
@@ -242,5 +253,5 @@ def link_mentions(texts: DataFrame, labels: DataFrame, max_words: int = 4) -> Da
         return f"transform({starts}, i -> array_join(slice(toks, i, {n}), ' '))"
 
     runs = ", ".join(grams(n) for n in range(1, max_words + 1))
-    found = toks.selectExpr("doc", f"explode(array_distinct(flatten(array({runs})))) as gram")
+    found = toks.selectExpr("doc", f"explode_outer(array_distinct(flatten(array({runs})))) as gram")
     return found.join(keys, "gram").select("doc", "uri", "label").distinct()

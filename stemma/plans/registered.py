@@ -189,7 +189,7 @@ def label_search_batch(spark, sf):
         F.col("doc_id").cast("string").alias("uri"), F.col("text").alias("label"))
     asked = adapter.table(spark, sf, "benchmark").select(F.col("text").alias("query")).unionByName(
         _site_names(spark, sf).select(F.col("label").alias("query")))
-    return S.label_search(asked, docs, long_texts=True).select("query", "uri", "score")
+    return S.label_search(asked, docs, long_texts=True)
 
 
 @query
