@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stemma.llm.near import near_duplicates
+from stemma.llm.repeats import repeated_spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return repeated_spans(table(spark, sf_dir, "documents"), length=50).drop("spans")
+
+
 def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
 
 
-LLM_REGISTRY = {f.__name__: f for f in (op10_near_duplicates,)}
+LLM_REGISTRY = {f.__name__: f for f in (op1_suffix_dedup, op10_near_duplicates)}
 LLM_ORACLES: dict[str, str] = {}
