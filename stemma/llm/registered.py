@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stemma.llm.bpe import encode_digests
+from stemma.llm.licenses import scan_licenses
 from stemma.llm.near import near_duplicates
+from stemma.llm.packing import pack
 from stemma.llm.repeats import repeated_spans
 
 
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,9 +24,21 @@ def op1_suffix_dedup(spark, sf_dir):
     return repeated_spans(table(spark, sf_dir, "documents"), length=50).drop("spans")
 
 
+def op4_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer(), size=2048, end_id=0)
+
+
+def op7_bpe(spark, sf_dir):
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
 
 
-LLM_REGISTRY = {f.__name__: f for f in (op1_suffix_dedup, op10_near_duplicates)}
+LLM_REGISTRY = {f.__name__: f for f in (op1_suffix_dedup, op4_license_scan, op6_best_fit_packing, op7_bpe, op10_near_duplicates)}
 LLM_ORACLES: dict[str, str] = {}
