@@ -1,0 +1,68 @@
+"""From raw documents to packed training sequences: five stages, each on all that its predecessor kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from stemma.llm.language import identify
+from stemma.llm.near import SMALL, near_duplicates
+from stemma.llm.packing import pack
+from stemma.llm.quality import rate
+from stemma.llm.repeats import without_repeats
+from stemma.plans.durable import written
+
+SURE = 0.3             # least share of the best language
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those of no language in particular."""
+    told = identify(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select("_row.*")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are unlikely to have the highest grade."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    told = rate(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), labels)
+    return told.filter("kept").select("_row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, and one row of each doc_id."""
+    gone = near_duplicates(docs, words=5, similarity=0.8).filter(~F.col("kept")).select("doc_id").distinct()
+    gone = written(gone, "copies")
+    if gone.count() <= SMALL:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = written(left.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+                    .select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = (left.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order))
+           .filter("_nth = 1").select(docs.columns))
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts strings of 50 bytes that an earlier document already holds."""
+    cut = without_repeats(docs, length=50)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens."""
+    import public_tokenizers
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=0)
+
+
+STAGES = [("language", language), ("quality", quality), ("near_copies", near_copies),
+          ("repeats", repeats), ("packing", packing)]
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

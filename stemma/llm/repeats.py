@@ -9,16 +9,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType
 
 from stemma.llm.arrays import Hasher, mix, utf8
+from stemma.llm.ranges import bounds_of, range_number
 from stemma.llm.suffix import repeated, words8
 
 U64 = np.uint64
 GRAM = 16              # bytes of an anchor
 SHARD = 2_000_000      # bytes of text in one suffix array, about
 BUCKET = 16_000_000    # bytes of text whose anchors meet in one task, about
-RANGES = 1000          # doc_id ranges of about equal bytes, each cut further into even steps
 
 
 def _blocks(buf: np.ndarray, off: np.ndarray, length: int):
@@ -64,7 +63,7 @@ def _entries(anchor, block, buckets):
 
 def _text(table):
     """The shard's rows by doc_id, their bytes and offsets, and the rank of each row's doc_id."""
-    table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     buf, off = utf8(table.column("text"))
     ids = table.column("doc_id").to_numpy()
     return table, buf, off, np.cumsum(np.r_[True, ids[1:] != ids[:-1]][:len(ids)])
@@ -190,7 +189,7 @@ _DONE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed"
                    ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
 
 
-def _apply(length):
+def _apply(length, texts):
     def run(table, marks):
         table, buf, off, _ = _text(table)
         n = len(buf)
@@ -200,6 +199,11 @@ def _apply(length):
             np.add.at(steps, at, 1)
             np.add.at(steps, at + length, -1)
         gone = np.cumsum(steps[:n]) > 0
+        if texts:
+            kept = [buf[a:b][~gone[a:b]].tobytes().decode(errors="ignore") if gone[a:b].any() else None
+                    for a, b in zip(off[:-1], off[1:])]
+            kept = pc.coalesce(pa.chunked_array([pa.array(kept, pa.string())]), table.column("text"))
+            return table.select(["doc_id", "rest"]).append_column("text", kept)
         edge = np.zeros(n + 1, bool)
         edge[off] = True
         first = np.flatnonzero(gone & (edge[:n] | ~np.r_[False, gone[:-1]][:n]))
@@ -219,6 +223,19 @@ def _apply(length):
     return run
 
 
+def _shards(docs: DataFrame, length: int, texts: bool, schema) -> DataFrame:
+    total, bounds = bounds_of(docs, SHARD)
+    buckets = max(1, math.ceil(total / BUCKET))
+    lost = -1 - F.pmod(F.xxhash64("text"), F.lit(max(1, total // SHARD)))
+    dealt = docs.withColumn("shard", F.when(F.col("doc_id").isNull(), lost).otherwise(range_number(bounds, "doc_id")))
+    by_shard = dealt.groupBy("shard")
+    sent = by_shard.applyInArrow(_send(length, buckets), _SENT)
+    known = sent.groupBy("bucket").applyInArrow(_merge_blocks, "shard long, bucket long, data binary")
+    left = by_shard.cogroup(known.groupBy("shard")).applyInArrow(_resolve(length, buckets), _SENT)
+    marks = left.groupBy("bucket").applyInArrow(_merge_strings, "shard long, data binary")
+    return by_shard.cogroup(marks.groupBy("shard")).applyInArrow(_apply(length, texts), schema)
+
+
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """What an earlier document already holds: one row per row of `docs`.
 
@@ -243,42 +260,17 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     a shard, or a bucket whose size follows BUCKET; very long documents are shards of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    share = [i / RANGES for i in range(RANGES + 1)]
-    total, weights = docs.agg(
-        F.sum(size), F.percentile_approx("doc_id", share, 20 * RANGES)).first()
-    shards = max(1, math.ceil((total or 0) / SHARD))
-    buckets = max(1, math.ceil((total or 0) / BUCKET))
-    bounds = np.array(weights or [0, 0], np.int64)
-    steps = math.ceil(shards / RANGES)
-    if shards < RANGES:
-        bounds = bounds[np.linspace(0, RANGES if weights else 1, shards + 1).astype(int)]
-
-    def number(ids: pa.Array) -> pa.Array:
-        x = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)
-        r = np.clip(np.searchsorted(bounds, x, "right") - 1, 0, len(bounds) - 2)
-        wide = np.maximum(bounds[r + 1] - bounds[r], 1)
-        part = np.clip((x - bounds[r]) * steps // wide, 0, steps - 1)
-        return pa.array(r * steps + part, pa.int64())
-
-    shard = F.arrow_udf(number, LongType())
-    lost = -1 - F.pmod(F.xxhash64("text"), F.lit(shards))
-    dealt = docs.withColumn("shard", F.when(F.col("doc_id").isNull(), lost).otherwise(shard("doc_id")))
-    by_shard = dealt.groupBy("shard")
-    sent = by_shard.applyInArrow(_send(length, buckets), _SENT)
-    known = sent.groupBy("bucket").applyInArrow(_merge_blocks, "shard long, bucket long, data binary")
-    left = by_shard.cogroup(known.groupBy("shard")).applyInArrow(_resolve(length, buckets), _SENT)
-    marks = left.groupBy("bucket").applyInArrow(_merge_strings, "shard long, data binary")
-    return by_shard.cogroup(marks.groupBy("shard")).applyInArrow(
-        _apply(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
-
-
-def without_spans(text: str | None, spans: list[int] | None) -> str | None:
-    """The text without the byte ranges; a character cut in two goes as a whole."""
-    if not text or not spans:
-        return text
-    raw, out, at = text.encode(), [], 0
-    for a, b in zip(spans[::2], spans[1::2]):
-        out.append(raw[at:a])
-        at = b
-    return b"".join(out + [raw[at:]]).decode(errors="ignore")
+    return _shards(docs, length, False, "doc_id long, n_bytes long, n_removed long, n_spans long, "
+                                        "kept_sha256 string, spans array<long>")
+
+
+def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+    """`docs` with the bytes that `repeated_spans` finds taken out of text; all other columns stay.
+
+    A character of which only some bytes go is dropped as a whole. Null text stays null.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias("_"))
+    moved = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"))
+    moved = moved.withColumn("rest", F.col("rest").dropFields("text"))
+    out = _shards(moved, length, True, moved.select("doc_id", "rest", "text").schema)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns])
