@@ -15,6 +15,8 @@ from stemma.plans.durable import written
 
 U64 = np.uint64
 SLICE = 4 << 20        # bytes of text handled at once inside a task
+SMALL = 1_000_000      # so many ids are sent to all executors (16 MB); more are joined by a shuffle
+BLOCK = 256            # documents of a block whose pairs are confirmed together
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -35,10 +37,9 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, words: int) -> Iterator[np.nd
         if b - a >= words:
             yield np.unique(grams[a:b - words + 1])
         elif b > a:
-            short = U64(b - a)
-            for j, w in enumerate(h[a:b]):
-                short = short + mix(np.array([w + U64(j + 1)], np.uint64))[0] * U64(2 * j + 3)
-            yield mix(np.array([short], np.uint64))
+            place = np.arange(1, b - a + 1, dtype=np.uint64)
+            one = mix(h[a:b] + place) * (place * U64(2) + U64(1))
+            yield mix(one.sum(keepdims=True) + U64(b - a))
         else:
             yield np.zeros(0, np.uint64)
 
@@ -179,25 +180,88 @@ def _stars(width: int, least: float):
     return run
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """The pairs that join two different sets when taken in turn; `root` gives the sets at first."""
+    parent = list(range(n)) if root is None else root.tolist()
+
+    def top(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    used = []
+    for x, y in zip(a.tolist(), b.tolist()):
+        p, q = top(x), top(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            used.append((x, y))
+    return used
+
+
+def _pairs(ids, used):
+    return pa.record_batch([pa.array(ids[[x for x, _ in used]] if used else ids[:0]),
+                            pa.array(ids[[y for _, y in used]] if used else ids[:0])], schema=_PAIR)
+
+
 def _across(width: int, least: float):
-    """Likely pairs of a block between a minor member and a member of another component."""
+    """Likely pairs of a block between a minor member and a member of another component.
+
+    Only as many as span the block's likely pairs are given, at most one less than its members.
+    """
     def run(batches):
         for table in _whole_groups(batches):
             ids, comp = table.column("id").to_numpy(), table.column("component").to_numpy()
             sketch = _matrix(table.column("sketch"), width)
             minor = table.column("minor").to_numpy()
             cut = np.r_[_firsts(table), len(ids)]
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            end = cut[np.searchsorted(cut, np.arange(len(ids)), "right")]
-            begin = cut[np.searchsorted(cut, np.arange(len(ids)), "right") - 1]
-            for i in np.flatnonzero(minor):
-                at = slice(begin[i], end[i])
-                other = (comp[at] != comp[i]) & (~minor[at] | (ids[at] > ids[i]))
-                hit = begin[i] + np.flatnonzero(other)
-                hit = hit[(sketch[hit] == sketch[i]).mean(axis=1) >= least]
-                a.append(np.full(len(hit), ids[i]))
-                b.append(ids[hit])
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=_PAIR)
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                a, b = [], []
+                for i in np.flatnonzero(minor[lo:hi]):
+                    hit = np.flatnonzero((comp[lo:hi] != comp[lo + i])
+                                         & (~minor[lo:hi] | (ids[lo:hi] > ids[lo + i])))
+                    hit = hit[(sketch[lo + hit] == sketch[lo + i]).mean(axis=1) >= least]
+                    a.append(np.full(len(hit), i))
+                    b.append(hit)
+                if a:
+                    yield _pairs(ids[lo:hi], _joined(hi - lo, np.concatenate(a), np.concatenate(b)))
+    return run
+
+
+def _intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of presence matrices."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared.sum()), columns):
+        i, j = np.searchsorted(column, (lo, lo + columns))
+        has = np.zeros((n, columns), np.float32)
+        has[row[i:j], column[i:j] - lo] = 1
+        both += has @ has.T
+    return both.astype(np.int64)
+
+
+def _linked(percent: int):
+    """Links of a block that join two components, confirmed on full sets."""
+    def run(batches):
+        for table in _whole_groups(batches):
+            cut = np.r_[_firsts(table), table.num_rows]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                part = table.slice(lo, hi - lo)
+                ids, comp = part.column("id").to_numpy(), part.column("component").to_numpy()
+                if len(ids) < 2 or (comp == comp[0]).all():
+                    continue
+                sets = [np.array(x.values.to_numpy()) for x in part.column("grams")]
+                both, size = _intersections(sets), np.array([len(x) for x in sets])
+                link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+                a, b = np.nonzero(np.triu(link & (comp[:, None] != comp[None, :]), 1))
+                _, first, kind = np.unique(comp, return_index=True, return_inverse=True)
+                yield _pairs(ids, _joined(len(ids), a, b, first[kind]))
     return run
 
 
@@ -222,9 +286,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tr
     into blocks of about `node_size`, each still unassigned document with the
     smallest id against the rest, and the blocks' documents against the node's
     smallest id. Links found are confirmed on full sets and joined to components.
-    Then every pair of a node that the sketches call likely and that still lies
-    in different components is confirmed too; a node whose documents are in one
-    component needs no further look, so a group of thousands of copies costs one
+    Then pairs of a node that the sketches call likely and that still lie in different
+    components tie their documents to a cluster. In each cluster all pairs between
+    components are confirmed on full sets, block by block, where the pairs inside the
+    largest component are left out, as no link in it can change anything; only links that
+    join components leave a task. So a group of thousands of copies costs one
     star, not all its pairs. With 24 trees of depth 2 a pair at exactly 0.8 meets
     somewhere with a probability above 0.9999. Sketches drop a pair only where fewer than 55 %
     of 64 tokens agree, five deviations below 0.8.
@@ -260,33 +326,58 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, tr
         both = F.size(F.array_intersect("x", "y"))
         return two.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
-    def sets_of(pairs):
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def sets_of(ids):
+        ids = written(ids.distinct(), "near-ids")
+        if ids.count() <= SMALL:
+            ids = F.broadcast(ids)
         return written(docs.join(ids, "id", "left_semi")
                        .mapInArrow(_sets(words), "id long, grams array<long>").distinct(), "near-sets")
 
-    links = written(confirmed(first, sets_of(first)), "near-links")
+    def ends(pairs):
+        return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+    links = written(confirmed(first, sets_of(ends(first))), "near-links")
     # rows of one doc_id may stand for several classes
     tied = members.filter("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    part = components(links.unionByName(tied), "near-components")
-
-    own = nodes.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    count = own.groupBy("path", "component").agg(F.count("*").alias("n"))
-    main = (count.groupBy("path").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
-                                      F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds"))
-    own = own.join(main, "path").withColumn("minor", F.expr("component != main")).drop("main", "hub")
-    own = own.withColumn("block", F.when(
+    links = links.unionByName(tied)
+    part = components(links, "near-components")
+
+    def with_minor(rows, key):
+        """Rows of keys with several components, and whether theirs is another than the largest."""
+        own = rows.join(part, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        count = own.groupBy(key, "component").agg(F.count("*").alias("n"))
+        main = (count.groupBy(key).agg(F.max_by("component", F.struct("n", "component")).alias("main"),
+                                       F.sum("n").alias("members"), F.max("n").alias("majors"),
+                                       F.count("*").alias("kinds")).filter("kinds > 1"))
+        return own.join(main, key).withColumn("minor", F.expr("component != main"))
+
+    own = with_minor(nodes.select("path", "size", "id"), "path")
+    own = own.withColumn("block", F.explode(F.when(
         F.col("minor"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(
-        F.array(F.pmod(F.xxhash64("id"), blocks)))).withColumn("block", F.explode("block"))
-    rest = (own.select("path", "block", "id", "component", "minor").join(sketch, "id")
-            .repartition("path", "block").sortWithinPartitions("path", "block", "id")
-            .mapInArrow(_across(forest.width, least), "a long, b long"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        more = written(confirmed(rest, sets_of(rest)), "near-links")
+        F.array(F.pmod(F.xxhash64("id"), blocks)))))
+    likely = (own.select("path", "block", "id", "component", "minor").join(sketch, "id")
+              .repartition("path", "block").sortWithinPartitions("path", "block", "id")
+              .mapInArrow(_across(forest.width, least), "a long, b long").distinct())
+    likely = written(likely, "near-likely")
+    if not likely.isEmpty():
+        cluster = components(likely, "near-clusters").withColumnRenamed("component", "path")
+        own = with_minor(cluster, "path")
+        majors = F.ceil(F.col("majors") / BLOCK)
+        minors = F.ceil((F.col("members") - F.col("majors")) / BLOCK)
+        at = F.when(F.col("minor"), F.pmod(F.xxhash64("id"), minors)).otherwise(
+            minors + F.pmod(F.xxhash64("id"), majors)).alias("at")
+        own = own.select("path", "id", "component", "minor", at, majors.alias("majors"), minors.alias("minors"))
+        # a minor block meets every block, a major block only the minor ones
+        other = F.expr("sequence(0L, if(minor, minors + majors, minors) - 1)")
+        own = own.withColumn("other", F.explode(other)).withColumn(
+            "block", F.least("at", "other") * (F.col("minors") + F.col("majors")) + F.greatest("at", "other"))
+        sets = sets_of(cluster.select("id"))
+        more = (own.select("path", "block", "id", "component").join(sets, "id")
+                .repartition("path", "block").sortWithinPartitions("path", "block", "id")
+                .mapInArrow(_linked(percent), "a long, b long"))
+        more = written(more, "near-links")
         if not more.isEmpty():
-            part = components(links.unionByName(tied).unionByName(more), "near-components")
+            part = components(links.unionByName(more), "near-components")
     return (seen.select(F.col("id").alias("doc_id"), "n_shingles")
             .join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
