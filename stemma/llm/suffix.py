@@ -54,24 +54,31 @@ def suffix_array(buf: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, i
     new = _fresh(key)
     head = np.flatnonzero(new)
     size = np.diff(np.r_[head, n])
-    rank = np.zeros(n + 1, np.int64)
-    rank[sa] = np.repeat(head, size) + 1
-    tied = np.flatnonzero(np.repeat(size, size) > 1)
+    rank = np.zeros(n + 1, np.uint32)
+    rank[sa] = np.repeat((head + 1).astype(np.uint32), size)
+    more = np.repeat(size > 1, size)
+    tied = np.flatnonzero(more)
+    head = np.repeat(head, size)[more]
     deep = ~new
     reach = h
     while h < depth and len(tied):
         at = sa[tied]
-        group = np.cumsum(_fresh(rank[at])) - 1
-        key = (group.astype(np.uint64) << np.uint64(place + 1)) | rank[np.minimum(at + h, n)].astype(np.uint64)
+        first = np.empty(len(tied), bool)
+        first[0] = True
+        np.not_equal(head[1:], head[:-1], out=first[1:])
+        group = np.cumsum(first, dtype=np.uint32) - np.uint32(1)
+        key = (group.astype(np.uint64) << np.uint64(place + 1)) | rank[np.minimum(at + h, n)]
         deep, reach = np.zeros(n, bool), h
-        deep[tied] = ~_fresh(group)
+        deep[tied] = ~first
         key, order = _ordered(key, int(group[-1]).bit_length() + place + 1)
         at = at[order]
         sa[tied] = at
         begin = np.flatnonzero(_fresh(key))
         size = np.diff(np.r_[begin, len(tied)])
-        rank[at] = np.repeat(tied[begin], size) + 1
-        tied = tied[np.repeat(size, size) > 1]
+        head = np.repeat(tied[begin], size)
+        rank[at] = head + 1
+        more = np.repeat(size > 1, size)
+        tied, head = tied[more], head[more]
         h *= 2
     return sa, deep, reach
 
