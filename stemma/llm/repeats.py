@@ -20,8 +20,14 @@ SHARD = 2_000_000      # bytes of text in one suffix array, about
 BUCKET = 16_000_000    # bytes of text whose anchors meet in one task, about
 
 
+_ENTRY = np.dtype([("anchor", "<u4"), ("block", "<u8"), ("left", "<u4"), ("right", "<u4")])
+
+
 def _blocks(buf: np.ndarray, off: np.ndarray, length: int):
-    """Strings of `length` bytes by their anchor: (first start, last start, anchor hash, block hash).
+    """Strings of `length` bytes by their anchor: (first start, last start, anchor, entry).
+
+    An entry holds the anchor's hash, the block's hash and hashes of the SIDE bytes to the left
+    and right of the anchor together with it, 0 where a document ends before.
 
     The anchor of a string is the 16 bytes in it with the least hash, the leftmost of equals, so
     equal strings have equal anchors wherever they stand. A block is a run of starts with one
@@ -43,22 +49,35 @@ def _blocks(buf: np.ndarray, off: np.ndarray, length: int):
     starts = np.flatnonzero(np.arange(n) + length <= ends)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, np.zeros(0, _ENTRY)
     anchor = (least[starts] & ((U64(1) << bits) - U64(1))).astype(np.int64)
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     lo, hi, at = starts[first], starts[np.r_[first[1:] - 1, len(starts) - 1]], anchor[first]
-    return lo, hi, gram[at], Hasher(buf).of(lo, hi + length)
+    hasher, side = Hasher(buf), (length - GRAM) // 2
+    row = np.searchsorted(off, at, "right")
+    out = np.zeros(len(at), _ENTRY)
+    out["anchor"], out["block"] = gram[at] >> U64(32), hasher.of(lo, hi + length)
+    left, right = at - side >= off[row - 1], at + GRAM + side <= off[row]
+    out["left"][left] = hasher.of(at[left] - side, at[left] + GRAM) >> U64(32) | U64(1)
+    out["right"][right] = hasher.of(at[right], at[right] + GRAM + side) >> U64(32) | U64(1)
+    return lo, hi, at, out
+
 
+def _entries(entry, buckets):
+    """Distinct entries by bucket, the cuts between buckets, and the place of each given one."""
+    bucket = (mix(entry["anchor"].astype(np.uint64)) % U64(buckets)).astype(np.int64)
+    order = np.lexsort((entry["block"], entry["anchor"], bucket))
+    e = entry[order]
+    new = np.r_[True, (e["anchor"][1:] != e["anchor"][:-1]) | (e["block"][1:] != e["block"][:-1])][:len(e)]
+    place = np.empty(len(e), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return e[new], np.searchsorted(bucket[order][new], np.arange(buckets + 1)), place
 
-def _entries(anchor, block, buckets):
-    """Distinct (anchor, block) by bucket, the cuts between buckets, and each block's entry."""
-    bucket = (anchor % U64(buckets)).astype(np.int64)
-    order = np.lexsort((block, anchor, bucket))
-    b, a, k = bucket[order], anchor[order], block[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])][:len(a)]
-    entry = np.empty(len(a), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    return a[new], k[new], np.searchsorted(b[new], np.arange(buckets + 1)), entry
+
+def _runs(mark):
+    """Starts and ends of the runs of a mask, as bytes of 32-bit numbers."""
+    edge = np.flatnonzero(np.diff(np.r_[False, mark, False].astype(np.int8)))
+    return edge.astype(np.uint32).tobytes()
 
 
 def _text(table):
@@ -75,14 +94,12 @@ def _send(length, buckets):
         rows = {"bucket": [], "shard": [], "data": []}
         if shard >= 0:
             _, buf, off, _ = _text(table)
-            _, _, anchor, block = _blocks(buf, off, length)
-            anchor, block, cut, _ = _entries(anchor, block, buckets)
+            entry, cut, _ = _entries(_blocks(buf, off, length)[3], buckets)
             for k in range(buckets):
                 if cut[k + 1] > cut[k]:
-                    at = slice(cut[k], cut[k + 1])
                     rows["bucket"].append(k)
                     rows["shard"].append(shard)
-                    rows["data"].append(np.r_[anchor[at], block[at]].tobytes())
+                    rows["data"].append(entry[cut[k]:cut[k + 1]].tobytes())
         return pa.table(rows, schema=_sent)
     return run
 
@@ -91,27 +108,40 @@ _sent = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("data", pa.bi
 _SENT = "bucket long, shard long, data binary"
 
 
+def _shared(key, anchor, shard):
+    """Whether another shard has the same key (not 0) at the same anchor."""
+    both = mix(anchor.astype(np.uint64) << U64(32) | key)
+    order = np.lexsort((shard, both))
+    b, s = both[order], shard[order]
+    head = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+    size = np.diff(np.r_[head, len(b)])
+    out = np.empty(len(b), bool)
+    out[order] = np.repeat(s[head] < s[head + size - 1], size)
+    return out & (key != 0)
+
+
 def _merge_blocks(table):
-    """Tells each shard which of its blocks stand in an earlier shard (1), and which
-    may share a string with another block of the same anchor (2). Others are 0."""
+    """Tells each shard which of its blocks stand in an earlier shard (1). Of the first ones of
+    their kind, it tells which may share a string that reaches SIDE bytes to the left of the
+    anchor (2) or to the right of it (4) with a block of another shard; every string of a block
+    reaches so far on one side. Others are 0."""
     shards = table.column("shard").to_numpy()
-    sent = [np.frombuffer(d, np.uint64).reshape(2, -1) for d in table.column("data").to_pylist()]
-    anchors = np.unique(np.concatenate([x[0] for x in sent]))
-    # each shard's sorted anchors are looked up in the merged list by binary search
-    place = [np.searchsorted(anchors, x[0]) for x in sent]
-    at, block = np.concatenate(place), np.concatenate([x[1] for x in sent])
-    shard = np.repeat(shards, [x.shape[1] for x in sent])
-    order = np.lexsort((shard, block, at))
-    a, b = at[order], block[order]
+    sent = [np.frombuffer(d, _ENTRY) for d in table.column("data").to_pylist()]
+    entry, shard = np.concatenate(sent), np.repeat(shards, [len(x) for x in sent])
+    anchors = np.unique(np.concatenate([x["anchor"] for x in sent]))
+    # each shard's anchors are looked up in the merged list by binary search
+    at = np.concatenate([np.searchsorted(anchors, x["anchor"]) for x in sent])
+    order = np.lexsort((shard, entry["block"], at))
+    a, b = at[order], entry["block"][order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    first, last = np.full(len(anchors), np.iinfo(np.int64).max), np.full(len(anchors), -1)
-    np.minimum.at(first, at, shard)
-    np.maximum.at(last, at, shard)
-    kinds = np.bincount(a[new], minlength=len(anchors))
-    edge = (kinds > 1) & (first < last)
-    state = np.empty(len(at), np.uint8)
-    state[order] = np.where(new, 2 * edge[a], 1)
-    cut = np.cumsum([0] + [len(p) for p in place])
+    state = np.ones(len(at), np.uint8)
+    first = order[new]
+    state[first] = 0
+    several = first[np.bincount(a[new], minlength=len(anchors))[at[first]] > 1]
+    for side, flag in (("left", 2), ("right", 4)):
+        part = _shared(entry[side][several], entry["anchor"][several], shard[several])
+        state[several[part]] |= flag
+    cut = np.cumsum([0] + [len(x) for x in sent])
     return pa.table({"shard": shards, "bucket": table.column("bucket"),
                      "data": [state[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]},
                     schema=pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())]))
@@ -125,10 +155,10 @@ def _resolve(length, buckets):
         shard = table.column("shard")[0].as_py() if table.num_rows else -1
         if shard >= 0:
             _, buf, off, rank = _text(table)
-            lo, hi, anchor, block = _blocks(buf, off, length)
-            _, _, _, entry = _entries(anchor, block, buckets)
+            lo, hi, anchor, entry = _blocks(buf, off, length)
+            place = _entries(entry, buckets)[2]
             replies = replies.sort_by("bucket")
-            state = np.frombuffer(b"".join(replies.column("data").to_pylist()), np.uint8)[entry]
+            state = np.frombuffer(b"".join(replies.column("data").to_pylist()), np.uint8)[place]
             mark = repeated(buf, np.repeat(rank, np.diff(off)), length)
             steps = np.zeros(len(buf) + 1, np.int32)
             np.add.at(steps, lo[state == 1], 1)
@@ -136,9 +166,14 @@ def _resolve(length, buckets):
             mark |= np.cumsum(steps[:-1]) > 0
             rows["bucket"].append(-1 - shard)
             rows["shard"].append(shard)
-            rows["data"].append(np.flatnonzero(mark).astype(np.uint32).tobytes())
-            size = hi[state == 2] - lo[state == 2] + 1
-            at = np.repeat(lo[state == 2] - np.cumsum(np.r_[0, size[:-1]]), size) + np.arange(size.sum())
+            rows["data"].append(_runs(mark))
+            # strings that reach `side` bytes to the left start so far before the anchor at least
+            side = (length - GRAM) // 2
+            middle = anchor - side
+            begin = np.where(state & 2, lo, np.maximum(lo, length - 2 * side - GRAM + middle))
+            end = np.where(state & 4, hi, np.minimum(hi, middle))
+            size = np.where(state > 1, np.maximum(end - begin + 1, 0), 0)
+            at = np.repeat(begin - np.cumsum(np.r_[0, size[:-1]]), size) + np.arange(size.sum())
             at = at[~mark[at]]
             if len(at):
                 h = Hasher(buf).of(at, at + length)
@@ -180,7 +215,14 @@ def _merge_strings(table):
     new = np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
     first = s[np.flatnonzero(new)[np.cumsum(new) - 1]]
     late = order[s > first]
-    rows = [(int(x), at[late[shard[late] == x]].tobytes()) for x in np.unique(shard[late])]
+    late = late[np.lexsort((at[late], shard[late]))]
+    cut = np.flatnonzero(np.r_[True, np.diff(shard[late]) != 0, True]) if len(late) else []
+    rows = []
+    for i, j in zip(cut[:-1], cut[1:]):
+        p = at[late[i:j]].astype(np.int64)
+        edge = np.flatnonzero(np.r_[True, np.diff(p) > 1])
+        rows.append((int(shard[late[i]]), np.stack([p[edge], p[np.r_[edge[1:] - 1, len(p) - 1]] + 1], 1)
+                     .astype(np.uint32).tobytes()))
     return pa.table({"shard": [r[0] for r in rows], "data": [r[1] for r in rows]}, schema=_marks)
 
 
@@ -195,9 +237,9 @@ def _apply(length, texts):
         n = len(buf)
         steps = np.zeros(n + length + 1, np.int32)
         for data in marks.column("data").to_pylist():
-            at = np.frombuffer(data, np.uint32).astype(np.int64)
-            np.add.at(steps, at, 1)
-            np.add.at(steps, at + length, -1)
+            at = np.frombuffer(data, np.uint32).astype(np.int64).reshape(-1, 2)
+            np.add.at(steps, at[:, 0], 1)
+            np.add.at(steps, at[:, 1] + length - 1, -1)
         gone = np.cumsum(steps[:n]) > 0
         if texts:
             kept = [buf[a:b][~gone[a:b]].tobytes().decode(errors="ignore") if gone[a:b].any() else None
@@ -252,10 +294,10 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     smaller ids. Each shard builds one suffix array (ranks refined by doubling), gets common
     prefixes as in Kasai's method, and so finds all repeats within it. Across shards only
     anchors travel: every string has one, about one in 18 positions is an anchor, and
-    a shard sends each distinct (anchor, block) once, 16 bytes. Sorted lists are merged by
+    a shard sends each distinct (anchor, block) once, 20 bytes. Sorted lists are merged by
     binary search. A block known from an earlier shard is removed as a whole. Where two
-    blocks differ round one anchor, their single strings are merged in the same way, as two
-    64-bit hashes and a position; these are dealt by the string, not the anchor, so a line
+    blocks differ round one anchor but agree on one side of it, the single strings on that
+    side are merged in the same way, as two 64-bit hashes and a position; these are dealt by the string, not the anchor, so a line
     that stands in every third document does not gather in one task. No step holds more than
     a shard, or a bucket whose size follows BUCKET; very long documents are shards of their own.
     """
