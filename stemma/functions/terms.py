@@ -26,7 +26,13 @@ def vocab_uri(label: str, base: str = M.BASE) -> str:
 
 
 def work_class(publication_type: str) -> str:
-    return first_hit(f"lower(coalesce({publication_type}, ''))", M.CLASS_CASCADE, lit(M.WORK))
+    x = f"lower(coalesce({publication_type}, ''))"
+
+    def guard(text):
+        return f" and not contains({x}, {lit(M.CLASS_GUARDS[text])})" if text in M.CLASS_GUARDS else ""
+
+    whens = " ".join(f"when contains({x}, {lit(t)}){guard(t)} then {lit(v)}" for t, v in M.CLASS_CASCADE)
+    return f"case {whens} else {lit(M.WORK)} end"
 
 
 def template_of(work_class_uri: str) -> str:

@@ -100,6 +100,8 @@ CLASS_CASCADE = [
     ("book", BOOK), ("issue", JOURNAL_ISSUE), ("report", REPORT),
     ("grey literature", WORK),
 ]
+# A hit on the first text counts only without the second.
+CLASS_GUARDS = {"book": "chapter"}
 # Language series of the yearly chart.
 CHART_LANGUAGES = ["english", "italian", "spanish", "portuguese",
                    "german", "french", "polish", "dutch"]

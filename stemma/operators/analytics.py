@@ -77,13 +77,11 @@ def publishers_per_year(cat: Catalog, by: str = "uri") -> DataFrame:
     return per_year(cat, ["publisher"], by)
 
 
-def language_by_year(cat: Catalog, languages: list[str] | None = None) -> DataFrame:
-    """One row per year, one column of work counts per language series.
+def language_by_year(cat: Catalog) -> DataFrame:
+    """(year, language, count) of works, every language of every year.
 
-    The series are fixed, so the pivot needs no pass to find its columns.
     Counts of one language or year under several URIs add up.
     """
-    languages = languages or M.CHART_LANGUAGES
     years = cat.links_of("year").select("work", F.col("target").alias("year_uri"))
     langs = cat.links_of("language").select("work", F.col("target").alias("lang_uri"))
     counts = (
@@ -93,7 +91,16 @@ def language_by_year(cat: Catalog, languages: list[str] | None = None) -> DataFr
     lang_labels = one_label(cat.labels_of("language")).select(
         F.col("uri").alias("lang_uri"), F.lower("label").alias("lang"))
     named = _year_labels(counts.join(lang_labels, "lang_uri"), cat, "uri")
-    return named.groupBy("year").pivot("lang", languages).agg(F.sum("n")).orderBy("year")
+    return (named.groupBy("year", F.col("lang").alias("language"))
+            .agg(F.sum("n").alias("count")).orderBy("year", "language"))
+
+
+def language_chart(cat: Catalog, languages: list[str] | None = None) -> DataFrame:
+    """One row per year: a column per wanted series, and `other` for all further languages."""
+    languages = languages or M.CHART_LANGUAGES
+    series = F.when(F.col("language").isin(*languages), F.col("language")).otherwise("other")
+    return (language_by_year(cat).withColumn("series", series).groupBy("year")
+            .pivot("series", [*languages, "other"]).agg(F.sum("count")).orderBy("year"))
 
 
 # Columns of the wide export, in file order.

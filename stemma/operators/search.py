@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from stemma import model as M
 from stemma.functions import text as X
 from stemma.plans.catalog import Catalog
-from stemma.plans.skew import HOT_ROWS, most_frequent, salted_join
+from stemma.plans.skew import BLOCKS, blocked_join
 
 
 # ---- one query -----------------------------------------------------------
@@ -147,7 +147,7 @@ def advanced_search(cat: Catalog, criteria: dict[str, str]) -> DataFrame:
 
 def label_search(queries: DataFrame, labels: DataFrame, last_prefix: bool = False,
                  min_relevance: float = 0.0, long_texts: bool = False,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 blocks: int = BLOCKS) -> DataFrame:
     """(query, uri, label, score) of every label that has all query tokens.
 
     `queries` has a text column `query`, `labels` has `uri` and `label`. The
@@ -185,8 +185,7 @@ def label_search(queries: DataFrame, labels: DataFrame, last_prefix: bool = Fals
     )
     if last_prefix:
         driver = driver.unionByName(begun.filter("size(q) = 1"))
-    pairs = salted_join(postings.select("token", "id"), driver, "token", ["id"],
-                        most_frequent(freq, "token", hot_rows))
+    pairs = blocked_join(postings.select("token", "id"), driver, "token", ["id"], blocks)
     found = postings.groupBy("id").agg(F.collect_set("token").alias("toks"),
                                        F.max("n_tokens").alias("n_tokens"))
     hits = (
@@ -235,23 +234,31 @@ def prior_records(cat: Catalog, titles: DataFrame, work_class: str | None = None
 
 # ---- mentions in text ----------------------------------------------------
 
-def link_mentions(texts: DataFrame, labels: DataFrame, max_words: int = 4) -> DataFrame:
+def _run(words: str, n: int | str) -> str:
+    """Key of a run of words: the words, or their digest where there are many."""
+    joined = f"array_join({words}, ' ')"
+    return f"if({n} <= 4, {joined}, sha2({joined}, 256))"
+
+
+def link_mentions(texts: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct (doc, uri, label) of entity labels that occur in a text.
 
-    `texts`: doc, text. `labels`: uri, label. Word runs of up to `max_words`
-    are made distinct inside the document; only those that could be a label's
-    words go into the join.
+    `texts`: doc, text. `labels`: uri, label, of any number of words. Word runs of
+    just the lengths that labels have are made distinct inside the document and
+    meet the labels' words; longer runs meet as a digest, so a long label does not
+    multiply the text.
     """
-    keys = labels.select("uri", "label").distinct().selectExpr(
-        "uri", "label", f"{X.tokens('label')} as words").filter(
-        f"size(words) between 1 and {max_words}").selectExpr(
-        "uri", "label", "array_join(words, ' ') as gram")
+    named = labels.select("uri", "label").distinct().selectExpr(
+        "uri", "label", f"{X.tokens('label')} as words").filter("size(words) > 0")
+    keys = named.selectExpr("uri", "label", f"{_run('words', 'size(words)')} as gram")
+    # One small number per distinct label length reaches the driver.
+    lengths = sorted(r.n for r in named.selectExpr("size(words) as n").distinct().collect())
     toks = texts.selectExpr("doc", f"{X.tokens('text')} as toks")
 
     def grams(n: int) -> str:
         starts = f"if(size(toks) >= {n}, sequence(1, size(toks) - {n - 1}), array())"
-        return f"transform({starts}, i -> array_join(slice(toks, i, {n}), ' '))"
+        return f"transform({starts}, i -> {_run(f'slice(toks, i, {n})', n)})"
 
-    runs = ", ".join(grams(n) for n in range(1, max_words + 1))
+    runs = ", ".join(grams(n) for n in lengths) or "cast(array() as array<string>)"
     found = toks.selectExpr("doc", f"explode_outer(array_distinct(flatten(array({runs})))) as gram")
     return found.join(keys, "gram").select("doc", "uri", "label").distinct()

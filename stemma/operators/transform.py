@@ -247,11 +247,12 @@ def form_to_quads(submissions: DataFrame, fields: DataFrame, creators: DataFrame
         "value")
     kept_words = by_prefix.filter(f"field_id = 'keywords' and stage = '{M.MODIFIED}'").selectExpr(
         "work", "g", f"{lit(M.KEYWORDS)} as property", "value")
-    # 'id,name' with the name percent-encoded; a plus sign stands for itself.
+    # 'id,name' with the name percent-encoded; a plus or a stray per-cent sign stands for itself.
     many = linked.unionByName(kept_words).selectExpr(
         "work", "g", "property",
         f"translate({X.strip("split(value, ',', 2)[0]")}, '\"\\'', '') as id",
-        "url_decode(replace(split(value, ',', 2)[1], '+', '%2B')) as name")
+        r"url_decode(regexp_replace(replace(split(value, ',', 2)[1], '+', '%2B'), "
+        r"'%(?![0-9A-Fa-f]{2})', '%25')) as name")
     targets = single.unionByName(many).selectExpr(
         "work", "g", "property", f"concat({terms.uri_base('id', base)}, id) as target",
         f"{X.strip('name')} as label")

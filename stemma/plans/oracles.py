@@ -425,9 +425,13 @@ ORACLES: dict[str, str] = {
     "publishers_per_year": per_year("select y, seg as x from works"),
     "authors_per_year_label": f"""{W} select y as year, count(distinct sk) as count
         from works join lns using (k) group by y""",
-    "language_by_year": f"{W} select y as year, " + ", ".join(
+    "language_by_year": f"{W} select y as year, lower(n_name) as language, count(*) as count "
+                        "from works group by all",
+    "language_chart": f"{W} select y as year, " + ", ".join(
         f"nullif(count(case when lower(n_name) = 'nation_{i}' then 1 end), 0) as nation_{i}"
-        for i in range(8)) + " from works group by y",
+        for i in range(8)) + """, nullif(count(case when lower(n_name) not in (
+        'nation_0', 'nation_1', 'nation_2', 'nation_3', 'nation_4', 'nation_5', 'nation_6', 'nation_7')
+        then 1 end), 0) as other from works group by y""",
     "export_wide": W + EXPORT,
     "csv_export": f"""{W} select concat_ws(',', {", ".join(CSV_COLUMNS)}) as line
         from ({EXPORT})""",

@@ -46,13 +46,20 @@ on_catalog("authors_per_year", A.authors_per_year)
 on_catalog("publications_per_year", A.publications_per_year)
 on_catalog("topics_per_year", A.topics_per_year)
 on_catalog("publishers_per_year", A.publishers_per_year)
-on_catalog("language_by_year", A.language_by_year, CHART_NATIONS)
+on_catalog("language_by_year", A.language_by_year)
+on_catalog("language_chart", A.language_chart, CHART_NATIONS)
 on_catalog("authors_per_year_label", A.authors_per_year, by="label")
 on_catalog("export_wide", A.export_wide)
-on_catalog("csv_export", exports.csv_lines)
 on_catalog("ris_export", to_ris)
 
 
+@query
+def csv_export(spark, sf):
+    path = new_path(spark, "csv")
+    exports.write_csv_export(adapter.catalog(spark, sf), path)
+    return exports.csv_lines(spark, path)
+
+
 @query
 def citations_txt(spark, sf):
     return exports.citation_blocks(A.export_wide(adapter.catalog(spark, sf)))

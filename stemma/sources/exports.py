@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemma.operators.analytics import EXPORT_COLUMNS, export_wide
 from stemma.operators.ris import to_ris
@@ -10,18 +10,15 @@ from stemma.plans.catalog import Catalog
 
 
 def write_csv_export(cat: Catalog, path: str) -> None:
-    export_wide(cat).select(*EXPORT_COLUMNS).write.csv(path, header=True, escape='"')
+    export_wide(cat).select(*EXPORT_COLUMNS).write.csv(
+        path, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False)
 
 
-def csv_lines(cat: Catalog) -> DataFrame:
-    """The export as CSV text rows, quoted where a cell needs it."""
-    def quoted(c):
-        x = F.col(c)
-        return F.when(x.rlike('[",\n\r]'), F.concat(
-            F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(x)
-
-    return export_wide(cat).select(
-        F.concat_ws(",", *[quoted(c) for c in EXPORT_COLUMNS]).alias("line"))
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a written export, without the header that each file has."""
+    return (spark.read.text(path).select(F.col("value").alias("line"))
+            .filter(F.col("line") != ",".join(EXPORT_COLUMNS)))
 
 
 def write_ris(cat: Catalog, path: str, database_name: str = "Catalogue") -> None:

@@ -7,10 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stemma import model as M
 
 # Escapes of literal text.
-ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
-
-LINE = (r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"'
-        r'(?:\^\^<([^>]*)>|@[A-Za-z0-9-]+)?)\s+<([^>]*)>\s*\.\s*$')
+ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),
+           ("\b", "\\b"), ("\f", "\\f")]
+# Escaped backslashes and quotes while a line is matched; noncharacters, which no text holds.
+_SLASH, _QUOTE, _CUT = "﷐", "﷑", "﷒"
+_BLANK = r"_:[A-Za-z0-9_]++(?:[.-]++[A-Za-z0-9_]++)*+"
+# Subject, property, object term, literal's type or language, graph, literal. No part repeats
+# a group, so a literal of any length is matched without recursion.
+LINE = (rf'^\s*+(<[^>]*+>|{_BLANK})\s*+(<[^>]*+>)\s*+(?:(<[^>]*+>|{_BLANK})|"([^"]*+)"'
+        rf'(\^\^<[^>]*+>|@[A-Za-z0-9-]++)?+)\s*+(<[^>]*+>|{_BLANK})?+\s*+\.\s*+(?:#.*)?$')
 
 
 def _escape(x: Column) -> Column:
@@ -19,19 +24,30 @@ def _escape(x: Column) -> Column:
     return x
 
 
+def _code_points(x: Column, mark: str, digits: int, charset: str) -> Column:
+    """Numeric escapes, a run of them at a time, so that pairs stay together."""
+    run = rf"(?:\\{mark}[0-9A-Fa-f]{{{digits}}})++"
+    shown = F.transform(F.regexp_extract_all(x, F.lit(run), F.lit(0)), lambda r: F.decode(
+        F.unhex(F.replace(r, F.lit("\\" + mark), F.lit(""))), charset))
+    both = F.arrays_zip(F.split(x, run, -1).alias("text"), shown.alias("shown"))
+    whole = F.array_join(F.transform(both, lambda z: F.concat(z.text, F.coalesce(z.shown, F.lit("")))), "")
+    return F.when(F.contains(x, F.lit("\\" + mark)), whole).otherwise(x)
+
+
 def _unescape(x: Column) -> Column:
-    mark = F.lit("\u0000")
-    x = F.replace(x, F.lit("\\\\"), mark)
-    for raw, shown in ESCAPES[1:]:
+    x = _code_points(_code_points(x, "u", 4, "UTF-16BE"), "U", 8, "UTF-32")
+    for raw, shown in [*ESCAPES[2:], ("'", "\\'")]:
         x = F.replace(x, F.lit(shown), F.lit(raw))
-    return F.replace(x, mark, F.lit("\\"))
+    return F.replace(F.replace(x, F.lit(_QUOTE), F.lit('"')), F.lit(_SLASH), F.lit("\\"))
 
 
 def nquads_lines(quads: DataFrame) -> DataFrame:
     def iri(c):
-        return F.concat(F.lit("<"), F.col(c), F.lit(">"))
+        return F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(
+            F.concat(F.lit("<"), F.col(c), F.lit(">")))
 
-    kind = F.when(F.col("o_type").isNotNull(), F.concat(F.lit("^^"), iri("o_type"))).otherwise("")
+    kind = F.when(F.col("o_type").startswith("@"), F.col("o_type")).when(
+        F.col("o_type").isNotNull(), F.concat(F.lit("^^"), iri("o_type"))).otherwise("")
     literal = F.concat(F.lit('"'), _escape(F.col("o")), F.lit('"'), kind)
     obj = F.when(F.col("o_kind") == "uri", iri("o")).otherwise(literal)
     return quads.select(F.concat_ws(" ", iri("s"), iri("p"), obj, iri("g"), F.lit("."))
@@ -42,18 +58,40 @@ def write_nquads(quads: DataFrame, path: str) -> None:
     nquads_lines(quads).write.text(path)
 
 
-def parse_nquads(lines: DataFrame) -> DataFrame:
-    """Quads of text lines (column value); other lines are left out."""
+def _matched(lines: DataFrame) -> DataFrame:
+    """`lines` with the array `part`: the terms of a statement, or one element where there is none."""
+    held = F.replace(F.replace(F.col("value"), F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    shape = _CUT.join(["$1", "$2", "$3", "$5", "$6", "$4"])
+    return lines.withColumn("part", F.split(F.regexp_replace(held, LINE, shape), _CUT, -1))
+
+
+def parse_nquads(lines: DataFrame, graph: str | None = None) -> DataFrame:
+    """Quads of text lines (column value), each matched once.
+
+    A language tag is kept as an o_type that starts with '@', a blank node as a URI that
+    starts with '_:', a statement without graph has a null g. Where a column `graph` is
+    named, it is the graph of all. `rejected_lines` has what is no statement.
+    """
     def part(i):
-        return F.regexp_extract("value", LINE, i)
+        return F.col("part")[i]
+
+    def term(i):
+        return F.when(part(i) != "", F.regexp_replace(part(i), r"^<|>$", ""))
 
-    rows = lines.filter(F.col("value").rlike(LINE))
-    is_uri = F.col("value").rlike(r'^\s*<[^>]*>\s+<[^>]*>\s+<')
+    rows = _matched(lines).filter(F.size("part") == 6)
+    is_uri = part(2) != ""
     return rows.select(
-        part(1).alias("s"), part(2).alias("p"),
-        F.when(is_uri, part(3)).otherwise(_unescape(part(4))).alias("o"),
+        term(0).alias("s"), term(1).alias("p"),
+        F.when(is_uri, term(2)).otherwise(_unescape(part(5))).alias("o"),
         F.when(is_uri, F.lit("uri")).otherwise(F.lit("literal")).alias("o_kind"),
-        F.when(part(5) != "", part(5)).alias("o_type"), part(6).alias("g"))
+        F.when(part(3) != "", F.regexp_replace(part(3), r"^\^\^<|>$", "")).alias("o_type"),
+        (F.col(graph) if graph else term(4)).alias("g"))
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are neither statements nor comments nor blank."""
+    return (_matched(lines).filter((F.size("part") != 6) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+            .select("value"))
 
 
 def read_nquads(spark: SparkSession, path: str) -> DataFrame:
@@ -63,10 +101,6 @@ def read_nquads(spark: SparkSession, path: str) -> DataFrame:
 def read_records(spark: SparkSession, path: str, base: str = M.BASE) -> DataFrame:
     """Files named by record id; their statements go to graph base + id + '/'."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    rows = lines.filter(F.col("value").rlike(LINE))
     name = F.regexp_replace("file", r"\.[A-Za-z]+$", "")
-    parsed = parse_nquads(rows.select("value", "file").withColumn(
-        "value", F.regexp_replace(
-            "value", r"<[^>]*>\s*\.\s*$",
-            F.concat(F.lit("<" + base), name, F.lit("/> .")))))
-    return parsed
+    graph = F.concat(F.lit(base), name, F.lit("/"))
+    return parse_nquads(lines.withColumn("graph", graph), "graph")

@@ -130,8 +130,9 @@ def test_counters_and_series(cat):
         ("2020", M.VOCAB + "2020", 2), ("2020", OLD + "vocabularies/2020", 1)]
     assert rows(A.authors_per_year(cat, by="label")) == [("2020", 2)]
     assert rows(A.publications_per_year(cat, by="label")) == [("2020", 2)]
-    got = A.language_by_year(cat).collect()
-    assert [(r.year, r.english, r.italian) for r in got] == [("2020", 2, None)]
+    assert rows(A.language_by_year(cat)) == [("2020", "english", 2)]
+    got = A.language_chart(cat, ["italian"]).collect()
+    assert [(r.year, r.italian, r.other) for r in got] == [("2020", None, 2)]
 
 
 def test_export(cat):

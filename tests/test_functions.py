@@ -72,8 +72,8 @@ def test_terms(spark):
         V + "teacher-education-and-training-of-trainers", V + "simplified-chinese"]
     assert apply(spark, terms.work_class, [
         "Article", "Doctoral thesis", "Book chapter", "Book", "Journal Issue", "Report",
-        "Grey Literature", "poster", None]) == [
-        M.ARTICLE, M.THESIS, M.CHAPTER, M.BOOK, M.JOURNAL_ISSUE, M.REPORT, M.WORK, M.WORK, M.WORK]
+        "Grey Literature", "poster", None, "Chapter in book"]) == [
+        M.ARTICLE, M.THESIS, M.CHAPTER, M.BOOK, M.JOURNAL_ISSUE, M.REPORT, M.WORK, M.WORK, M.WORK, M.WORK]
     assert apply(spark, terms.template_of, [M.WORK, M.BOOK, "x"]) == ["report", "book", None]
     assert apply(spark, terms.uri_base, ["Q1", "123", "http://x", "abc"]) == [
         M.WIKIDATA, M.GEONAMES, "", M.BASE]

@@ -5,7 +5,7 @@ from conftest import OLD, SF, rows
 
 from stemma import model as M
 from stemma.operators import search as S
-from stemma.plans.skew import hot_keys, salted_join
+from stemma.plans.skew import blocked_join
 from stemma.sources import adapter
 
 B = M.BASE
@@ -67,7 +67,7 @@ def test_label_search_is_exact_with_hot_tokens(spark):
     lab = spark.createDataFrame(labels, "uri string, label string")
     ask = spark.createDataFrame([(q,) for q in queries], "query string")
     for prefix, long_texts in product((False, True), (False, True)):
-        found = S.label_search(ask, lab, prefix, long_texts=long_texts, hot_rows=5)
+        found = S.label_search(ask, lab, prefix, long_texts=long_texts, blocks=5)
         want = brute(queries, labels, prefix)
         if long_texts:
             want = {(q, u, s) for q, u, _, s in want}
@@ -76,12 +76,10 @@ def test_label_search_is_exact_with_hot_tokens(spark):
         assert len(rows(found)) == len(got)
 
 
-def test_salted_join_finds_every_pair_once(spark):
+def test_blocked_join_finds_every_pair_once(spark):
     many = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) as k", "id as v")
     few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k7", 3), ("none", 4)], "k string, w int")
-    hot = hot_keys(many, "k", 100)
-    assert rows(hot, "k") == [("hot",)]
-    got = rows(salted_join(many, few, "k", ["v"], hot, 8), "k", "v", "w")
+    got = rows(blocked_join(many, few, "k", ["v"], 8), "k", "v", "w")
     assert got == rows(many.join(few, "k"), "k", "v", "w")
 
 
@@ -102,9 +100,13 @@ def test_mentions(spark):
         "doc int, text string")
     labels = spark.createDataFrame(
         [("a", "John Q. Doe"), ("b", "Global Centre"), ("c", "one two three four five"),
+         ("f", "john q doe of the global centre"),
          ("d", "Doe"), ("e", "?")], "uri string, label string")
     assert rows(S.link_mentions(texts, labels), "doc", "uri") == [
-        (1, "a"), (1, "b"), (1, "d"), (2, "a"), (2, "d"), (3, "d")]
+        (1, "a"), (1, "b"), (1, "d"), (1, "f"), (2, "a"), (2, "d"), (3, "d")]
+    texts = texts.unionByName(spark.createDataFrame(
+        [(4, "They met John Q. Doe of the Global Centre, once.")], "doc int, text string"))
+    assert (4, "f") in rows(S.link_mentions(texts, labels), "doc", "uri")
 
 
 def test_document_search_against_brute_force(spark):

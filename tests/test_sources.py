@@ -23,6 +23,25 @@ def test_other_lines_are_left_out(spark):
     lines = spark.createDataFrame([("# comment",), ("<a> <b> <c> <d> .",), ("<a> <b> 'c' .",)],
                                   "value string")
     assert rows(nquads.parse_nquads(lines)) == [("a", "b", "c", "uri", None, "d")]
+    assert rows(nquads.rejected_lines(lines)) == [("<a> <b> 'c' .",)]
+
+
+def test_terms_of_real_exports(spark):
+    long = 'x' * 50_000 + '\\n\\"' * 5_000
+    lines = spark.createDataFrame([
+        ('<a> <b> "c"@en <d> . # note',), ('_:x <b> _:y.1 <d> .',), ('<a> <b> "c"^^<t> .',),
+        ('<a><b>"\\u00e9\\uD83D\\uDE00 \\U0001F600 \\\\u0041"<d>.',),
+        (f'<l> <b> "{long}" <d> .',)], "value string")
+    got = rows(nquads.parse_nquads(lines))
+    assert [r for r in got if r[0] != "l"] == sorted([
+        ("_:x", "b", "_:y.1", "uri", None, "d"), ("a", "b", "c", "literal", "@en", "d"),
+        ("a", "b", "c", "literal", "t", None),
+        ("a", "b", "é\U0001F600 \U0001F600 \\u0041", "literal", None, "d")],
+        key=lambda r: tuple((v is None, str(v)) for v in r))
+    assert [r[2] for r in got if r[0] == "l"] == ["x" * 50_000 + '\n"' * 5_000]
+    assert rows(nquads.rejected_lines(lines)) == []
+    again = nquads.parse_nquads(nquads.nquads_lines(nquads.parse_nquads(lines).filter("g is not null")))
+    assert rows(again) == [r for r in got if r[5]]
 
 
 def test_read_records_names_graph_by_file(spark, tmp_path):
