@@ -20,14 +20,20 @@ SHARD = 2_000_000      # bytes of text in one suffix array, about
 BUCKET = 16_000_000    # bytes of text whose anchors meet in one task, about
 
 
-_ENTRY = np.dtype([("anchor", "<u4"), ("block", "<u8"), ("left", "<u4"), ("right", "<u4")])
+# 18 bytes: the two side hashes have 24 bits each, kept together
+_ENTRY = np.dtype([("anchor", "<u4"), ("block", "<u8"), ("low", "<u4"), ("high", "<u2")])
+
+
+def _sides(entry) -> dict[str, np.ndarray]:
+    both = entry["low"].astype(np.uint64) | entry["high"].astype(np.uint64) << U64(32)
+    return {"left": both & U64(0xFFFFFF), "right": both >> U64(24)}
 
 
 def _blocks(buf: np.ndarray, off: np.ndarray, length: int):
     """Strings of `length` bytes by their anchor: (first start, last start, anchor, entry).
 
-    An entry holds the anchor's hash, the block's hash and hashes of the SIDE bytes to the left
-    and right of the anchor together with it, 0 where a document ends before.
+    An entry holds the anchor's hash, the block's hash and hashes of as many bytes to the left
+    and right of the anchor as any string reaches on one side, together with it, 0 where a document ends before.
 
     The anchor of a string is the 16 bytes in it with the least hash, the leftmost of equals, so
     equal strings have equal anchors wherever they stand. A block is a run of starts with one
@@ -58,8 +64,10 @@ def _blocks(buf: np.ndarray, off: np.ndarray, length: int):
     out = np.zeros(len(at), _ENTRY)
     out["anchor"], out["block"] = gram[at] >> U64(32), hasher.of(lo, hi + length)
     left, right = at - side >= off[row - 1], at + GRAM + side <= off[row]
-    out["left"][left] = hasher.of(at[left] - side, at[left] + GRAM) >> U64(32) | U64(1)
-    out["right"][right] = hasher.of(at[right], at[right] + GRAM + side) >> U64(32) | U64(1)
+    sides = np.zeros(len(at), np.uint64)
+    sides[left] = hasher.of(at[left] - side, at[left] + GRAM) >> U64(40) | U64(1)
+    sides[right] |= (hasher.of(at[right], at[right] + GRAM + side) >> U64(40) | U64(1)) << U64(24)
+    out["low"], out["high"] = sides.astype(np.uint32), sides >> U64(32)
     return lo, hi, at, out
 
 
@@ -110,6 +118,8 @@ _SENT = "bucket long, shard long, data binary"
 
 def _shared(key, anchor, shard):
     """Whether another shard has the same key (not 0) at the same anchor."""
+    if not len(key):
+        return np.zeros(0, bool)
     both = mix(anchor.astype(np.uint64) << U64(32) | key)
     order = np.lexsort((shard, both))
     b, s = both[order], shard[order]
@@ -122,7 +132,7 @@ def _shared(key, anchor, shard):
 
 def _merge_blocks(table):
     """Tells each shard which of its blocks stand in an earlier shard (1). Of the first ones of
-    their kind, it tells which may share a string that reaches SIDE bytes to the left of the
+    their kind, it tells which may share a string that reaches far to the left of the
     anchor (2) or to the right of it (4) with a block of another shard; every string of a block
     reaches so far on one side. Others are 0."""
     shards = table.column("shard").to_numpy()
@@ -138,8 +148,9 @@ def _merge_blocks(table):
     first = order[new]
     state[first] = 0
     several = first[np.bincount(a[new], minlength=len(anchors))[at[first]] > 1]
+    sides = _sides(entry[several])
     for side, flag in (("left", 2), ("right", 4)):
-        part = _shared(entry[side][several], entry["anchor"][several], shard[several])
+        part = _shared(sides[side], entry["anchor"][several], shard[several])
         state[several[part]] |= flag
     cut = np.cumsum([0] + [len(x) for x in sent])
     return pa.table({"shard": shards, "bucket": table.column("bucket"),
@@ -190,7 +201,9 @@ def _resolve(length, buckets):
                     if len(o):
                         rows["bucket"].append(k)
                         rows["shard"].append(shard)
-                        rows["data"].append(g[o].tobytes() + h[o].tobytes() + at[o].astype(np.uint32).tobytes())
+                        rows["data"].append(g[o].tobytes() + h[o].astype(np.uint32).tobytes()
+                                            + (h[o] >> U64(48)).astype(np.uint16).tobytes()
+                                            + at[o].astype(np.uint32).tobytes())
         return pa.table(rows, schema=_sent)
     return run
 
@@ -201,10 +214,11 @@ def _merge_strings(table):
     data = table.column("data").to_pylist()
     if buckets[0] < 0:
         return pa.table({"shard": shards, "data": data}, schema=_marks)
-    n = [len(d) // 20 for d in data]
+    n = [len(d) // 18 for d in data]
     g = [np.frombuffer(d, np.uint64, k) for d, k in zip(data, n)]
-    h = [np.frombuffer(d, np.uint64, k, 8 * k) for d, k in zip(data, n)]
-    at = np.concatenate([np.frombuffer(d, np.uint32, k, 16 * k) for d, k in zip(data, n)])
+    h = [np.frombuffer(d, np.uint32, k, 8 * k).astype(np.uint64)
+         | np.frombuffer(d, np.uint16, k, 12 * k).astype(np.uint64) << U64(32) for d, k in zip(data, n)]
+    at = np.concatenate([np.frombuffer(d, np.uint32, k, 14 * k) for d, k in zip(data, n)])
     known = np.unique(np.concatenate(g))
     # each shard's sorted strings are looked up in the merged list by binary search
     place = np.concatenate([np.searchsorted(known, x) for x in g])
@@ -294,10 +308,10 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     smaller ids. Each shard builds one suffix array (ranks refined by doubling), gets common
     prefixes as in Kasai's method, and so finds all repeats within it. Across shards only
     anchors travel: every string has one, about one in 18 positions is an anchor, and
-    a shard sends each distinct (anchor, block) once, 20 bytes. Sorted lists are merged by
+    a shard sends each distinct (anchor, block) once, 18 bytes. Sorted lists are merged by
     binary search. A block known from an earlier shard is removed as a whole. Where two
     blocks differ round one anchor but agree on one side of it, the single strings on that
-    side are merged in the same way, as two 64-bit hashes and a position; these are dealt by the string, not the anchor, so a line
+    side are merged in the same way, as hashes of 112 bits and a position; these are dealt by the string, not the anchor, so a line
     that stands in every third document does not gather in one task. No step holds more than
     a shard, or a bucket whose size follows BUCKET; very long documents are shards of their own.
     """
