@@ -52,20 +52,26 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """One-versus-rest ridge regression on Nystroem features of the presence kernel."""
+    """One-versus-rest ridge regression on Nystroem features of the presence kernel.
+
+    `bits` are packed presence vectors, 2 KB a document; only a few hundred are unpacked at once.
+    """
+
+    def __init__(self, bits: np.ndarray, langs: np.ndarray, ridge: float = 1.0):
+        def rows(at):
+            return np.unpackbits(bits[at], axis=1).astype(np.float32)
 
-    def __init__(self, rows: np.ndarray, langs: np.ndarray, ridge: float = 1.0):
         self.langs = sorted(set(langs.tolist()))
         code = np.array([self.langs.index(x) for x in langs])
         marks = np.concatenate([np.flatnonzero(code == k)[:LANDMARKS] for k in range(len(self.langs))]
                                or [np.zeros(0, int)])
-        self.marks = rows[marks]
+        self.marks = rows(marks)
         if not len(self.langs):
             return
         value, vector = np.linalg.eigh(_kernel(self.marks, self.marks).astype(np.float64))
         good = value > 1e-6 * value.max()
         root = vector[:, good] / np.sqrt(value[good])
-        z = np.concatenate([_kernel(rows[i:i + 512], self.marks) @ root for i in range(0, len(rows), 512)])
+        z = np.concatenate([_kernel(rows(slice(i, i + 256)), self.marks) @ root for i in range(0, len(bits), 256)])
         z = np.c_[z, np.ones(len(z))]
         share = np.sqrt(len(code) / (len(self.langs) * np.bincount(code)[code]))[:, None]
         y = np.where(code[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
@@ -107,8 +113,7 @@ def train(docs: DataFrame, learn) -> Model:
     sample = sample.sort_by([("id", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
     bits = np.frombuffer(b"".join(sample.column("bits").to_pylist()), np.uint8).reshape(-1, (1 << BITS) // 8)
     order = np.argsort(mix(sample.column("id").to_numpy().astype(np.uint64)), kind="stable")
-    rows = np.unpackbits(bits[order], axis=1).astype(np.float32)
-    return Model(rows, np.array(sample.column("lang").to_pylist(), object)[order])
+    return Model(bits[order], np.array(sample.column("lang").to_pylist(), object)[order])
 
 
 def held_out():
