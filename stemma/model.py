@@ -141,6 +141,9 @@ ROLES = {
 }
 # Authors and editors are one kind of labelled entity.
 LABEL_KINDS = {"author": "person", "editor": "person"}
+# Kinds of labels that values of a record have.
+VALUE_KINDS = ["person", "others", "year", "language", "publisher", "container",
+               "primary_subject", "subject", "keyword", "other"]
 
 QUAD = T.StructType([
     T.StructField("s", T.StringType()),

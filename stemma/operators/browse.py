@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from stemma import model as M
 from stemma.functions import terms, text as X
 from stemma.plans.catalog import Catalog, one_label
+from stemma.plans.durable import written
 
 
 def latest_state(cat: Catalog) -> DataFrame:
@@ -26,28 +27,31 @@ def latest_state(cat: Catalog) -> DataFrame:
 
 
 def records(cat: Catalog, work_class: str | None = None,
-            single_state: bool = False) -> DataFrame:
+            single_state: bool = False, graphs: DataFrame | None = None) -> DataFrame:
     """Distinct (g, title, user, modifier, date, stage, class) of typed subjects.
 
     User and modifier labels form an optional block: a modifier shows only
     beside a labelled user. Missing parts show as '-', a missing title as
     'none'. `single_state` says that graphs have one version, which saves the
-    latest-moment pass.
+    latest-moment pass. `graphs` restricts the listing.
     """
+    def chosen(df):
+        return df if graphs is None else df.join(graphs, "g", "left_semi")
+
     types = cat.types if work_class is None else cat.types.filter(F.col("class") == work_class)
-    state = cat.state if single_state else latest_state(cat)
-    users = cat.labels_of("user")
-    titles = cat.labels_of("graph").select(F.col("uri").alias("g"), F.col("label").alias("title"))
+    state = chosen(cat.state if single_state else latest_state(cat))
+    titles = chosen(cat.labels_of("graph").select(F.col("uri").alias("g"),
+                                                  F.col("label").alias("title")))
 
     def labelled(who, name):
         pairs = state.select("g", F.col(who).alias("uri")).filter("uri is not null")
         pairs = pairs if single_state else pairs.distinct()
-        return pairs.join(users, "uri").select("g", F.col("label").alias(name))
+        return cat.with_labels(pairs, "uri", "user").select("g", F.col("label").alias(name))
 
     # The optional block as a whole first, then its outer join; all by graph.
     people = labelled("creator", "user").join(labelled("modifier", "changed_by"), "g", "left")
     rows = (
-        types.filter(F.col("g") != M.VOCAB_GRAPH).select("g", "class")
+        chosen(types.filter(F.col("g") != M.VOCAB_GRAPH).select("g", "class"))
         .join(state.select("g", "status", "generated_at"), "g", "left")
         .join(titles, "g", "left").join(people, "g", "left")
     )
@@ -66,10 +70,24 @@ def records_page(cat: Catalog, page: int = 1, stage: str | None = None,
                  size: int = M.PAGE_SIZE, single_state: bool = False) -> DataFrame:
     """One page of the listing, newest first.
 
-    The page is cut from (date, g) pairs with a top-n, then only its rows are
-    completed; missing dates come last.
+    Graphs are cut from (date, g) pairs with a top-n; every pair has a row at least, so
+    the page lies in the first `size * page` of them, and only those graphs are
+    completed. Missing dates come last.
     """
-    rows = records(cat, single_state=single_state)
+    state = cat.state if single_state else latest_state(cat)
+    titled = cat.labels_of("graph").select(F.col("uri").alias("g"), F.lit(True).alias("titled"))
+    whole = "titled and generated_at is not null and status is not null"
+    keys = (cat.types.filter(F.col("g") != M.VOCAB_GRAPH).select("g")
+            .join(state.select("g", "status", "generated_at"), "g", "left")
+            .join(titled.distinct(), "g", "left")
+            .selectExpr("g", f"if({whole}, generated_at, null) as moment",
+                        f"lower(if({whole}, status, '-')) as stage"))
+    if stage is not None:
+        keys = keys.filter(F.col("stage") == stage)
+    first = (keys.select("g", "moment").distinct()
+             .orderBy(F.col("moment").desc_nulls_last(), "g").limit(size * page))
+    first = written(first.select("g").distinct(), "page")
+    rows = records(cat, single_state=single_state, graphs=first)
     if stage is not None:
         rows = rows.filter(F.lower("stage") == stage)
     moment = F.when(F.col("date") != "-", F.col("date"))
@@ -77,9 +95,13 @@ def records_page(cat: Catalog, page: int = 1, stage: str | None = None,
             .offset(size * (page - 1)).limit(size))
 
 
-def stage_counts(cat: Catalog) -> DataFrame:
-    """One row: graphs in all three stages, and in each."""
-    per_stage = cat.state.filter(
+def stage_counts(cat: Catalog, work_class: str | None = None) -> DataFrame:
+    """One row: graphs in all three stages, and in each; typed or not, or of one class."""
+    state = cat.state
+    if work_class is not None:
+        typed = cat.types.filter(F.col("class") == work_class).select("g")
+        state = state.join(typed, "g", "left_semi")
+    per_stage = state.filter(
         F.col("status").isin(*M.STAGES) & (F.col("g") != M.VOCAB_GRAPH)
     ).groupBy("status").agg(F.countDistinct("g").alias("n"))
 
@@ -97,9 +119,10 @@ def _in_status(df: DataFrame, cat: Catalog, statuses: list[str]) -> DataFrame:
 
 def count_records(cat: Catalog, work_class: str | None = None,
                   statuses: list[str] | None = None) -> DataFrame:
-    rows = cat.types.filter(F.col("g") != M.VOCAB_GRAPH)
-    if work_class is not None:
-        rows = rows.filter(F.col("class") == work_class)
+    """Number of graphs, typed or not, or of one class."""
+    rows = (cat.state if work_class is None
+            else cat.types.filter(F.col("class") == work_class))
+    rows = rows.filter(F.col("g") != M.VOCAB_GRAPH)
     if statuses is not None:
         rows = _in_status(rows, cat, statuses)
     return rows.agg(F.countDistinct("g").alias("n_records"))
@@ -141,8 +164,8 @@ def record_fields(cat: Catalog, fields: DataFrame, graphs: DataFrame | None = No
     """Records rebuilt by template: (g, template, field_id, value, label).
 
     Distinct values per field in long form, so that no record has to fit in one
-    array. URIs come with the label, external ones shortened; a record needs a
-    title and a status.
+    array. URIs come with the label that the record's graph states, external ones
+    shortened; a record needs a title and a status. Keywords come with every template.
     """
     def chosen(df):
         return df if graphs is None else df.join(graphs.select("g").distinct(), "g", "left_semi")
@@ -159,13 +182,15 @@ def record_fields(cat: Catalog, fields: DataFrame, graphs: DataFrame | None = No
         .join(shape.filter("value_kind = 'Literal'"), ["template", "property"])
         .select("g", "template", "field_id", "value", F.lit(None).cast("string").alias("label"))
     )
-    labels = cat.labels.filter(~F.col("kind").isin("work", "graph", "user")).select(
-        F.col("uri").alias("target"), "label").distinct()
-    linked = (
+    words = fields.selectExpr("template", "'keywords' as field_id", f"'{M.KEYWORDS}' as property")
+    chosen_links = (
         cat.links.join(types, ["work", "g"])
-        .join(shape.filter("value_kind <> 'Literal'"), ["template", "property"])
+        .join(shape.filter("value_kind <> 'Literal'").drop("value_kind").unionByName(words)
+              .distinct(), ["template", "property"])
         .select("g", "template", "field_id", "target").distinct()
-        .join(labels, "target")
+    )
+    linked = (
+        cat.with_labels(chosen_links, "target", *M.VALUE_KINDS)
         .selectExpr("g", "template", "field_id", f"{terms.short_uri('target')} as value",
                     "label")
     )
@@ -177,6 +202,9 @@ def record_view(cat: Catalog, fields: DataFrame, graphs: DataFrame | None = None
     rows = record_fields(cat, fields, graphs)
     shape = fields.select("template", "field_id", F.col("label").alias("field"), "disambiguate",
                           "position")
+    shape = shape.unionByName(fields.selectExpr(
+        "template", "'keywords' as field_id", "'Keywords' as field", "false as disambiguate",
+        "cast(null as int) as position").distinct())
     named = rows.join(shape, ["template", "field_id"])
     titles = named.filter("disambiguate").groupBy("g").agg(
         F.min_by("value", F.struct("position", "value")).alias("title"))
@@ -246,27 +274,35 @@ def back_links(cat: Catalog, uris: DataFrame, offset: int = 0,
 def facet_counts(cat: Catalog, roles: list[str], work_class: str | None = None) -> DataFrame:
     """Per (role, value): label, distinct subjects, and subject-label rows.
 
-    Works at the first stage stay out. Counting comes before the label join, so
-    the join sees one row per value.
+    Works at the first stage stay out. Labels that hold everywhere join after the
+    counting, one row per value. Labels told per graph join by value and graph, and a
+    subject counts with the labels of its own graph only.
     """
     links = cat.links_of(*roles).select("role", "property", "target", "work", "g")
     if work_class is not None:
         typed = cat.types.filter(F.col("class") == work_class).select("work")
         links = links.join(typed, "work", "left_semi")
     shown = cat.state.filter(F.col("status") != M.NOT_MODIFIED).select("g")
+    links = links.join(shown, "g", "left_semi")
+    kinds = sorted({M.LABEL_KINDS.get(r, r) for r in roles})
+    order = ["property", F.col("n_subjects").desc(), F.lower("label"), "value"]
+    if "g" in cat.labels.columns:
+        return (cat.with_labels(links, "target", *kinds).groupBy("role", "property", "target", "work")
+                .agg(F.min("label").alias("label"), F.countDistinct("g", "label").alias("n"))
+                .groupBy("role", "property", F.col("target").alias("value"))
+                .agg(F.min("label").alias("label"), F.count("*").alias("n_subjects"),
+                     F.sum("n").alias("n_rows")).orderBy(*order))
     counts = (
-        links.join(shown, "g", "left_semi")
-        .groupBy("role", "property", "target", "work").agg(F.countDistinct("g").alias("n"))
+        links.groupBy("role", "property", "target", "work").agg(F.countDistinct("g").alias("n"))
         .groupBy("role", "property", F.col("target").alias("value"))
         .agg(F.count("*").alias("n_subjects"), F.sum("n").alias("n_triples"))
     )
-    kinds = sorted({M.LABEL_KINDS.get(r, r) for r in roles})
     labels = cat.labels_of(*kinds).distinct().groupBy(F.col("uri").alias("value")).agg(
         F.min("label").alias("label"), F.count("*").alias("n_labels"))
     return counts.join(labels, "value").select(
         "role", "property", "value", "label", "n_subjects",
         (F.col("n_triples") * F.col("n_labels")).alias("n_rows"),
-    ).orderBy("property", F.col("n_subjects").desc(), F.lower("label"), "value")
+    ).orderBy(*order)
 
 
 def records_by_facet(cat: Catalog, role: str, values: DataFrame | None = None,

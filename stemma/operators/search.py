@@ -217,7 +217,7 @@ def best_per_query(hits: DataFrame, k: int) -> DataFrame:
 def suggest(cat: Catalog, queries: DataFrame, k: int = 35, min_relevance: float = 0.5,
             typed_only: bool = False) -> DataFrame:
     """Autocomplete for each query: any labelled entity, or works only."""
-    labels = cat.labels.select("uri", "label").filter(~F.col("uri").endswith("/"))
+    labels = cat.labels_of().filter(~F.col("uri").endswith("/"))
     if typed_only:
         labels = labels.join(cat.types.select(F.col("work").alias("uri")), "uri", "left_semi")
     return best_per_query(label_search(queries, labels, True, min_relevance), k)

@@ -27,6 +27,9 @@ class Catalog:
     literals  work, g, property, value
     labels    uri, label, kind      kind: person, year, …, work, graph, user
     state     g, status, generated_at, creator, modifier   (text, NULL = absent)
+
+    Labels with a further column `g` hold in the graph that states them; without it they hold
+    in every graph.
     """
 
     types: DataFrame
@@ -38,8 +41,23 @@ class Catalog:
     def links_of(self, *roles: str) -> DataFrame:
         return self.links.filter(F.col("role").isin(*roles))
 
+    def _labels(self, kinds) -> DataFrame:
+        return self.labels.filter(F.col("kind").isin(*kinds)) if kinds else self.labels
+
     def labels_of(self, *kinds: str) -> DataFrame:
-        return self.labels.filter(F.col("kind").isin(*kinds)).select("uri", "label")
+        """(uri, label) of the named kinds or of all, whichever graph states them."""
+        rows = self._labels(kinds)
+        pairs = rows.select("uri", "label")
+        return pairs.distinct() if "g" in rows.columns else pairs
+
+    def with_labels(self, rows: DataFrame, key: str, *kinds: str) -> DataFrame:
+        """`rows` (with g and the URI column `key`) joined with the labels of their graph.
+
+        Where labels carry graphs, a value that all records share is no hot key here.
+        """
+        labels = self._labels(kinds)
+        on = [key, "g"] if "g" in labels.columns else [key]
+        return rows.join(labels.withColumnRenamed("uri", key).select(*on, "label"), on)
 
     def literal(self, prop: str) -> DataFrame:
         return self.literals.filter(F.col("property") == prop)
@@ -82,8 +100,8 @@ class FacetCatalog(Catalog):
     def links_of(self, *roles: str) -> DataFrame:
         return self._rows("links", roles)
 
-    def labels_of(self, *kinds: str) -> DataFrame:
-        return self._rows("labels", kinds).select("uri", "label")
+    def _labels(self, kinds) -> DataFrame:
+        return self._rows("labels", kinds or None)
 
     def literal(self, prop: str) -> DataFrame:
         return self._rows("literals", [prop])
@@ -109,16 +127,14 @@ def _quad(df, s, p, o, kind, o_type, g) -> DataFrame:
 
 
 def to_quads(cat: Catalog) -> DataFrame:
-    lab = cat.labels.select("uri", "label", "kind")
+    per_graph = "g" in cat.labels.columns
     mentioned = (
         cat.links.select("g", "target", label_kind(F.col("role")).alias("kind"))
-        .join(lab.withColumnRenamed("uri", "target"), ["target", "kind"])
-    )
-    users = (
-        cat.state.select("g", F.explode(F.array("creator", "modifier")).alias("uri"))
-        .filter(F.col("uri").isNotNull())
-        .join(cat.labels_of("user"), "uri")
+        .join(cat.labels.withColumnRenamed("uri", "target"),
+              ["target", "kind", "g"] if per_graph else ["target", "kind"])
     )
+    people = cat.state.select("g", F.explode(F.array("creator", "modifier")).alias("uri"))
+    users = cat.with_labels(people.filter("uri is not null"), "uri", "user")
     works = cat.labels_of("work").withColumn("g", F.concat("uri", F.lit("/")))
     graphs = cat.labels_of("graph").withColumn("g", F.col("uri"))
     name = F.lit(M.RDFS_LABEL)
@@ -137,6 +153,9 @@ def to_quads(cat: Catalog) -> DataFrame:
         _quad(st, "g", F.lit(M.ATTRIBUTED_TO), "creator", "uri", None, "g"),
         _quad(st, "g", F.lit(M.INFLUENCED_BY), "modifier", "uri", None, "g"),
     ]
+    if per_graph:
+        vocabulary = cat.labels.filter("kind = 'vocabulary'")
+        parts.append(_quad(vocabulary, "uri", name, "label", "literal", None, "g"))
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
@@ -156,7 +175,8 @@ def from_quads(quads: DataFrame) -> Catalog:
     """Typed tables of any quad set.
 
     Subjects are split by shape: `g` itself carries provenance, its entity
-    (the same URI without the closing slash) carries the record.
+    (the same URI without the closing slash) carries the record. Labels keep the
+    graph that states them. Every graph but the vocabulary has a state, typed or not.
     """
     s, p, o, g = (F.col(c) for c in ("s", "p", "o", "g"))
     entity = F.regexp_replace(g, "/$", "")
@@ -175,7 +195,7 @@ def from_quads(quads: DataFrame) -> Catalog:
     )
 
     named = quads.filter((p == M.RDFS_LABEL) & (F.col("o_kind") == "literal"))
-    pairs = named.select(s.alias("uri"), o.alias("label")).distinct()
+    pairs = named.select(s.alias("uri"), o.alias("label"), "g").distinct()
     kinds = (
         links.select(F.col("target").alias("uri"),
                      label_kind(F.col("role")).alias("kind"))
@@ -185,16 +205,16 @@ def from_quads(quads: DataFrame) -> Catalog:
     )
     own = named.filter(s.isin(g, entity)).select(
         s.alias("uri"), o.alias("label"),
-        F.when(s == g, F.lit("graph")).otherwise(F.lit("work")).alias("kind")).distinct()
+        F.when(s == g, F.lit("graph")).otherwise(F.lit("work")).alias("kind"), "g").distinct()
     vocab = named.filter(g == M.VOCAB_GRAPH).select(
-        s.alias("uri"), o.alias("label"), F.lit("vocabulary").alias("kind")).distinct()
+        s.alias("uri"), o.alias("label"), F.lit("vocabulary").alias("kind"), "g").distinct()
     labels = pairs.join(kinds, "uri").unionByName(own).unionByName(vocab)
 
-    def about(prop, name):
-        return body.filter((p == prop) & (s == g)).select("g", o.alias(name)).distinct()
-
-    state = types.select("g").distinct()
-    for prop, name in ((M.STATUS, "status"), (M.GENERATED_AT, "generated_at"),
-                       (M.ATTRIBUTED_TO, "creator"), (M.INFLUENCED_BY, "modifier")):
-        state = state.join(about(prop, name), "g", "left")
+    told = {"status": M.STATUS, "generated_at": M.GENERATED_AT,
+            "creator": M.ATTRIBUTED_TO, "modifier": M.INFLUENCED_BY}
+    values = body.filter((s == g) & p.isin(*told.values())).groupBy("g").agg(
+        *[F.collect_set(F.when(p == prop, o)).alias(name) for name, prop in told.items()])
+    state = body.select("g").distinct().join(values, "g", "left")
+    for name in told:
+        state = state.withColumn(name, F.explode_outer(name))
     return Catalog(types, links, literals, labels, state)

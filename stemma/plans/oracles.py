@@ -679,3 +679,23 @@ ORACLES: dict[str, str] = {
         count(*) as n_requests, count(*) > {QUOTA} as blocked from events group by 1, 2""",
 }
 ORACLES["daily_quota_stream"] = ORACLES["quota_log"] = ORACLES["daily_quota"]
+
+# The same questions to the catalogue out of a dump.
+ORACLES |= {f"dump_{name}": ORACLES[name] for name in (
+    "counters", "export_wide", "records", "stage_counts", "facet_counts")}
+ORACLES |= {
+    "dump_facet_counts_keywords": f"""{W} select 'keyword' as role, '{M.KEYWORDS}' as property,
+        '{B}k' || ck as value, min('Keyword ' || k) as label, count(*) as n_subjects,
+        count(*) as n_rows from works where status <> 'not modified' group by ck""",
+    "dump_record_fields": f"""{WL}, {FIELDS}, {RECORD_FIELDS} select distinct * from rf
+        union select g, case class when '{M.ARTICLE}' then 'article' when '{M.BOOK}' then 'book'
+          when '{M.CHAPTER}' then 'book_chapter' when '{M.THESIS}' then 'doctoral_thesis'
+          else 'report' end as template, 'keywords' as field_id, '{B}k' || ck as value,
+          'Keyword ' || k as label from works""",
+    "nquads_documents": """select doc_id, lang, sha256(text) as text_sha256, length(text) as n_chars
+        from documents where text is not null""",
+    "scalar_keys": """select o_orderkey, replace(lower(o_orderpriority), ' ', '_') as id,
+        upper(o_orderstatus) as status, regexp_matches(cast(o_custkey as varchar), '^[0-9]+$') as is_number,
+        regexp_matches(o_orderpriority, '^[0-9]+$') as priority_is_number,
+        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as moment from orders""",
+}

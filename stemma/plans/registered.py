@@ -15,6 +15,7 @@ from stemma.functions import terms, text as X
 from stemma.operators import (analytics as A, browse as Q, lifecycle as L, resolve as E,
                               search as S, transform as T, validate as V)
 from stemma.operators.ris import to_ris
+from stemma.plans.catalog import Catalog, from_quads
 from stemma.plans.durable import new_path, written
 from stemma.sources import adapter, batch as batches, exports, nquads, templates
 from stemma.streaming import imports, quota
@@ -570,6 +571,65 @@ def import_stream(spark, sf):
     return _per_property(imports.imported(spark, f"{folder}/quads"))
 
 
+# ---- the catalogue out of a dump -----------------------------------------
+
+def _dump(spark, sf) -> Catalog:
+    """Quads written as N-Quads and read back, with a keyword for each record.
+
+    Records of one customer share the keyword, and each graph has its own label for it.
+    """
+    words = T.quad_facts(adapter.table(spark, sf, "orders").selectExpr(
+        f"{adapter.work_uri()} as work", f"{adapter.graph_uri()} as g",
+        f"concat('{M.BASE}k', o_custkey) as word", "concat('Keyword ', o_orderkey) as name"), [
+        T.quad_fact("work", M.KEYWORDS, "word", "uri"),
+        T.quad_fact("word", M.RDFS_LABEL, "name", "literal", M.XSD_STRING)])
+    path = new_path(spark, "dump")
+    nquads.write_nquads(adapter.catalog(spark, sf).quads().unionByName(words), path)
+    return from_quads(written(nquads.read_nquads(spark, path), "dump-quads"))
+
+
+def on_dump(name: str, op: Callable[..., DataFrame], *args, **kwargs) -> None:
+    REGISTRY[f"dump_{name}"] = lambda spark, sf: op(_dump(spark, sf), *args, **kwargs)
+
+
+on_dump("counters", A.counters)
+on_dump("export_wide", A.export_wide)
+on_dump("records", Q.records)
+on_dump("stage_counts", Q.stage_counts)
+on_dump("facet_counts", Q.facet_counts, FACETS)
+on_dump("facet_counts_keywords", Q.facet_counts, ["keyword"])
+
+
+@query
+def dump_record_fields(spark, sf):
+    return Q.record_fields(_dump(spark, sf), templates.standard_templates(spark))
+
+
+@query
+def nquads_documents(spark, sf):
+    """All texts as literals of a file, read back."""
+    path = new_path(spark, "texts")
+    nquads.write_nquads(adapter.table(spark, sf, "documents").filter("text is not null").selectExpr(
+        f"concat('{M.BASE}d', doc_id) as s", f"'{M.DCT_TITLE}' as p", "text as o",
+        "'literal' as o_kind", "if(lang is null, null, concat('@', lang)) as o_type",
+        f"'{M.BASE}texts/' as g"), path)
+    return nquads.read_nquads(spark, path).selectExpr(
+        f"cast(substr(s, {len(M.BASE) + 2}) as bigint) as doc_id", "substr(o_type, 2) as lang",
+        "sha2(o, 256) as text_sha256", "char_length(o) as n_chars")
+
+
+@query
+def scalar_keys(spark, sf):
+    """Identifiers, number test, moments and upper case of order cells."""
+    return adapter.table(spark, sf, "orders").selectExpr(
+        "o_orderkey", f"{X.to_id('o_orderpriority')} as id", "upper(o_orderstatus) as status",
+        f"{X.is_number('cast(o_custkey as string)')} as is_number",
+        f"{X.is_number('o_orderpriority')} as priority_is_number",
+        "date_format(" + X.parse_moment(
+            "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\") || '.25'")
+        + ", 'yyyy-MM-dd HH:mm:ss') as moment")
+
+
 # ---- files in ------------------------------------------------------------
 
 @query

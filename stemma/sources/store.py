@@ -29,8 +29,9 @@ def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
 def save_catalog(cat: Catalog, database: str, buckets: int = 200) -> None:
     """Typed tables bucketed by record, so that per-record work is local."""
     for name in TABLES:
-        key = "uri" if name == "labels" else "g"
-        (getattr(cat, name).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        table = getattr(cat, name)
+        key = "g" if "g" in table.columns else "uri"
+        (table.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
          .saveAsTable(f"{database}.{name}"))
 
 

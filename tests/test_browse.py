@@ -164,3 +164,43 @@ def test_files(cat, tmp_path, spark):
     assert spark.read.text(str(tmp_path / "txt")).count() == 6
     exports.write_chart_json(A.publications_per_year(cat, by="label"), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).first()["count"] == 2
+
+
+def test_labels_hold_in_the_graph_that_states_them(spark, quads):
+    from stemma.plans.catalog import from_quads
+    g, w, k = B + "w1/", B + "w1", B + "k1"
+    more = spark.createDataFrame([
+        (w, M.KEYWORDS, k, "uri", None, g), (k, M.RDFS_LABEL, "Streets", "literal", None, g),
+        (B + "w2", M.KEYWORDS, k, "uri", None, B + "w2/"),
+        (k, M.RDFS_LABEL, "streets", "literal", None, B + "w2/"),
+        (k, M.RDFS_LABEL, "elsewhere", "literal", None, B + "w3/"),
+        (k, M.RDFS_LABEL, "in the vocabulary", "literal", None, M.VOCAB_GRAPH)], M.QUAD)
+    named = from_quads(quads.unionByName(more))
+    words = Q.record_fields(named, standard_templates(spark)).filter("field_id = 'keywords'")
+    assert rows(words, "g", "value", "label") == [(g, k, "Streets"), (B + "w2/", k, "streets")]
+    shown = Q.record_view(named, standard_templates(spark)).filter("field = 'Keywords'")
+    assert rows(shown, "g", "label") == [(g, "Streets"), (B + "w2/", "streets")]
+    assert rows(Q.facet_counts(named, ["keyword"]), "value", "n_subjects", "n_rows") == [(k, 2, 2)]
+
+
+def test_quads_come_back(cat, quads):
+    # Own literals lose their datatype; which graph states what stays.
+    kept = ("s", "p", "o", "o_kind", "g")
+    assert rows(cat.quads().distinct(), *kept) == rows(quads.distinct(), *kept)
+
+
+def test_untyped_graphs_count(spark, quads):
+    from stemma.plans.catalog import from_quads
+    g = B + "w8/"
+    bare = spark.createDataFrame([(g, M.STATUS, M.MODIFIED, "literal", None, g)], M.QUAD)
+    more = from_quads(quads.unionByName(bare))
+    assert rows(Q.stage_counts(more)) == [(4, 1, 2, 1)]
+    assert rows(Q.stage_counts(more, M.ARTICLE)) == [(2, 1, 0, 1)]
+    assert rows(Q.count_records(more)) == [(4,)]
+    assert rows(Q.count_records(more, M.ARTICLE)) == [(2,)]
+
+
+def test_pages_join_the_listing(cat):
+    whole = Q.records(cat).orderBy("g").collect()
+    parts = [r for n in (1, 2, 3, 4) for r in Q.records_page(cat, n, size=1).collect()]
+    assert sorted(parts) == sorted(whole)
