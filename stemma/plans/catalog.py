@@ -1,6 +1,6 @@
 """The catalogue as five typed tables, and the way to and from quads.
 
-All tables carry `g`, the record's graph. Writing them bucketed by `g` (see
+All tables but labels that hold everywhere carry `g`, the record's graph. Writing them bucketed by `g` (see
 `stemma.sources.store`) makes every per-record join and aggregation local.
 
 The tables are sets of facts, yet a row may repeat (two source lines can state
