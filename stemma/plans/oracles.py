@@ -404,7 +404,13 @@ def form_sql() -> str:
         f("old", M.RDFS_LABEL, "c_name", where=later)]) + ")"
 
 
-PER_P = "count(*) as n_quads, count(distinct g) as n_graphs"
+TEMPLATE_FILES = f"""files as (
+  select r_name as template, '{B}' || lower(r_name) as class, r_name || '-' || n_nationkey as field_id,
+    n_name as label, '{V}' || lower(n_name) as property, n_nationkey % 2 = 0 as browse,
+    n_nationkey % 3 = 0 as disambiguate, cast(row_number() over (
+      partition by r_name order by n_nationkey) as int) as position,
+    cast((select nullif(count(*), 0) from customer where c_nationkey = n_nationkey) as int) as n_values
+  from nation join region on n_regionkey = r_regionkey)"""
 ESC = r"""replace(replace(o, '\', '\\'), '"', '\"')"""
 NQ_LINE = f"""'<' || s || '> <' || p || '> ' || case when o_kind = 'uri' then '<' || o || '>'
   else '"' || {ESC} || '"' || case when o_type is null then '' else '^^<' || o_type || '>' end end
@@ -650,29 +656,44 @@ ORACLES: dict[str, str] = {
     "row_provenance": f"{WR} select * from ({PROVENANCE})",
     "citation": f"{WR} select work, cit as citation from cited",
     "form_quads": form_sql(),
-    "load_graph": f"""{WQ} select p, {PER_P} from (
-          select * from quads union select work, '{M.RDFS_LABEL}', 'again', 'literal', null, g
-          from works) group by p""",
-    "clear_graphs": f"""{WQ} select p, {PER_P} from quads where g not in (
-          select g from works where status = 'not modified') group by p""",
-    "delete_records": f"""{WQ} select p, {PER_P} from quads where g not in (
-          select g from works where class = '{M.REPORT}') group by p""",
+    "load_graph": f"""{WQ} select * from quads
+        union select work, '{M.RDFS_LABEL}', 'again', 'literal', null, g from works""",
+    "clear_graphs": f"""{WQ} select * from quads where g not in (
+          select g from works where status = 'not modified')""",
+    "delete_records": f"""{WQ} select * from quads where g not in (
+          select g from works where class = '{M.REPORT}')""",
     "record_creators": f"""{W} select g, '{B}c' || ck as creator, c_name as creator_label
         from works""",
-    "upsert_records": f"""{WQ} select g,
-          case when class = '{M.ARTICLE}' then 8 else n end::bigint as n_quads,
-          case when class = '{M.ARTICLE}' then 'published' else status end as status,
-          '{B}c' || ck as creator,
-          case when class = '{M.ARTICLE}' then {USER}
-            when status = 'modified' then '{B}c' || ck end as modifier,
-          case when class = '{M.ARTICLE}' then '{MOMENT}' else moment end as generated_at
-        from works join (select g, count(*) as n from quads group by g) c using (g)""",
-    "nquads_lines": f"""{WQ} select p, count(*) as n_lines, min(line) as first_line,
-          max(line) as last_line, cast(sum(length(line)) as bigint) as n_chars
-        from (select p, {NQ_LINE} as line from quads) group by p""",
-    "import_stream": f"{WQ} select p, {PER_P} from quads group by p",
-    "read_batch": f"""with {BATCH} select id, title, year, link,
-        '[''' || array_to_string(types, ''', ''') || ''']' as main_theme from batch""",
+    "upsert_records": f"""{WQ}, articles as (select * from works where class = '{M.ARTICLE}')
+        select * from quads where g not in (select g from articles) union """ + " union ".join([
+            q("work", M.RDF_TYPE, "class", "uri", src="articles"),
+            q("work", M.DCT_TITLE, "('New ' || work)", src="articles"),
+            q("g", M.STATUS, "'published'", o_type=M.XSD_STRING, src="articles"),
+            q("g", M.GENERATED_AT, f"'{MOMENT}'", o_type=M.XSD_DATETIME, src="articles"),
+            q("g", M.INFLUENCED_BY, USER, "uri", src="articles"),
+            q(USER, M.RDFS_LABEL, f"'{CREATOR}'", src="articles"),
+            q("g", M.ATTRIBUTED_TO, f"('{B}c' || ck)", "uri", src="articles"),
+            q(f"('{B}c' || ck)", M.RDFS_LABEL, "c_name", src="articles")]),
+    "nquads_lines": f"{WQ} select {NQ_LINE} as value from quads",
+    "read_records": f"{WQ} select s, p, o, o_kind, o_type, true as by_file from quads",
+    "import_stream": f"{WQ} select * from quads",
+    "read_batch": f"""with {BATCH} select id, cast(null as varchar) as "reference (apa)",
+        type as "publication type", title, {", ".join(PEOPLE)}, journal, volume, issue, pages, year,
+        '[''' || array_to_string(types, ''', ''') || ''']' as main_theme,
+        '[''' || array_to_string(brands, ''', ''') || ''']' as secondary_theme,
+        lang, link, doi, booktitle, publisher from batch""",
+    "check_columns": """select cast(row_number() over (order by r_name) as int) as position,
+        r_name as column from region""",
+    "missing_cells": """select o_orderkey, case when o_custkey % 4 = 3 then o_orderpriority end as value
+        from orders""",
+    "read_templates": f"""with {TEMPLATE_FILES} select template, class, field_id, label, property,
+        'Dropdown' as field_type, 'URI' as value_kind, browse, disambiguate, position,
+        n_values as values from files""",
+    "import_vocabs": f"""select distinct '{B}c' || c_custkey as s, '{M.RDFS_LABEL}' as p, c_name as o,
+        'literal' as o_kind, cast(null as varchar) as o_type, '{M.VOCAB_GRAPH}' as g
+        from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey""",
+    "browse_filters": f"""with {TEMPLATE_FILES} select template, class, property, label,
+        'Dropdown' as field_type, 'URI' as value_kind, position from files where browse or disambiguate""",
     "read_authority": """select distinct 'publishers' as kind, c_mktsegment || ', Ltd' as label
         from customer union all select 'people', c_name from customer where c_custkey % 2 = 0""",
     "daily_quota": f"""select cast(user_id as varchar) as client, cast(ts as date) as day,

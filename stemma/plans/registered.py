@@ -68,7 +68,9 @@ def citations_txt(spark, sf):
 
 @query
 def chart_json(spark, sf):
-    return exports.chart_json(A.publications_per_year(adapter.catalog(spark, sf)))
+    path = new_path(spark, "chart")
+    exports.write_chart_json(A.publications_per_year(adapter.catalog(spark, sf)), path)
+    return spark.read.text(path).select(F.col("value").alias("point"))
 
 
 # ---- listings, facets, record pages --------------------------------------
@@ -489,11 +491,6 @@ def form_quads(spark, sf):
 
 # ---- life cycle ----------------------------------------------------------
 
-def _per_property(quads):
-    return quads.groupBy("p").agg(F.count("*").alias("n_quads"),
-                                  F.countDistinct("g").alias("n_graphs"))
-
-
 def _graphs(spark, sf, condition):
     return adapter.table(spark, sf, "orders").filter(condition).select(
         F.expr(adapter.graph_uri()).alias("g"))
@@ -505,19 +502,19 @@ def load_graph(spark, sf):
     quads = written(adapter.catalog(spark, sf).quads(), "load")
     new = quads.filter(F.col("p") == M.RDF_TYPE).withColumn("p", F.lit(M.RDFS_LABEL)).withColumn(
         "o", F.lit("again")).withColumn("o_kind", F.lit("literal"))
-    return _per_property(L.load_graph(L.load_graph(quads, quads), new))
+    return L.load_graph(L.load_graph(quads, quads), new)
 
 
 @query
 def clear_graphs(spark, sf):
-    return _per_property(L.clear_graphs(
-        adapter.catalog(spark, sf).quads(), _graphs(spark, sf, "o_orderstatus = 'P'")))
+    return L.clear_graphs(
+        adapter.catalog(spark, sf).quads(), _graphs(spark, sf, "o_orderstatus = 'P'"))
 
 
 @query
 def delete_records(spark, sf):
-    return _per_property(L.delete_records(
-        adapter.catalog(spark, sf).quads(), _graphs(spark, sf, "o_orderpriority = '5-LOW'")))
+    return L.delete_records(
+        adapter.catalog(spark, sf).quads(), _graphs(spark, sf, "o_orderpriority = '5-LOW'"))
 
 
 @query
@@ -527,7 +524,7 @@ def record_creators(spark, sf):
 
 @query
 def upsert_records(spark, sf):
-    """Articles published again with new content; one summary row per graph."""
+    """Articles published again with new content; all quads afterwards."""
     cat = adapter.catalog(spark, sf)
     quads = written(cat.quads(), "upsert")
     typed = cat.types.filter(F.col("class") == M.ARTICLE)
@@ -538,37 +535,35 @@ def upsert_records(spark, sf):
             F.struct(F.lit(M.DCT_TITLE).alias("p"), F.concat(F.lit("New "), F.col("work")).alias("o"),
                      F.lit("literal").alias("o_kind"),
                      F.lit(None).cast("string").alias("o_type")))))
-    after = L.upsert_records(quads, new, M.PUBLISHED, CREATOR, MOMENT)
+    return L.upsert_records(quads, new, M.PUBLISHED, CREATOR, MOMENT)
 
-    def value(p):
-        return F.min(F.when((F.col("p") == p) & (F.col("s") == F.col("g")), F.col("o")))
 
-    return after.groupBy("g").agg(
-        F.count("*").alias("n_quads"), value(M.STATUS).alias("status"),
-        value(M.ATTRIBUTED_TO).alias("creator"), value(M.INFLUENCED_BY).alias("modifier"),
-        value(M.GENERATED_AT).alias("generated_at"))
+@query
+def nquads_lines(spark, sf):
+    """The dump written, read back and shown as lines again."""
+    path = new_path(spark, "lines")
+    nquads.write_nquads(adapter.catalog(spark, sf).quads(), path)
+    return nquads.nquads_lines(nquads.read_nquads(spark, path))
 
 
 @query
-def nquads_lines(spark, sf):
-    """The dump read back, its lines measured per property."""
-    lines = nquads.nquads_lines(adapter.catalog(spark, sf).quads())
-    again = nquads.nquads_lines(nquads.parse_nquads(lines)).select(
-        "value", F.regexp_extract("value", r"^<[^>]*> <([^>]*)>", 1).alias("p"))
-    return again.groupBy("p").agg(
-        F.count("*").alias("n_lines"), F.min("value").alias("first_line"),
-        F.max("value").alias("last_line"), F.sum(F.length("value")).alias("n_chars"))
+def read_records(spark, sf):
+    """The dump read as files of records, whose names give the graphs."""
+    path = new_path(spark, "records")
+    nquads.write_nquads(adapter.catalog(spark, sf).quads(), path)
+    return nquads.read_records(spark, path).select(
+        "s", "p", "o", "o_kind", "o_type", F.col("g").rlike(f"^{M.BASE}part-[^/]+/$").alias("by_file"))
 
 
 @query
 def import_stream(spark, sf):
-    """The dump sent in twice through the import stream, counted per property."""
+    """The dump sent in twice through the import stream."""
     folder = new_path(spark, "import")
     lines = nquads.nquads_lines(adapter.catalog(spark, sf).quads())
     lines.unionByName(lines).write.text(f"{folder}/inbox")
     imports.run_import(spark, f"{folder}/inbox", f"{folder}/quads",
                        f"{folder}/checkpoint").awaitTermination()
-    return _per_property(imports.imported(spark, f"{folder}/quads"))
+    return imports.imported(spark, f"{folder}/quads")
 
 
 # ---- the catalogue out of a dump -----------------------------------------
@@ -639,7 +634,66 @@ def read_batch(spark, sf):
     rows = adapter.batch(spark, sf).withColumn("Unnamed: 36", F.lit("x"))
     rows.toDF(*[c if c.startswith("Unnamed") else c.upper() for c in rows.columns]).write.csv(
         path, header=True, escape='"', ignoreLeadingWhiteSpace=False)
-    return batches.read_batch(spark, path).select("id", "title", "main_theme", "year", "link")
+    return batches.read_batch(spark, path)
+
+
+@query
+def check_columns(spark, sf):
+    """A sheet that has a column for each region besides accepted ones."""
+    sheet = (adapter.table(spark, sf, "region").selectExpr("r_name", "'Book' as `Publication Type`")
+             .groupBy("Publication Type").pivot("r_name").count())
+    return V.check_columns(sheet)
+
+
+@query
+def missing_cells(spark, sf):
+    """Blank cells and the missing-value word in several spellings, padded."""
+    return adapter.table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "case o_custkey % 4 when 0 then ' nan ' when 1 then ' \t' when 2 then 'NaN' "
+        "else concat(' ', o_orderpriority, ' ') end as raw").selectExpr(
+        "o_orderkey", f"{X.cell('raw')} as value")
+
+
+def _template_files(spark, sf):
+    """A template file per region with a field per nation, and the list that names the files.
+
+    Customers of a nation are the choices of its field.
+    """
+    folder = new_path(spark, "templates")
+    choices = adapter.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.expr(
+        f"map_from_entries(collect_list(struct('{M.BASE}c' || c_custkey, c_name))) as values"))
+    nations = (adapter.table(spark, sf, "nation")
+               .join(adapter.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+               .join(choices, F.col("n_nationkey") == F.col("c_nationkey"), "left"))
+    fields = nations.selectExpr("r_name", "n_nationkey", f"""struct(
+        r_name || '-' || n_nationkey as id, n_name as label, 'Dropdown' as type, 'URI' as value,
+        '{M.VOCAB}' || lower(n_name) as property, if(n_nationkey % 2 = 0, 'True', 'False') as browse,
+        if(n_nationkey % 3 = 0, 'True', 'False') as disambiguate, values) as field""")
+    (fields.groupBy("r_name").agg(F.expr(
+        "to_json(transform(sort_array(collect_list(n_nationkey)), k -> "
+        "map_from_entries(collect_list(struct(n_nationkey, field)))[k])) as value"))
+     .select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/fields"))
+    name = F.substring_index(F.get_json_object("value", "$[0].id"), "-", 1)
+    (spark.read.text(f"{folder}/fields", wholetext=True).select(
+        name.alias("name"), name.alias("short_name"), F.concat(F.lit(M.BASE), F.lower(name)).alias("type"),
+        F.concat(F.lit("some/folder/"), "_metadata.file_name").alias("template"))
+     .write.option("maxRecordsPerFile", 1).json(f"{folder}/list"))
+    return templates.read_templates(spark, f"{folder}/list", f"{folder}/fields")
+
+
+@query
+def read_templates(spark, sf):
+    return _template_files(spark, sf).drop("status").withColumn("values", F.size("values"))
+
+
+@query
+def import_vocabs(spark, sf):
+    return templates.vocabulary_quads(_template_files(spark, sf))
+
+
+@query
+def browse_filters(spark, sf):
+    return Q.browse_filters(_template_files(spark, sf))
 
 
 @query
