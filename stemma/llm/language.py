@@ -6,9 +6,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stemma.llm.arrays import mix, parts, utf8
+from stemma.llm.sample import least_hashed
 from stemma.llm.suffix import words8
 
 U64 = np.uint64
@@ -93,9 +94,7 @@ def train(docs: DataFrame, learn) -> Model:
     known = (docs.filter(learn).filter("lang is not null and text is not null and doc_id is not null")
              .select(F.col("doc_id").cast("long").alias("id"), "lang"))
     common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (known.join(F.broadcast(common), "lang").distinct().withColumn("nth", F.row_number().over(order))
-              .filter(F.col("nth") <= PER_LANGUAGE).drop("nth"))
+    chosen = least_hashed(known.join(F.broadcast(common), "lang").distinct(), "lang", "id", PER_LANGUAGE)
     chosen = F.broadcast(chosen)      # at most PER_LANGUAGE rows of at most LANGUAGES languages
 
     def run(batches):

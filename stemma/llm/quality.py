@@ -6,9 +6,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stemma.llm.arrays import Hasher, mix, parts, utf8, word_spans
+from stemma.llm.sample import least_hashed
 
 U64 = np.uint64
 SIZE = 1 << 18         # weights
@@ -142,8 +143,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
 def _rated(labels: DataFrame, grade) -> DataFrame:
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade"))
     rated = rated.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rated.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= PER_GRADE).drop("nth")
+    return least_hashed(rated, "grade", "doc_id", PER_GRADE)
 
 
 def grade_of_labels():
