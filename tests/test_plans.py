@@ -3,10 +3,11 @@
 import duckdb
 import pytest
 from conftest import SF, rows
+from pyspark.errors import AnalysisException
 
 import __spark_entry__ as entry
 from stemma.operators import analytics as A, browse as Q
-from stemma.plans.catalog import from_quads
+from stemma.plans.catalog import Catalog, from_quads
 from stemma.sources import adapter, store
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -67,6 +68,12 @@ def test_bucketed_tables_need_no_shuffle_by_record(spark):
         assert rows(Q.stage_counts(cat)) == rows(Q.stage_counts(adapter.catalog(spark, SF)))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(AnalysisException):       # a version is never written twice
+        store.save_catalog(adapter.catalog(spark, SF), "shelf", 4)
+    empty = Catalog(*[getattr(cat, name).limit(0) for name in store.TABLES])
+    store.save_catalog(empty, "shelf", 2, version=10)
+    assert store.load_catalog(spark, "shelf").types.count() == 0
+    assert store.load_catalog(spark, "shelf", 1).types.count() == cat.types.count()
 
 
 def test_versions_are_kept(spark, quads, tmp_path):
@@ -84,7 +91,9 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", ["counters", "export_wide", "records", "record_view", "back_links",
                                   "suggest_topk", "rows_to_quads", "form_quads", "upsert_records",
-                                  "daily_quota_stream", "label_update"])
+                                  "daily_quota_stream", "label_update", "load_graph", "import_stream",
+                                  "read_batch", "read_records", "read_templates", "import_vocabs",
+                                  "browse_filters", "check_columns", "missing_cells"])
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
