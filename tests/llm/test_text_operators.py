@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -19,6 +20,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 from stemma.llm import language, licenses, near, neighbours, packing, phrases, quality, repeats, scoring  # noqa: E402
 from stemma.llm.bpe import coder, encode_digests, encode_in_chunks  # noqa: E402
+from stemma.llm.sample import least_hashed  # noqa: E402
 from stemma.llm.suffix import repeated  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +50,20 @@ def awkward():
     return [(i, t, ("en", "fr", None)[k % 3], "s", 1, 2, "x", "y") for k, (i, t) in enumerate(rows)]
 
 
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    """Stands here and not in a conftest module, which would hide the one of the other tests."""
+    session = (
+        SparkSession.builder.master("local[4]").appName("llm-tests")
+        .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(awkward(), SCHEMA).repartition(3).cache()
@@ -293,6 +309,16 @@ def test_quality(spark, docs, empty):
     assert quality.rate(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_samples_are_the_least_hashes(spark):
+    rows = spark.range(5000).selectExpr("id", "if(id % 10 = 0, 'rare', 'often') as kind", "xxhash64(id) as h")
+    rows = rows.unionByName(rows.filter("id = 7"))
+    got = [(r.kind, r.id) for r in least_hashed(rows, "kind", "id", 300).collect()]
+    for kind in ("rare", "often"):
+        all_of = sorted((r.h, r.id) for r in rows.filter(f"kind = '{kind}'").collect())
+        assert sorted(i for k, i in got if k == kind) == sorted(i for _, i in all_of[:300])
+    assert least_hashed(rows.limit(0), "kind", "id", 3).count() == 0
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(0)
     rows, grades = [], []
