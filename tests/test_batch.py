@@ -145,7 +145,7 @@ def test_unique_values_and_variants(spark):
 def test_read_batch(spark, tmp_path):
     path = tmp_path / "b.csv"
     path.write_text('Title,Publication Type,Unnamed: 2\n"A ""x""\nb",Article,1\n', encoding="utf-8")
-    df = read_batch(spark, str(path))
+    df = read_batch(spark, str(path), multi_line=True)
     assert df.columns == ["title", "publication type"]
     assert df.first().title == 'A "x"\nb'
     assert tidy_headers(df).columns == df.columns
