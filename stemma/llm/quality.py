@@ -15,6 +15,7 @@ U64 = np.uint64
 SIZE = 1 << 18         # weights
 SLICE = 4 << 20
 PREFIXES = (4, 5)      # bytes of a longer word that are a feature too
+EVIDENCE = 10          # likelihood ratio that a feature needs; by chance 1 in 150 has it, at any sample size
 PER_GRADE = 4000       # labelled documents of one grade that a fit takes at most
 STEPS = np.array([1e-9, 0.005, 0.02, 0.06, 0.15, 0.35, 0.7])   # bounds of the share features
 
@@ -103,14 +104,14 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
 
     Cumulative-link likelihood, AdaGrad with an L1 shrinkage that keeps rare words at zero;
     grades weigh alike. Features whose presence says little about the grade, by the
-    likelihood ratio against independence, have no weight; the bound rises with the
-    sample, as longer texts and languages then also tell apart by chance. Rows are cut to
-    the features that have a weight before anything is laid out flat.
+    likelihood ratio against independence, have no weight; the bound is the same for every
+    sample, so that words of a small language pass once a few of its documents tell. Rows
+    are cut to the features that have a weight before anything is laid out flat.
     """
     weight, cuts = np.zeros(SIZE), np.linspace(-6, -3, max(n_grades - 1, 1))
     if not len(rows) or len(np.unique(grades)) < 2:
         return weight, cuts
-    told = _evidence(rows, grades, np.bincount(grades, minlength=n_grades)) > 30 + 0.01 * len(rows)
+    told = _evidence(rows, grades, np.bincount(grades, minlength=n_grades)) > EVIDENCE
     rows = [row[told[row]] for row in rows]
     flat = np.concatenate(rows)
     who = np.repeat(np.arange(len(rows)), [len(r) for r in rows])

@@ -293,6 +293,14 @@ def test_kernel_is_the_share_of_common_runs():
     assert (rows[0] @ rows[1], rows[0] @ rows[2]) == (len(grams[0] & grams[1]), 0)
 
 
+@pytest.fixture(scope="module")
+def rated(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return (quality.rate(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id")
+            .select("lang", "quality", "toxic", "kept").collect())
+
+
 def test_quality(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -333,6 +341,32 @@ def test_ordinal_fit_orders_grades():
     assert ((eta[:, None] > cuts).sum(1) == grades).mean() > 0.95
 
 
+def test_evidence_of_a_small_language_counts_in_a_large_sample():
+    """Eight toxic texts of a language share a word that no other text has, among 6000 rows."""
+    rng = np.random.default_rng(1)
+    rows, grades, lang = [], [], []
+    for i in range(6000):
+        small, g = i % 60 == 0, (0, 2, 2, 2, 1)[i // 60 % 5] if i % 60 == 0 else (0, 1, 2)[i % 3]
+        small_toxic = small and g == 1 and lang.count(1) < 60
+        g = g if not small or g != 1 or small_toxic else 2
+        base = 1000 * (2 if small else 1)
+        rows.append(np.unique(np.r_[rng.integers(base, base + 300, 20), [base + 500 + g]]))
+        grades.append(g)
+        lang.append(int(small))
+    grades, lang = np.array(grades), np.array(lang)
+    weight, cuts = quality.fit(rows, grades, 3)
+    kept = np.array([weight[r].sum() for r in rows]) > cuts[1]
+    for k in (0, 1):
+        assert kept[(lang == k) & (grades == 1)].mean() <= 0.25 and kept[(lang == k) & (grades == 2)].mean() >= 0.9
+
+
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_toxic_recall_of_each_language(spark, lang, rated):
+    clean = [r.kept for r in rated if r.lang == lang and r.quality == 1 and r.toxic == 0]
+    toxic = [r.kept for r in rated if r.lang == lang and r.quality == 1 and r.toxic == 1]
+    assert sum(toxic) <= 0.25 * len(toxic) and sum(clean) >= 0.85 * len(clean)
+
+
 # ---- tokens ----------------------------------------------------------------
 
 def test_bpe(docs, empty):
