@@ -9,12 +9,12 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# label, pattern of the name in normalised words, identifier words, keyword that the name needs
+# label, pattern of the name in normalised words, identifier words, keyword or keywords of which every name has one
 FAMILIES = [
     ("apache-1.1", rf"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?1 1", "apache 1 1", "apache"),
     ("apache-2.0", rf"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?", "apache 2 0", "apache"),
     ("apache-any", r"apache(?: software)?(?: foundation)?", "apache", "apache"),
-    ("mit", r"(?:mit|expat)(?: x11)?", "mit", "mit"),
+    ("mit", r"(?:mit|expat)(?: x11)?", "mit", ("mit", "expat")),
     ("mit-0", r"mit no attribution", "mit 0", "mit"),
     ("x11", r"x11(?: consortium)?", "x11", "x11"),
     ("gpl-2.0", r"(?:gnu )?(?:general public licen[sc]e|gpl)(?: version| v)? ?2(?: 0)?", "gpl 2 0", "g"),
@@ -25,12 +25,12 @@ FAMILIES = [
     ("lgpl-any", r"(?:gnu )?(?:(?:lesser|library) general public licen[sc]e|lgpl)", "lgpl", "l"),
     ("agpl-3.0", r"(?:gnu )?(?:affero general public licen[sc]e|agpl)(?: version| v)?(?: ?3(?: 0)?)?", "agpl 3 0", "a"),
     ("gfdl", r"(?:gnu )?(?:free documentation licen[sc]e|gfdl|fdl)", "gfdl 1 3", "f"),
-    ("bsd-2-clause", r"(?:simplified|freebsd|2 clause|two clause)(?: bsd)?", "bsd 2 clause", "bsd"),
+    ("bsd-2-clause", r"(?:simplified|freebsd|2 clause|two clause)(?: bsd)?", "bsd 2 clause", ("simplified", "freebsd", "2 clause", "two clause")),
     ("bsd-3-clause", r"(?:new|modified|revised|3 clause|three clause) bsd", "bsd 3 clause", "bsd"),
     ("bsd-4-clause", r"(?:original|4 clause|four clause) bsd", "bsd 4 clause", "bsd"),
     ("bsd-0-clause", r"(?:zero clause|0 clause) bsd", "0bsd", "bsd"),
     ("bsd-any", r"(?:berkeley software distribution|bsd)(?: style)?", "bsd", "b"),
-    ("isc", r"(?:isc|internet systems consortium)", "isc", "is"),
+    ("isc", r"(?:isc|internet systems consortium)", "isc", ("isc", "internet systems")),
     ("mpl-1.1", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?1(?: 0| 1)", "mpl 1 1", "m"),
     ("mpl-2.0", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?2(?: 0)?", "mpl 2 0", "m"),
     ("mpl-any", r"mozilla(?: public)?", "mpl", "mozilla"),
@@ -51,7 +51,7 @@ FAMILIES = [
     ("cc-by-nd", r"(?:cc|creative commons) (?:by nd|attribution no ?deriv\w*)(?: [1234] [05])?(?: international)?", "cc by nd 4 0", "c"),
     ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)(?: [1234] [05])?(?: international)?", "cc by nc sa 4 0", "c"),
     ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv\w*)(?: [1234] [05])?(?: international)?", "cc by nc nd 4 0", "c"),
-    ("odbl", r"(?:open database licen[sc]e|odbl)(?: 1 0)?", "odbl 1 0", "od"),
+    ("odbl", r"(?:open database licen[sc]e|odbl)(?: 1 0)?", "odbl 1 0", ("odbl", "open database")),
     ("odc-by", r"open data commons(?: attribution)?", "odc by 1 0", "open data"),
     ("ofl-1.1", r"(?:sil )?(?:open font licen[sc]e|ofl)(?: 1 [01])?", "ofl 1 1", "f"),
     ("python-2.0", r"(?:python software foundation|psf)(?: licen[sc]e)?(?: version| v)?(?: 2(?: 0)?)?", "python 2 0", "p"),
@@ -95,11 +95,18 @@ NOTICES = [
 ]
 
 
-def rules() -> list[tuple[str, int, str, str, str]]:
-    """(label, priority, pattern, keyword, second keyword) of all signature rules, first ones first."""
-    out = [(label, p, frame.replace("{n}", name).replace("{i}", ident), word, key)
-           for p, frame, word in FRAMES for label, name, ident, key in FAMILIES]
-    out += [(label, p, pattern, word, word) for label, p, pattern, word in NOTICES]
+def rules() -> list[tuple[str, int, str, str, tuple[str, ...]]]:
+    """(label, priority, pattern, keyword, further keywords) of all signature rules, first ones first.
+
+    Every match holds the keyword and one of the further ones. An identifier is its own keyword.
+    """
+    out = []
+    for p, frame, word in FRAMES:
+        for label, name, ident, key in FAMILIES:
+            keys = ident if "{i}" in frame else key
+            out.append((label, p, frame.replace("{n}", name).replace("{i}", ident), word,
+                        (keys,) if isinstance(keys, str) else keys))
+    out += [(label, p, pattern, word, (word,)) for label, p, pattern, word in NOTICES]
     return sorted(out, key=lambda r: -r[1])
 
 
@@ -115,10 +122,10 @@ def _quoted(text: str) -> str:
 def _found() -> str:
     """SQL: all matches in `norm` of the rules whose keywords occur, with their places in characters."""
     table = ", ".join(f"named_struct('label', {_quoted(label)}, 'priority', {p}, 'pattern', "
-                      f"{_quoted('(?<= )(?:' + pattern + ')(?= )')}, 'one', {_quoted(a)}, 'two', {_quoted(b)})"
+                      f"{_quoted('(?<= )(?:' + pattern + ')(?= )')}, 'one', {_quoted(a)}, 'two', array({', '.join(map(_quoted, b))}))"
                       for label, p, pattern, a, b in rules())
     return f"""flatten(transform(
-      filter(array({table}), r -> contains(norm, r.one) and contains(norm, r.two) and norm rlike r.pattern),
+      filter(array({table}), r -> contains(norm, r.one) and exists(r.two, k -> contains(norm, k)) and norm rlike r.pattern),
       r -> aggregate(
         arrays_zip(split(norm, r.pattern, -1), regexp_extract_all(norm, r.pattern, 0)),
         named_struct('at', 0, 'found', cast(array() as array<{_MATCH}>)),

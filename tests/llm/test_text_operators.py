@@ -265,6 +265,49 @@ def test_license_scan_is_sql_only(corpus):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+def phrases_of(pattern):
+    """All texts that a pattern stands for; of a set of characters the first, of repeats the fewest and one."""
+    from re import _constants as c, _parser as parser
+
+    def texts(items):
+        out = [""]
+        for op, arg in items:
+            if op is c.LITERAL:
+                more = [chr(arg)]
+            elif op is c.IN:
+                more = [chr(arg[0][1]) if arg[0][0] is c.LITERAL else chr(arg[0][1][0]) if arg[0][0] is c.RANGE else "a"]
+            elif op is c.BRANCH:
+                more = [t for branch in arg[1] for t in texts(branch)]
+            elif op is c.SUBPATTERN:
+                more = texts(arg[3])
+            else:
+                assert op is c.MAX_REPEAT
+                more = [t * n for n in {arg[0], max(arg[0], 1)} for t in texts(arg[2])]
+            out = [a + b for a in out for b in more]
+        return out
+
+    got = texts(parser.parse(pattern))
+    assert all(re.fullmatch(pattern, t) for t in got)
+    return got
+
+
+def test_every_license_phrase_has_the_keywords_of_its_rule():
+    for label, _, pattern, one, two in licenses.rules():
+        for t in phrases_of(pattern):
+            assert one in t and any(k in t for k in two) and re.search(licenses.GATE, t), (label, t)
+
+
+def test_license_rules_fire_on_their_own_phrase_alone(spark):
+    texts = [(f"SPDX-License-Identifier: {ident.replace(' ', '-').upper()}", label)
+             for label, _, ident, _ in licenses.FAMILIES]
+    texts += [("licensed under the Expat license", "mit"), ("licensed under the Open Database License", "odbl"),
+              ("licensed under the 2 clause license", "bsd-2-clause"),
+              ("released under the Internet Systems Consortium license", "isc")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(df).collect()}
+    assert [t for i, t in enumerate(texts) if t[1] not in got[i]] == []
+
+
 # ---- language and quality --------------------------------------------------
 
 def test_language(docs, corpus, empty):
