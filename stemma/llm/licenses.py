@@ -78,8 +78,21 @@ FRAMES = [
     (6, r"{n}(?: public)? licen[sc]e(?: version [0-9]+(?: [0-9]+)?)?", "licen"),
     (4, r"{n} licen[sc]ed", "licen"),
 ]
+_UNDER = (r"(?:released|licen[sc]ed|distributed|published|available|provided|covered) (?:under|by) (?:the )?"
+          r"(?:terms (?:and conditions )?of (?:the )?)?")
 # label, priority, whole pattern, keyword
 NOTICES = [
+    ("gpl-any", 8, _UNDER + r"gpl", "gpl"),
+    ("gpl-any", 8, _UNDER + r"general public licen[sc]e", "general public"),
+    ("gpl-any", 6, r"gpl(?: public)? licen[sc]e", "gpl"),
+    ("gpl-any", 4, r"gpl(?: licen[sc]ed| compatible)", "gpl"),
+    ("gpl-2.0", 8, r"(?:gnu )?gplv2", "gplv2"),
+    ("gpl-3.0", 8, r"(?:gnu )?gplv3", "gplv3"),
+    ("lgpl-2.1", 8, r"(?:gnu )?lgplv2(?: 1)?", "lgplv2"),
+    ("lgpl-3.0", 8, r"(?:gnu )?lgplv3", "lgplv3"),
+    ("agpl-3.0", 8, r"(?:gnu )?agplv3", "agplv3"),
+    ("gpl-any", 7, r"(?:either version [123](?: 0)? of the licen[sc]e or at your option|gpl [123](?: 0)? or) any later version",
+     "any later version"),
     ("mit", 9, r"permission is hereby granted free of charge to any person obtaining a copy", "permission"),
     ("isc", 8, r"permission to use copy modify and or distribute this software for any purpose", "permission"),
     ("bsd-any", 8, r"redistribution and use in source and binary forms", "redistribution"),
@@ -110,7 +123,7 @@ def rules() -> list[tuple[str, int, str, str, tuple[str, ...]]]:
     return sorted(out, key=lambda r: -r[1])
 
 
-GATE = (r"licen[sc]|spdx|copyright|public|rights|warrant|redistribution|proprietary|unauthori|permission"
+GATE = (r"licen[sc]|spdx|gpl|copyright|public|rights|warrant|redistribution|proprietary|unauthori|permission"
         r"|unencumbered|released|distributed|published|available|provided|covered")
 _MATCH = "struct<start:int,end:int,priority:int,label:string>"
 
