@@ -6,18 +6,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from stemma.llm.arrays import mix, parts, utf8
+from stemma.llm.arrays import parts, utf8
+from stemma.llm.near import SMALL
 from stemma.llm.sample import least_hashed
 from stemma.llm.suffix import words8
+from stemma.plans.durable import written
 
 U64 = np.uint64
 GRAMS = (1, 2, 3, 4)   # the blended spectrum: runs of so many bytes
 BITS = 14              # presence vectors have 2^BITS places
 PER_LANGUAGE = 1500    # training documents of one language at most
 LANDMARKS = 48         # landmark documents of one language at most
-LANGUAGES = 200        # languages that are learned at most, the most frequent ones
+MARKS = 1024           # landmark documents of all languages, about; each has one at least, however many there are
 BATCH = 64             # documents of one matrix product
 SLICE = 4 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -55,47 +57,73 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Model:
     """One-versus-rest ridge regression on Nystroem features of the presence kernel.
 
-    `bits` are packed presence vectors, 2 KB a document; only a few hundred are unpacked at once.
+    `marks` are the landmarks' packed presence vectors, 2 KB a document. The regression needs
+    sums over documents only, which `sums` makes of any part of them.
     """
 
-    def __init__(self, bits: np.ndarray, langs: np.ndarray, ridge: float = 1.0):
-        def rows(at):
-            return np.unpackbits(bits[at], axis=1).astype(np.float32)
-
-        self.langs = sorted(set(langs.tolist()))
-        code = np.array([self.langs.index(x) for x in langs])
-        marks = np.concatenate([np.flatnonzero(code == k)[:LANDMARKS] for k in range(len(self.langs))]
-                               or [np.zeros(0, int)])
-        self.marks = rows(marks)
-        if not len(self.langs):
-            return
-        value, vector = np.linalg.eigh(_kernel(self.marks, self.marks).astype(np.float64))
-        good = value > 1e-6 * value.max()
-        root = vector[:, good] / np.sqrt(value[good])
-        z = np.concatenate([_kernel(rows(slice(i, i + 256)), self.marks) @ root for i in range(0, len(bits), 256)])
-        z = np.c_[z, np.ones(len(z))]
-        share = np.sqrt(len(code) / (len(self.langs) * np.bincount(code)[code]))[:, None]
-        y = np.where(code[:, None] == np.arange(len(self.langs)), 1.0, -1.0)
-        zw = z * share
-        beta = np.linalg.solve(zw.T @ zw + ridge * np.eye(z.shape[1]), zw.T @ (y * share))
-        self.weight = (root @ beta[:-1]).astype(np.float32)
+    def __init__(self, marks: np.ndarray, langs: list[str]):
+        self.langs, self.bits, self._marks = langs, marks, None
+        if len(langs):
+            value, vector = np.linalg.eigh(_kernel(self.marks, self.marks).astype(np.float64))
+            good = value > 1e-6 * value.max()
+            self.root = vector[:, good] / np.sqrt(value[good])
+
+    def __getstate__(self):
+        return self.__dict__ | {"_marks": None}
+
+    @property
+    def marks(self) -> np.ndarray:
+        if self._marks is None:
+            self._marks = np.unpackbits(self.bits, axis=1).astype(np.float32)
+        return self._marks
+
+    def sums(self, bits: np.ndarray, code: np.ndarray, share: np.ndarray):
+        """z'z of documents weighted by the `share` of their language, and {language number: sum of z}."""
+        size = self.root.shape[1] + 1
+        square, of = np.zeros((size, size)), {}
+        for i in range(0, len(bits), 256):
+            rows = np.unpackbits(bits[i:i + 256], axis=1).astype(np.float32)
+            z = np.c_[_kernel(rows, self.marks) @ self.root, np.ones(len(rows))]
+            k = code[i:i + 256]
+            square += z.T @ (z * share[k][:, None])
+            for x in np.unique(k).tolist():
+                of[x] = of.get(x, 0) + z[k == x].sum(0)
+        return square, of
+
+    def solve(self, square: np.ndarray, of: np.ndarray, share: np.ndarray, ridge: float = 1.0):
+        """Weights of each language from the sums of all documents; languages weigh alike."""
+        of = of * share[:, None]
+        beta = np.linalg.solve(square + ridge * np.eye(len(square)), (2 * of - of.sum(0)).T)
+        self.weight = (self.root @ beta[:-1]).astype(np.float32)
         self.bias = beta[-1].astype(np.float32)
+        return self
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         return _kernel(rows, self.marks) @ self.weight + self.bias
 
 
+def _packed(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, (1 << BITS) // 8)
+
+
+def _added(table):
+    rows = [np.frombuffer(x) for x in table.column("data").to_pylist()]
+    return pa.table({"kind": table.column("kind")[:1], "at": table.column("at")[:1],
+                     "data": pa.array([np.sum(rows, axis=0).tobytes()], pa.binary())})
+
+
 def train(docs: DataFrame, learn) -> Model:
     """Fits on at most PER_LANGUAGE documents of each language, those with the least id hash.
 
-    `learn` is a condition on rows. The presence vectors are made by tasks from whole texts and
-    sent packed, 2 KB a document, so the driver holds a sample of bounded size.
+    `learn` is a condition on rows. Every language is learned. Tasks make the presence vectors
+    from whole texts, packed, 2 KB a document, and then the sums of the regression; the driver
+    holds the landmarks, one square matrix of their number and one row of it per language.
     """
     known = (docs.filter(learn).filter("lang is not null and text is not null and doc_id is not null")
              .select(F.col("doc_id").cast("long").alias("id"), "lang"))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    chosen = least_hashed(known.join(F.broadcast(common), "lang").distinct(), "lang", "id", PER_LANGUAGE)
-    chosen = F.broadcast(chosen)      # at most PER_LANGUAGE rows of at most LANGUAGES languages
+    chosen = written(least_hashed(known.distinct(), "lang", "id", PER_LANGUAGE), "language-ids")
+    if chosen.count() <= SMALL:
+        chosen = F.broadcast(chosen)
 
     def run(batches):
         for batch in batches:
@@ -108,11 +136,40 @@ def train(docs: DataFrame, learn) -> Model:
                                       names=["id", "lang", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "lang", "text").filter("text is not null")
-    sample = rows.join(chosen, ["id", "lang"]).mapInArrow(run, "id long, lang string, bits binary").toArrow()
-    sample = sample.sort_by([("id", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
-    bits = np.frombuffer(b"".join(sample.column("bits").to_pylist()), np.uint8).reshape(-1, (1 << BITS) // 8)
-    order = np.argsort(mix(sample.column("id").to_numpy().astype(np.uint64)), kind="stable")
-    return Model(bits[order], np.array(sample.column("lang").to_pylist(), object)[order])
+    sample = written(rows.join(chosen, ["id", "lang"]).mapInArrow(run, "id long, lang string, bits binary"),
+                     "language-sample")
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    langs = sorted(counts)
+    if not langs:
+        return Model(np.zeros((0, (1 << BITS) // 8), np.uint8), [])
+    share = sum(counts.values()) / (len(langs) * np.array([counts[x] for x in langs], float))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "bits")
+    marks = (sample.withColumn("nth", F.row_number().over(first))
+             .filter(F.col("nth") <= max(1, min(LANDMARKS, MARKS // len(langs)))).select("lang", "nth", "bits").toArrow())
+    model = Model(_packed(marks.sort_by([("lang", "ascending"), ("nth", "ascending")]).column("bits")), langs)
+    number = {x: k for k, x in enumerate(langs)}
+
+    def add(batches):
+        square, of = 0, {}
+        for batch in batches:
+            if batch.num_rows:
+                code = np.array([number[x] for x in batch.column("lang").to_pylist()])
+                more, part = model.sums(_packed(batch.column("bits")), code, share)
+                square = square + more
+                for k, z in part.items():
+                    of[k] = of.get(k, 0) + z
+        if of:
+            yield pa.record_batch([pa.array([0] * len(square) + [1] * len(of), pa.int32()),
+                                   pa.array([*range(len(square)), *of], pa.int32()),
+                                   pa.array([x.tobytes() for x in [*square, *of.values()]], pa.binary())],
+                                  names=["kind", "at", "data"])
+
+    kind = "kind int, at int, data binary"
+    total = (sample.select("lang", "bits").mapInArrow(add, kind).groupBy("kind", "at").applyInArrow(_added, kind)
+             .toArrow().sort_by([("kind", "ascending"), ("at", "ascending")]))
+    size = model.root.shape[1] + 1
+    flat = np.frombuffer(b"".join(total.column("data").to_pylist())).reshape(-1, size)
+    return model.solve(flat[:size], flat[size:], share)
 
 
 def held_out():

@@ -297,6 +297,16 @@ def test_every_license_phrase_has_the_keywords_of_its_rule():
             assert one in t and any(k in t for k in two) and re.search(licenses.GATE, t), (label, t)
 
 
+def test_plain_statements_of_the_gpl(spark):
+    texts = [("licensed under the GPL", "gpl-any"), ("Released under the terms of the General Public Licence", "gpl-any"),
+             ("This is GPL licensed.", "gpl-any"), ("free code, GPLv2", "gpl-2.0"), ("free code: LGPLv2.1", "lgpl-2.1"),
+             ("either version 2 of the License, or (at your option) any later version", "gpl-any"),
+             ("licensed under the GPL version 3", "gpl-3.0")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [label for _, label in texts]
+
+
 def test_license_rules_fire_on_their_own_phrase_alone(spark):
     texts = [(f"SPDX-License-Identifier: {ident.replace(' ', '-').upper()}", label)
              for label, _, ident, _ in licenses.FAMILIES]
@@ -326,6 +336,19 @@ def test_language(docs, corpus, empty):
     assert language.identify(empty).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More than 200 values of lang, each with letters of its own and two documents to learn from."""
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    letters = [chr(0x4E00 + 37 * k) for k in range(230)]
+    rows = [(ids[2 * k + n], (letters[k] + " ") * 9, f"l{k:03}") for k in range(230) for n in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (1024, 120):       # also one landmark a language
+        monkeypatch.setattr(language, "MARKS", most)
+        out = language.identify(df).collect()
+        assert len({r.lang_pred for r in out}) > 225
+        assert sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out)
+
+
 def test_kernel_is_the_share_of_common_runs():
     texts = ["abcab", "ABC", "zz", ""]
     raw = [t.encode() for t in texts]
