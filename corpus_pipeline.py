@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemma.llm.language import identify
 from stemma.llm.near import SMALL, near_duplicates
@@ -28,20 +28,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, and one row of each doc_id."""
-    gone = near_duplicates(docs, words=5, similarity=0.8).filter(~F.col("kept")).select("doc_id").distinct()
-    gone = written(gone, "copies")
+    """Keeps one row of each group of near copies, the one with the smallest doc_id.
+
+    Where doc_ids are missing or repeat, rows are numbered by doc_id, those without one last, and
+    linked and kept by that number, so rows of one doc_id with different texts all stay.
+    """
+    odd = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
+    if odd.isEmpty():
+        return _without_copies(docs, "doc_id")
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    numbered = written(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    return _without_copies(numbered, "_row").select(docs.columns)
+
+
+def _without_copies(docs: DataFrame, by: str) -> DataFrame:
+    told = near_duplicates(docs.select(F.col(by).alias("doc_id"), "text"), words=5, similarity=0.8)
+    gone = written(told.filter(~F.col("kept")).select(F.col("doc_id").alias(by)).distinct(), "copies")
     if gone.count() <= SMALL:
         gone = F.broadcast(gone)
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = written(left.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-                    .select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return left
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = (left.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order))
-           .filter("_nth = 1").select(docs.columns))
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    return docs.join(gone, by, "left_anti").select(docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

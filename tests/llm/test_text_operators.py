@@ -612,3 +612,14 @@ def test_pipeline(spark, docs):
         odd = stage(spark, odd, sf)
         assert odd.columns == docs.columns
     assert corpus_pipeline.packing(spark, odd, sf).count() >= odd.select("doc_id").distinct().count()
+
+
+def test_near_copies_by_row(spark):
+    """Different texts of one doc_id stay, and copies go whatever their ids."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, b), (2, c), (2, a + " more"), (3, c), (4, d), (4, d), (None, b), (None, "x " + d), (None, "alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_copies(spark, df, "")
+    assert got.columns == df.columns
+    want = [(1, a), (2, b), (2, c), (4, d), (None, "alone here")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
