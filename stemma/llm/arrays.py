@@ -57,27 +57,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BLOCK = 1 << 16
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.cumprod(p)
+
+
+_UP, _DOWN = _powers(_BASE, _BLOCK), _powers(_INVERSE, _BLOCK)
+_FAR = [pow(x, _BLOCK, 1 << 64) for x in (_BASE, _INVERSE)]
+
+
 class Hasher:
-    """64-bit hashes of any substrings of one buffer, from prefix sums."""
+    """64-bit hashes of any substrings of one buffer, from prefix sums.
 
-    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    Powers come from two tables of _BLOCK entries and one entry per block of the
+    buffer, so nothing as long as the buffer outlives the hasher.
+    """
 
     def __init__(self, buf: np.ndarray, lower: bool = False):
         n = len(buf)
-        if len(Hasher._powers[0]) <= n:
-            size = max(n + 1, 1 << 20)
-            both = []
-            for base in (_BASE, _INVERSE):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                both.append(np.cumprod(p))
-            Hasher._powers = tuple(both)
-        up, self.down = Hasher._powers
+        letters = _LOWER_LETTERS if lower else _LETTERS
+        up, self.far = (_powers(x, n // _BLOCK + 1) for x in _FAR)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER_LETTERS if lower else _LETTERS)[buf] * up[:n], out=self.prefix[1:])
+        for k, lo in enumerate(range(0, n, _BLOCK)):
+            part = letters[buf[lo:lo + _BLOCK]]
+            part *= _UP[:len(part)] * up[k]
+            np.cumsum(part, out=self.prefix[lo + 1:lo + 1 + len(part)])
+            if lo:
+                self.prefix[lo + 1:lo + 1 + len(part)] += self.prefix[lo]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.prefix[end] - self.prefix[start]) * self.down[start]
+        h = (self.prefix[end] - self.prefix[start]) * _DOWN[start & (_BLOCK - 1)]
+        h *= self.far[start >> 16]
         return mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemma.llm.bpe import encode_digests
 from stemma.llm.language import identify
 from stemma.llm.licenses import scan_licenses
+from stemma.llm.lines import drop_repeated_lines
+from stemma.llm.oracles import LLM_ORACLES
 from stemma.llm.near import near_duplicates
 from stemma.llm.neighbours import nearest
 from stemma.llm.packing import pack
@@ -68,13 +70,18 @@ def op10_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
 
 
+def op11_line_dedup(spark, sf_dir):
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"), least=40, documents=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 LLM_REGISTRY = {f.__name__: f for f in (
     op1_suffix_dedup, op2_quality, op3_neighbours, op4_license_scan, op5_language, op6_best_fit_packing, op7_bpe,
-    op8_language_model, op9_phrase_fingerprints, op10_near_duplicates, pipeline)}
-LLM_ORACLES: dict[str, str] = {}
+    op8_language_model, op9_phrase_fingerprints, op10_near_duplicates, op11_line_dedup,
+    pipeline)}
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
