@@ -13,7 +13,7 @@ from stemma.llm.sample import least_hashed
 
 U64 = np.uint64
 SIZE = 1 << 18         # weights
-SLICE = 4 << 20
+SLICE = 1 << 19        # bytes of text whose features are made at once, or one longer text
 PREFIXES = (4, 5)      # bytes of a longer word that are a feature too
 EVIDENCE = 10          # likelihood ratio that a feature needs; by chance 1 in 150 has it, at any sample size
 PER_GRADE = 4000       # labelled documents of one grade that a fit takes at most
@@ -28,9 +28,9 @@ def _word_bytes() -> np.ndarray:
 
 
 _LETTER = _word_bytes()
-_UPPER = np.zeros(256, np.int64)
+_UPPER = np.zeros(256, np.int8)
 _UPPER[65:91] = 1
-_ODD = np.zeros(256, np.int64)
+_ODD = np.zeros(256, np.int8)
 _ODD[[35, 36, 37, 38, 42, 43, 60, 61, 62, 64, 92, 94, 95, 96, 123, 124, 125, 126]] = 1
 
 
@@ -59,13 +59,15 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     who = np.repeat(np.arange(n), np.diff(at))
     count = np.maximum(np.diff(at), 1)
 
+    total = np.zeros(len(buf) + 1, np.int32)
+
     def with_any(table):
-        total = np.r_[0, np.cumsum(table[buf])]
+        np.cumsum(table[buf], out=total[1:])
         return total[e] - total[s]
 
-    bang, digit = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    bang, digit = np.zeros(256, np.int8), np.zeros(256, np.int8)
     bang[33], digit[48:58] = 1, 1
-    letters = with_any(_LETTER.astype(np.int64))
+    letters = with_any(_LETTER.astype(np.int8))
     token = hasher.of(s, e)
     same = np.r_[False, (token[1:] == token[:-1]) & (who[1:] == who[:-1])][:len(token)]
     kinds = [(with_any(_UPPER) == letters) & (letters > 1), with_any(_ODD) > 0, with_any(bang) > 0,

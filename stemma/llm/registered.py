@@ -6,6 +6,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemma.llm.bpe import encode_digests
+from stemma.llm.collocations import collocations
+from stemma.llm.conversations import damaged, repair
 from stemma.llm.language import identify
 from stemma.llm.licenses import scan_licenses
 from stemma.llm.lines import drop_repeated_lines
@@ -75,6 +77,15 @@ def op11_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(conversations, damaged(conversations))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, top=2000)
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -82,6 +93,6 @@ def pipeline(spark, sf_dir):
 LLM_REGISTRY = {f.__name__: f for f in (
     op1_suffix_dedup, op2_quality, op3_neighbours, op4_license_scan, op5_language, op6_best_fit_packing, op7_bpe,
     op8_language_model, op9_phrase_fingerprints, op10_near_duplicates, op11_line_dedup,
-    pipeline)}
+    op12_conversation_repair, op13_collocations, pipeline)}
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
