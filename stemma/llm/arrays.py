@@ -13,8 +13,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTERS = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-_LOWER_LETTERS = _LETTERS.copy()
-_LOWER_LETTERS[65:91] = _LETTERS[97:123]
+_OTHER_LETTERS = np.random.default_rng(20240502).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -74,12 +73,16 @@ class Hasher:
     """64-bit hashes of any substrings of one buffer, from prefix sums.
 
     Powers come from two tables of _BLOCK entries and one entry per block of the
-    buffer, so nothing as long as the buffer outlives the hasher.
+    buffer, so nothing as long as the buffer outlives the hasher. `other` asks for a second
+    hash that is independent of the first.
     """
 
-    def __init__(self, buf: np.ndarray, lower: bool = False):
+    def __init__(self, buf: np.ndarray, lower: bool = False, other: bool = False):
         n = len(buf)
-        letters = _LOWER_LETTERS if lower else _LETTERS
+        letters = _OTHER_LETTERS if other else _LETTERS
+        if lower:
+            letters = letters.copy()
+            letters[65:91] = letters[97:123]
         up, self.far = (_powers(x, n // _BLOCK + 1) for x in _FAR)
         self.prefix = np.zeros(n + 1, np.uint64)
         for k, lo in enumerate(range(0, n, _BLOCK)):
