@@ -251,6 +251,16 @@ def term_usage(quads: DataFrame, names: DataFrame, base: str = M.BASE) -> DataFr
                                     F.countDistinct("s").alias("n_subjects"))
 
 
+def link_pairs(cat: Catalog, uris: DataFrame | None = None) -> DataFrame:
+    """Distinct (uri, subject, label) of works that link to a URI, of all or of those named."""
+    named = cat.labels_of("work").withColumnRenamed("uri", "subject")
+    pairs = cat.links.select(F.col("target").alias("uri"), F.col("work").alias("subject")).filter(
+        ~F.col("subject").endswith("/"))
+    if uris is not None:
+        pairs = pairs.join(uris.select("uri").distinct(), "uri", "left_semi")
+    return pairs.distinct().join(named, "subject").distinct().select("uri", "subject", "label")
+
+
 def back_links(cat: Catalog, uris: DataFrame, offset: int = 0,
                limit: int = M.BACK_LINK_PAGE) -> DataFrame:
     """A page of (uri, subject, label) linking to each URI, by subject.
@@ -258,13 +268,7 @@ def back_links(cat: Catalog, uris: DataFrame, offset: int = 0,
     Pairs are made distinct before ranking, and Spark keeps only the first
     `offset + limit` of a key per task before it shuffles by URI.
     """
-    named = cat.labels_of("work").withColumnRenamed("uri", "subject")
-    pairs = (
-        cat.links.select(F.col("target").alias("uri"), F.col("work").alias("subject"))
-        .filter(~F.col("subject").endswith("/"))
-        .join(uris.select("uri").distinct(), "uri", "left_semi").distinct()
-        .join(named, "subject").distinct()
-    )
+    pairs = link_pairs(cat, uris)
     order = W.partitionBy("uri").orderBy("subject", "label")
     return (pairs.withColumn("rank", F.row_number().over(order))
             .filter(F.col("rank") <= offset + limit).filter(F.col("rank") > offset)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from stemma import model as M
 from stemma.functions import text as X
 from stemma.plans.catalog import Catalog
+from stemma.plans.durable import written
 from stemma.plans.skew import BLOCKS, blocked_join
 
 
@@ -159,25 +160,61 @@ def label_search(queries: DataFrame, labels: DataFrame, last_prefix: bool = Fals
     (documents, few copies) every text is its own unit and the label is left out
     of the result.
     """
-    asked = queries.select("query").distinct().selectExpr(
-        "query", f"{X.tokens('query')} as q").filter("size(q) > 0")
+    asked = asked_of(queries)
     toks = f"array_distinct({X.tokens('label')}) as toks"
     units = (labels.selectExpr("struct(uri, xxhash64(label) as text) as id", toks) if long_texts
              else labels.select("label").distinct().selectExpr("label as id", toks))
     # The outer form spares a filter that would cut the text into tokens again.
     words = units.selectExpr("id", "size(toks) as n_tokens", "explode_outer(toks) as token")
-    usable = "slice(q, 1, size(q) - 1)" if last_prefix else "q"
-    full = asked.selectExpr("query", "q", f"explode(array_distinct({usable})) as token")
-    wanted = full.select("token")
+    wanted = full_tokens(asked, last_prefix).select("token")
+    begun = None
     if last_prefix:
-        # Unfinished token: typed prefix and vocabulary meet on the prefix.
-        ends = asked.selectExpr("query", "q", "element_at(q, -1) as prefix")
-        starts = words.select("token").distinct().selectExpr(
-            "token", "explode(transform(sequence(1, length(token)), n -> left(token, n))) as prefix")
-        begun = starts.join(ends, "prefix").select("query", "q", "token")
+        begun = begun_tokens(asked, words.select("token").distinct())
         wanted = wanted.unionByName(begun.select("token"))
     postings = words.join(wanted.distinct(), "token", "left_semi").distinct()
     freq = postings.groupBy("token").agg(F.count("*").alias("n"))
+    hits = match_postings(asked, postings, freq, begun, min_relevance, blocks)
+    if long_texts:
+        return hits.selectExpr("query", "id.uri as uri", "score").distinct()
+    return hits.selectExpr("query", "id as label", "score").join(
+        labels.select("uri", "label"), "label").select(
+        "query", "uri", "label", "score").distinct()
+
+
+def asked_of(queries: DataFrame) -> DataFrame:
+    """(query, q) of queries that have a token."""
+    return queries.select("query").distinct().selectExpr(
+        "query", f"{X.tokens('query')} as q").filter("size(q) > 0")
+
+
+def full_tokens(asked: DataFrame, last_prefix: bool) -> DataFrame:
+    """(query, q, token) of the tokens that are not being typed."""
+    usable = "slice(q, 1, size(q) - 1)" if last_prefix else "q"
+    return asked.selectExpr("query", "q", f"explode(array_distinct({usable})) as token")
+
+
+def begun_tokens(asked: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(query, q, token) of the tokens that begin with what is being typed.
+
+    Typed prefixes and tokens meet on the prefix; a token is cut to the lengths that some
+    prefix has, however long it is itself. The driver gets one number per length.
+    """
+    ends = asked.selectExpr("query", "q", "element_at(q, -1) as prefix")
+    lengths = sorted(r.n for r in ends.selectExpr("length(prefix) as n").distinct().collect())
+    cuts = ", ".join(map(str, lengths)) or "0"
+    starts = tokens.selectExpr("token", f"explode(filter(array({cuts}), n -> n <= length(token))) as n").selectExpr(
+        "token", "left(token, n) as prefix")
+    return starts.join(ends, "prefix").select("query", "q", "token")
+
+
+def match_postings(asked: DataFrame, postings: DataFrame, freq: DataFrame, begun: DataFrame | None,
+                   min_relevance: float, blocks: int = BLOCKS) -> DataFrame:
+    """(id, query, score) from postings (token, id, n_tokens) and frequencies (token, n) of the tokens asked for.
+
+    `begun` has the tokens that a typed prefix may become; without it all tokens are whole.
+    """
+    last_prefix = begun is not None
+    full = full_tokens(asked, last_prefix)
     # A token nobody has leaves its query without a result: it is the rarest.
     driver = (
         full.join(freq, "token", "left").groupBy("query", "q")
@@ -186,19 +223,15 @@ def label_search(queries: DataFrame, labels: DataFrame, last_prefix: bool = Fals
     if last_prefix:
         driver = driver.unionByName(begun.filter("size(q) = 1"))
     pairs = blocked_join(postings.select("token", "id"), driver, "token", ["id"], blocks)
+    pairs = pairs.select("id", "query", "q").distinct()
     found = postings.groupBy("id").agg(F.collect_set("token").alias("toks"),
                                        F.max("n_tokens").alias("n_tokens"))
-    hits = (
-        pairs.select("id", "query", "q").distinct().join(found, "id")
+    return (
+        pairs.join(found, "id")
         .filter(has_all_tokens("toks", "q", last_prefix))
-        .selectExpr("*", f"{relevance('toks', 'q', last_prefix, 'n_tokens')} as score")
+        .selectExpr("id", "query", f"{relevance('toks', 'q', last_prefix, 'n_tokens')} as score")
         .filter(F.col("score") >= min_relevance)
     )
-    if long_texts:
-        return hits.selectExpr("query", "id.uri as uri", "score").distinct()
-    return hits.selectExpr("query", "id as label", "score").join(
-        labels.select("uri", "label"), "label").select(
-        "query", "uri", "label", "score").distinct()
 
 
 def best_per_query(hits: DataFrame, k: int) -> DataFrame:
@@ -234,31 +267,33 @@ def prior_records(cat: Catalog, titles: DataFrame, work_class: str | None = None
 
 # ---- mentions in text ----------------------------------------------------
 
-def _run(words: str, n: int | str) -> str:
-    """Key of a run of words: the words, or their digest where there are many."""
-    joined = f"array_join({words}, ' ')"
-    return f"if({n} <= 4, {joined}, sha2({joined}, 256))"
-
-
-def link_mentions(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct (doc, uri, label) of entity labels that occur in a text.
+def link_mentions(texts: DataFrame, labels: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """Distinct (doc, uri, label) of entity labels that occur in a text, word for word.
 
-    `texts`: doc, text. `labels`: uri, label, of any number of words. Word runs of
-    just the lengths that labels have are made distinct inside the document and
-    meet the labels' words; longer runs meet as a digest, so a long label does not
-    multiply the text.
+    `texts`: doc, text. `labels`: uri, label, of any number of words. Each text is cut once into words
+    with positions, and only words of some label stay. A label is looked for where its
+    rarest word stands; the other words are then looked up at their positions. So the work
+    on a text grows with its words, whatever the lengths of the labels, and a
+    frequent word costs nothing unless a label has no rarer one. Rows of `texts` may share a doc;
+    mentions never span two of them.
     """
     named = labels.select("uri", "label").distinct().selectExpr(
-        "uri", "label", f"{X.tokens('label')} as words").filter("size(words) > 0")
-    keys = named.selectExpr("uri", "label", f"{_run('words', 'size(words)')} as gram")
-    # One small number per distinct label length reaches the driver.
-    lengths = sorted(r.n for r in named.selectExpr("size(words) as n").distinct().collect())
-    toks = texts.selectExpr("doc", f"{X.tokens('text')} as toks")
-
-    def grams(n: int) -> str:
-        starts = f"if(size(toks) >= {n}, sequence(1, size(toks) - {n - 1}), array())"
-        return f"transform({starts}, i -> {_run(f'slice(toks, i, {n})', n)})"
-
-    runs = ", ".join(grams(n) for n in lengths) or "cast(array() as array<string>)"
-    found = toks.selectExpr("doc", f"explode_outer(array_distinct(flatten(array({runs})))) as gram")
-    return found.join(keys, "gram").select("doc", "uri", "label").distinct()
+        "uri", "label", f"{X.tokens('label')} as words").filter("size(words) > 0").selectExpr(
+        "uri", "label", "words", "array_join(words, ' ') as key")
+    places = named.select("key", "words").distinct().selectExpr(
+        "key", "size(words) as n_words", "posexplode(words) as (nth, word)")
+    found = texts.select("doc", F.monotonically_increasing_id().alias("text"), F.col("text").alias("t")).selectExpr(
+        "doc", "text", f"posexplode({X.tokens('t')}) as (pos, word)")
+    found = written(found.join(places.select("word").distinct(), "word", "left_semi"), "mentions")
+    often = found.groupBy("word").agg(F.count("*").alias("n"))
+    anchors = places.join(often, "word").groupBy("key", "n_words").agg(
+        F.count("*").alias("n_found"), F.expr("min_by(struct(word, nth), struct(n, word, nth))").alias("rarest")).filter(
+        "n_found = n_words").select("key", "n_words", "rarest.word", F.col("rarest.nth").alias("anchor"))
+    starts = blocked_join(found, anchors, "word", ["text", "pos"], blocks).selectExpr(
+        "doc", "text", "pos - anchor as start", "key", "n_words", "anchor").filter("start >= 0")
+    others = starts.filter("n_words > 1").join(places.select("key", "nth", "word"), "key").filter("nth != anchor")
+    whole = others.selectExpr("doc", "text", "start", "key", "n_words", "start + nth as pos", "word").join(
+        found.select("text", "pos", "word"), ["text", "pos", "word"]).groupBy(
+        "doc", "text", "start", "key", "n_words").count().filter("count = n_words - 1")
+    hits = starts.filter("n_words = 1").select("doc", "key").unionByName(whole.select("doc", "key")).distinct()
+    return hits.join(named, "key").select("doc", "uri", "label").distinct()

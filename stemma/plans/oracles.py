@@ -674,6 +674,13 @@ ORACLES: dict[str, str] = {
             q(USER, M.RDFS_LABEL, f"'{CREATOR}'", src="articles"),
             q("g", M.ATTRIBUTED_TO, f"('{B}c' || ck)", "uri", src="articles"),
             q(f"('{B}c' || ck)", M.RDFS_LABEL, "c_name", src="articles")]),
+    "bucket_deletes": f"""{WQ} select * from quads where g not in (
+          select g from works where class = '{M.REPORT}' or status = 'not modified')""",
+    "import_upserts": f"""{WQ}, articles as (select * from works where class = '{M.ARTICLE}')
+        select * from quads where g not in (select g from articles) and g <> '{M.VOCAB_GRAPH}' union """ + " union ".join([
+            q("work", M.RDF_TYPE, "class", "uri", src="articles"),
+            q("work", M.DCT_TITLE, "('New ' || work)", src="articles"),
+            q("g", M.GENERATED_AT, "'2030-01-01T00:00:00'", o_type=M.XSD_DATETIME, src="articles")]),
     "nquads_lines": f"{WQ} select {NQ_LINE} as value from quads",
     "read_records": f"{WQ} select s, p, o, o_kind, o_type, true as by_file from quads",
     "import_stream": f"{WQ} select * from quads",
@@ -696,9 +703,18 @@ ORACLES: dict[str, str] = {
         'Dropdown' as field_type, 'URI' as value_kind, position from files where browse or disambiguate""",
     "read_authority": """select distinct 'publishers' as kind, c_mktsegment || ', Ltd' as label
         from customer union all select 'people', c_name from customer where c_custkey % 2 = 0""",
+    "request_verdicts": """select event_id, ts, user_id, event_type, day, n_requests, n_requests > 3 as blocked from (
+        select *, cast(ts as date) as day, count(*) filter (where event_type in ('purchase', 'signup')) over (
+          partition by user_id, cast(ts as date) order by ts, event_id rows unbounded preceding) as n_requests
+        from events)""",
     "daily_quota": f"""select cast(user_id as varchar) as client, cast(ts as date) as day,
         count(*) as n_requests, count(*) > {QUOTA} as blocked from events group by 1, 2""",
 }
+ORACLES |= {f"stored_{name}": ORACLES[of] for name, of in (
+    ("suggest_topk", "suggest_topk"), ("prior_records", "prior_records"), ("search_title", "search_title"),
+    ("search_label", "search_label"), ("label_search", "label_search_batch"), ("records_page", "records_page"),
+    ("records_page_published", "records_page_published"), ("back_links", "back_links"))}
+ORACLES["bucket_upserts"] = ORACLES["upsert_records"]
 ORACLES["daily_quota_stream"] = ORACLES["quota_log"] = ORACLES["daily_quota"]
 
 # The same questions to the catalogue out of a dump.

@@ -17,7 +17,7 @@ from stemma.operators import (analytics as A, browse as Q, lifecycle as L, resol
 from stemma.operators.ris import to_ris
 from stemma.plans.catalog import Catalog, from_quads
 from stemma.plans.durable import new_path, written
-from stemma.sources import adapter, batch as batches, exports, nquads, templates
+from stemma.sources import adapter, batch as batches, buckets, exports, nquads, pages, postings, templates
 from stemma.streaming import imports, quota
 
 CREATOR = "curator@example.org"
@@ -137,6 +137,25 @@ def back_links(spark, sf):
     return Q.back_links(cat, cat.labels_of("person"), offset=10)
 
 
+@query
+def stored_records_page(spark, sf):
+    table = pages.build_records(adapter.catalog(spark, sf), new_path(spark, "pages"), 16)
+    return table.page(2, listing="all").drop("listing")
+
+
+@query
+def stored_records_page_published(spark, sf):
+    table = pages.build_records(adapter.catalog(spark, sf), new_path(spark, "pages"), 16)
+    return table.page(3, listing=M.PUBLISHED).drop("listing")
+
+
+@query
+def stored_back_links(spark, sf):
+    cat = adapter.catalog(spark, sf)
+    table = pages.build_back_links(cat, new_path(spark, "pages"), 16)
+    return table.pages(cat.labels_of("person"), 10, M.BACK_LINK_PAGE).select("uri", "rank", "subject", "label")
+
+
 # ---- search --------------------------------------------------------------
 
 on_catalog("search_title", S.search_title, "Red wid")
@@ -186,6 +205,48 @@ def prior_records(spark, sf):
     return S.prior_records(adapter.catalog(spark, sf), titles, M.ARTICLE)
 
 
+def _index(spark, cat) -> postings.Postings:
+    """All labels stored as postings in two batches, people in the second."""
+    labels = postings.catalog_labels(cat)
+    index = postings.build(labels.filter("kind <> 'person'"), new_path(spark, "postings"), 16)
+    index.add(labels.filter("kind = 'person'"), 1)
+    return index
+
+
+@query
+def stored_suggest_topk(spark, sf):
+    return postings.suggest(_index(spark, adapter.catalog(spark, sf)), _typed_text(spark, sf))
+
+
+@query
+def stored_prior_records(spark, sf):
+    cat = adapter.catalog(spark, sf)
+    titles = adapter.table(spark, sf, "part").select(F.col("p_name").alias("query"))
+    return postings.prior_records(_index(spark, cat), titles, cat.types, M.ARTICLE)
+
+
+@query
+def stored_search_title(spark, sf):
+    return postings.search_title(_index(spark, adapter.catalog(spark, sf)), "red wid")
+
+
+@query
+def stored_search_label(spark, sf):
+    cat = adapter.catalog(spark, sf)
+    return postings.search_label(_index(spark, cat), cat, "Supplier#000000012", ["author"])
+
+
+@query
+def stored_label_search(spark, sf):
+    """Benchmark passages and site names looked up in a stored index of all documents."""
+    docs = adapter.table(spark, sf, "documents").selectExpr(
+        "cast(doc_id as string) as uri", "text as label", "'document' as kind").filter("label is not null")
+    index = postings.build(docs, new_path(spark, "postings"), 16)
+    asked = adapter.table(spark, sf, "benchmark").select(F.col("text").alias("query")).unionByName(
+        _site_names(spark, sf).select(F.col("label").alias("query")))
+    return index.search(asked).select("query", "uri", "score")
+
+
 def _site_names(spark, sf):
     return adapter.table(spark, sf, "pages").select(F.regexp_extract(
         "url", r"//(?:[a-z]+\.)?([a-z]+)\.example\.", 1).alias("label")).filter(
@@ -522,20 +583,61 @@ def record_creators(spark, sf):
     return L.record_creators(adapter.catalog(spark, sf).quads())
 
 
+def _new_articles(cat, *facts):
+    """A class and a new title for each article, and other (p, o, o_type) expressions."""
+    typed = cat.types.filter(F.col("class") == M.ARTICLE)
+    told = [(M.RDF_TYPE, "class", "uri", None), (M.DCT_TITLE, "concat('New ', work)", "literal", None), *facts]
+    return typed.select(F.col("work").alias("s"), "g", F.inline(F.array(*[
+        F.struct(F.lit(p).alias("p"), F.expr(o).alias("o"), F.lit(kind).alias("o_kind"),
+                 F.lit(o_type).cast("string").alias("o_type")) for p, o, kind, o_type in told])))
+
+
 @query
 def upsert_records(spark, sf):
     """Articles published again with new content; all quads afterwards."""
     cat = adapter.catalog(spark, sf)
     quads = written(cat.quads(), "upsert")
-    typed = cat.types.filter(F.col("class") == M.ARTICLE)
-    new = typed.select(
-        F.col("work").alias("s"), "g", F.inline(F.array(
-            F.struct(F.lit(M.RDF_TYPE).alias("p"), F.col("class").alias("o"),
-                     F.lit("uri").alias("o_kind"), F.lit(None).cast("string").alias("o_type")),
-            F.struct(F.lit(M.DCT_TITLE).alias("p"), F.concat(F.lit("New "), F.col("work")).alias("o"),
-                     F.lit("literal").alias("o_kind"),
-                     F.lit(None).cast("string").alias("o_type")))))
-    return L.upsert_records(quads, new, M.PUBLISHED, CREATOR, MOMENT)
+    return L.upsert_records(quads, _new_articles(cat), M.PUBLISHED, CREATOR, MOMENT)
+
+
+@query
+def bucket_upserts(spark, sf):
+    """The same on stored buckets: all quads of the new version."""
+    cat = adapter.catalog(spark, sf)
+    store = buckets.create(cat.quads(), new_path(spark, "buckets"), 64)
+    return buckets.upsert_records(store, _new_articles(cat), M.PUBLISHED, CREATOR, MOMENT).quads()
+
+
+@query
+def bucket_deletes(spark, sf):
+    """Reports deleted from stored buckets, then drafts cleared."""
+    store = buckets.create(adapter.catalog(spark, sf).quads(), new_path(spark, "buckets"), 64)
+    store = buckets.delete_records(store, _graphs(spark, sf, "o_orderpriority = '5-LOW'"))
+    return buckets.clear_graphs(store, _graphs(spark, sf, "o_orderstatus = 'P'")).quads()
+
+
+@query
+def import_upserts(spark, sf):
+    """Records streamed into stored buckets: all, earlier versions of all, later versions of articles.
+
+    The three come mixed, and some twice; the last version of each stays.
+    """
+    folder = new_path(spark, "upserts")
+    cat = adapter.catalog(spark, sf)
+    quads = cat.quads()
+    later = _new_articles(cat)
+    moments = [(quads, None), (later, "2030-01-01T00:00:00"), (quads, "1900-01-01T00:00:00"), (later, "2030-01-01T00:00:00")]
+    for k, (rows, moment) in enumerate(moments):
+        rows = rows.select(*M.QUAD_COLUMNS)
+        if moment:
+            rows = rows.filter(F.col("p") != M.GENERATED_AT).unionByName(T.quad_facts(rows.select("g").distinct(), [
+                T.quad_fact("g", M.GENERATED_AT, f"'{moment}'", o_type=M.XSD_DATETIME)]))
+        # Each record stands in one file as a whole.
+        nquads.nquads_lines(rows.repartition(4, "g")).write.mode("append").text(f"{folder}/inbox")
+    buckets.create(spark.createDataFrame([], M.QUAD), f"{folder}/store", 64)
+    imports.run_upserts(spark, f"{folder}/inbox", f"{folder}/store", f"{folder}/checkpoint",
+                        files_per_batch=6).awaitTermination()
+    return buckets.current(spark, f"{folder}/store").quads().filter(F.col("g") != M.VOCAB_GRAPH)
 
 
 @query
@@ -714,6 +816,13 @@ def daily_quota(spark, sf):
     return quota.daily_quota(adapter.table(spark, sf, "events"), QUOTA, "user_id")
 
 
+@query
+def request_verdicts(spark, sf):
+    """Each event judged by its client's purchases and sign-ups of the day so far."""
+    events = adapter.table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
+    return quota.request_verdicts(events, 3, "user_id", "event_type in ('purchase', 'signup')", ("ts", "event_id"), 16)
+
+
 @query
 def daily_quota_stream(spark, sf):
     """The event file read as a stream; the last update of each client and day."""

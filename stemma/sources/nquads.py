@@ -9,8 +9,9 @@ from stemma import model as M
 # Escapes of literal text.
 ESCAPES = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),
            ("\b", "\\b"), ("\f", "\\f")]
-# Escaped backslashes and quotes while a line is matched; noncharacters, which no text holds.
-_SLASH, _QUOTE, _CUT = "﷐", "﷑", "﷒"
+# Escaped backslashes and quotes, and the ends of terms, while a line is matched. The three are
+# noncharacters; a text that holds them has them as numeric escapes meanwhile.
+_SLASH, _QUOTE, _CUT = _MARKS = "\uFDD0", "\uFDD1", "\uFDD2"
 _BLANK = r"_:[A-Za-z0-9_]++(?:[.-]++[A-Za-z0-9_]++)*+"
 # Subject, property, object term, literal's type or language, graph, literal. No part repeats
 # a group, so a literal of any length is matched without recursion.
@@ -41,6 +42,25 @@ def _unescape(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit(_QUOTE), F.lit('"')), F.lit(_SLASH), F.lit("\\"))
 
 
+def _held(x: Column) -> Column:
+    """The three marks as numeric escapes."""
+    for mark in _MARKS:
+        x = F.replace(x, F.lit(mark), F.lit(f"\\u{ord(mark):04X}"))
+    return x
+
+
+def _aside(x: Column) -> Column:
+    """Numeric escapes of the marks, of either case, as two characters that no part of a statement holds."""
+    return F.when(F.contains(F.lower(x), F.lit("\\ufdd")), F.regexp_replace(
+        x, r"\\u[Ff][Dd][Dd]([0-2])", _CUT + "$1")).otherwise(x)
+
+
+def _restored(x: Column) -> Column:
+    for k, mark in enumerate(_MARKS):
+        x = F.replace(x, F.lit(f"{_CUT}{k}"), F.lit(mark))
+    return x
+
+
 def nquads_lines(quads: DataFrame) -> DataFrame:
     def iri(c):
         return F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(
@@ -60,32 +80,33 @@ def write_nquads(quads: DataFrame, path: str) -> None:
 
 def _matched(lines: DataFrame) -> DataFrame:
     """`lines` with the array `part`: the terms of a statement, or one element where there is none."""
-    held = F.replace(F.replace(F.col("value"), F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    held = F.replace(F.replace(_held(F.col("value")), F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
     shape = _CUT.join(["$1", "$2", "$3", "$5", "$6", "$4"])
     return lines.withColumn("part", F.split(F.regexp_replace(held, LINE, shape), _CUT, -1))
 
 
-def parse_nquads(lines: DataFrame, graph: str | None = None) -> DataFrame:
+def parse_nquads(lines: DataFrame, graph: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Quads of text lines (column value), each matched once.
 
     A language tag is kept as an o_type that starts with '@', a blank node as a URI that
     starts with '_:', a statement without graph has a null g. Where a column `graph` is
-    named, it is the graph of all. `rejected_lines` has what is no statement.
+    named, it is the graph of all. Columns of `keep` are passed on. `rejected_lines` has what is no
+    statement.
     """
     def part(i):
         return F.col("part")[i]
 
     def term(i):
-        return F.when(part(i) != "", F.regexp_replace(part(i), r"^<|>$", ""))
+        return F.when(part(i) != "", _restored(_aside(F.regexp_replace(part(i), r"^<|>$", ""))))
 
     rows = _matched(lines).filter(F.size("part") == 6)
     is_uri = part(2) != ""
     return rows.select(
         term(0).alias("s"), term(1).alias("p"),
-        F.when(is_uri, term(2)).otherwise(_unescape(part(5))).alias("o"),
+        F.when(is_uri, term(2)).otherwise(_restored(_unescape(_aside(part(5))))).alias("o"),
         F.when(is_uri, F.lit("uri")).otherwise(F.lit("literal")).alias("o_kind"),
         F.when(part(3) != "", F.regexp_replace(part(3), r"^\^\^<|>$", "")).alias("o_type"),
-        (F.col(graph) if graph else term(4)).alias("g"))
+        (F.col(graph) if graph else term(4)).alias("g"), *(keep or []))
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:

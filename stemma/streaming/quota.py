@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stemma import model as M
 from stemma.functions.text import strip
+from stemma.plans.durable import written
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -27,6 +28,35 @@ def daily_quota(log: DataFrame, limit: int = M.DAILY_LIMIT, client: str = "ip")
     )
 
 
+def request_verdicts(log: DataFrame, limit: int = M.DAILY_LIMIT, client: str = "ip", counted: str = "request like 'POST%'",
+                     order: tuple[str, ...] = ("ts",), parts: int | None = None) -> DataFrame:
+    """All columns of `log` with day, n_requests and blocked: the verdict on each request as it came.
+
+    A request that `counted` tells (a POST) is logged before it is judged, so it counts itself and
+    all such requests of its client and day before it; any other (a GET) only looks at those. Blocked
+    is above the limit; no row is removed. `order` settles which came first. Clients compare by equality;
+    requests without a moment have a null day and are judged among themselves.
+
+    Rows are sorted into ranges of client, day and moment. Each range counts for itself, and the totals of the
+    ranges before are added: a client with most of all requests is spread over many ranges.
+    """
+    keys = ["_client", "day"]
+    rows = log.withColumns({"_client": F.col(client).cast("string"), "day": F.to_date("ts"),
+                            "_counts": F.coalesce(F.expr(counted), F.lit(False)).cast("long")})
+    dealt = rows.repartitionByRange(parts, *keys, *order) if parts else rows.repartitionByRange(*keys, *order)
+    placed = written(dealt.sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id())
+                     .withColumn("_nth", F.monotonically_increasing_id()), "requests")
+    inside = Window.partitionBy("_part", *keys).orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
+    told = placed.withColumn("_own", F.sum("_counts").over(inside))
+    totals = placed.groupBy("_part", *keys).agg(F.sum("_counts").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_part").alias("_p"), F.col("_client").alias("_c"), F.col("day").alias("_d"),
+                            F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    same = (F.col("_part") == F.col("_p")) & F.col("_client").eqNullSafe(F.col("_c")) & F.col("day").eqNullSafe(F.col("_d"))
+    n = F.col("_own") + F.col("_offset")
+    return told.join(offsets, same).select(*log.columns, "day", n.alias("n_requests"), (n > limit).alias("blocked"))
+
+
 def daily_quota_stream(log: DataFrame, limit: int = M.DAILY_LIMIT, client: str = "ip",
                        lateness: str = "1 day") -> DataFrame:
     """Streaming twin on a tumbling day; use output mode 'update'.

@@ -77,3 +77,15 @@ def test_standard_templates(spark):
            templates.standard_templates(spark).groupBy("template").count().collect()}
     assert got == {"article": 23, "book": 33, "book_chapter": 34, "doctoral_thesis": 11,
                    "journal_issue": 11, "report": 22}
+
+
+def test_noncharacters_in_literals_come_back(spark, tmp_path):
+    from stemma.sources import nquads
+    texts = ["a﷐b", "﷑", "x﷒y﷒", "\\ufdd0", "\\\\uFDD1 \\", 'quote " and ﷑"', "﷒0 ﷒1", "plain"]
+    quads = spark.createDataFrame([(f"urn:{i}", "urn:p", t, "literal", None, "urn:g﷐/") for i, t in enumerate(texts)],
+                                  "s string, p string, o string, o_kind string, o_type string, g string")
+    nquads.write_nquads(quads, str(tmp_path / "dump"))
+    got = sorted((r.s, r.o, r.g) for r in nquads.read_nquads(spark, str(tmp_path / "dump")).collect())
+    assert got == [(f"urn:{i}", t, "urn:g﷐/") for i, t in enumerate(texts)]
+    lines = spark.createDataFrame([('<urn:s> <urn:p> "\\uFDD1 \\ufdd2 \\u0041" <urn:g> .',)], "value string")
+    assert nquads.parse_nquads(lines).first().o == "﷑ ﷒ A"

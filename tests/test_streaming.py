@@ -71,3 +71,24 @@ def test_import_stream_ignores_what_was_sent_before(spark, quads, tmp_path):
     more.write.mode("append").text(str(inbox))
     assert len(go()) == quads.distinct().count() + 1
     assert M.QUAD_COLUMNS == ["s", "p", "o", "o_kind", "o_type", "g"]
+
+
+def test_verdict_on_each_request(spark):
+    import random
+    rng = random.Random(1)
+    told = [(i, f"2024-01-0{rng.choice([1, 1, 1, 2])} {rng.randint(10, 23)}:00:00", rng.choice("aaaaaab"),
+             rng.choice(["POST /x", "GET /y"])) for i in range(300)]
+    told += [(300, None, "a", "POST"), (301, None, "a", "GET"), (302, "2024-01-01 10:00:00", None, "POST"),
+             (303, "2024-01-01 10:00:00", "a", None)]
+    rng.shuffle(told)
+    log = spark.createDataFrame(told, "n int, t string, ip string, request string").selectExpr(
+        "n", "cast(t as timestamp) as ts", "ip", "request")
+    for parts in (1, 13):
+        got = {r.n: (r.n_requests, r.blocked) for r in quota.request_verdicts(
+            log, 20, order=("ts", "n"), parts=parts).collect()}
+        seen, want = {}, {}
+        for n, t, ip, request in sorted(told, key=lambda r: (r[1] or "", r[0])):
+            key = (ip, t and t[:10])
+            seen[key] = seen.get(key, 0) + ((request or "").startswith("POST"))
+            want[n] = (seen[key], seen[key] > 20)
+        assert got == want and any(b for _, b in want.values())
