@@ -15,24 +15,50 @@ def counters(cat: Catalog, approximate: bool = False) -> DataFrame:
     Facts are reduced to distinct (counter, thing) pairs in one aggregation and
     then counted. `approximate` trades the pair shuffle for sketches.
     """
+    things = _things(cat)
+    if approximate:
+        counted = things.groupBy("counter").agg(F.approx_count_distinct("x").alias("n"))
+    else:
+        counted = things.distinct().groupBy("counter").agg(F.count("*").alias("n"))
+    return _one_row(counted)
+
+
+COUNTERS = ["n_authors", "n_publications", "n_languages", "n_publishers", "n_journals", "n_topics"]
+
+
+def _things(cat: Catalog) -> DataFrame:
+    """(counter, x) of all that the counters count, repeated ones too."""
     by_role = {"author": "n_authors", "language": "n_languages", "publisher": "n_publishers",
                "primary_subject": "n_topics", "subject": "n_topics"}
-    names = ["n_authors", "n_publications", "n_languages", "n_publishers", "n_journals",
-             "n_topics"]
     things = cat.links_of(*by_role).selectExpr(
         f"{choose('role', by_role)} as counter", "target as x")
     articles = cat.types.filter(F.col("class") == M.ARTICLE).select("work")
-    things = things.unionByName(
+    return things.unionByName(
         cat.types.select(F.lit("n_publications").alias("counter"), F.col("work").alias("x"))
     ).unionByName(
         cat.links_of("container").join(articles, "work", "left_semi")
         .select(F.lit("n_journals").alias("counter"), F.col("target").alias("x")))
-    if approximate:
-        counted = things.groupBy("counter").agg(F.approx_count_distinct("x").alias("n"))
-    else:
-        counted = things.distinct().groupBy("counter").agg(F.count("*").alias("n"))
+
+
+def _one_row(counted: DataFrame) -> DataFrame:
     return counted.agg(*[
-        F.expr(f"coalesce(sum(n) filter (where counter = '{n}'), 0)").alias(n) for n in names])
+        F.expr(f"coalesce(sum(n) filter (where counter = '{n}'), 0)").alias(n) for n in COUNTERS])
+
+
+SKETCH_BITS = 14       # sketches of 2^14 registers: a standard error of 0.8 %, 16 KB at most
+
+
+def counter_sketches(cat: Catalog) -> DataFrame:
+    """(counter, sketch): mergeable sketches of what each counter counts in one load.
+
+    Six rows of at most 2^SKETCH_BITS bytes, whatever the load; kept beside it, they answer for any set of loads.
+    """
+    return _things(cat).groupBy("counter").agg(F.hll_sketch_agg("x", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def sketched_counters(sketches: DataFrame) -> DataFrame:
+    """The counters of the union of loads, from their sketches alone; as `counters`, about."""
+    return _one_row(sketches.groupBy("counter").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n")))
 
 
 def _year_labels(counts: DataFrame, cat: Catalog, by: str) -> DataFrame:

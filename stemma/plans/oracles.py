@@ -710,6 +710,31 @@ ORACLES: dict[str, str] = {
     "daily_quota": f"""select cast(user_id as varchar) as client, cast(ts as date) as day,
         count(*) as n_requests, count(*) > {QUOTA} as blocked from events group by 1, 2""",
 }
+ORACLES |= {
+    "sketched_counters": f"select *, true as close from ({ORACLES['counters']})",
+    "delta_series": f"""{WL}, now as (
+          select work, class, y from works where class not in ('{M.ARTICLE}', '{M.REPORT}')
+          union all select work, class, '1999' from works where class = '{M.ARTICLE}'),
+        facts as (select 'publications' as series, '{V}' || y as year_uri, work as x from now
+          union all select case role when 'author' then 'authors' when 'publisher' then 'publishers'
+              when 'language' then 'languages' else 'topics' end, '{V}' || now.y, target
+            from links join now using (work)
+            where now.class <> '{M.ARTICLE}' and role in ('author', 'publisher', 'language', 'primary_subject', 'subject'))
+        select series, year_uri, count(distinct x) as count from facts group by series, year_uri""",
+    "similar_names": """with docs as (
+          select doc_id, regexp_extract(lower(text), '^([a-z]{4,20} [a-z]{4,20}) ', 1) as name from documents),
+        spelled as (
+          select case doc_id % 4 when 1 then substr(name, 2) when 2 then 'Dr. ' || name else name end as label
+            from docs where name <> ''
+          union all select name from docs where name <> ''),
+        labels as (select label, regexp_replace(lower(label), '[^a-z]', '', 'g') as key, count(*) as n from spelled group by 1, 2),
+        keys as (select key, arg_min(label, (-n, label)) as label, sum(n)::bigint as n from labels group by key)
+        select a.key as key_a, b.key as key_b, levenshtein(a.key, b.key)::int as distance, a.label as label_a, b.label as label_b,
+          a.n as n_rows_a, b.n as n_rows_b
+        from keys a join keys b on a.key < b.key
+          and 100 * (greatest(length(a.key), length(b.key)) - levenshtein(a.key, b.key))
+            >= 75 * greatest(length(a.key), length(b.key))""",
+}
 ORACLES |= {f"stored_{name}": ORACLES[of] for name, of in (
     ("suggest_topk", "suggest_topk"), ("prior_records", "prior_records"), ("search_title", "search_title"),
     ("search_label", "search_label"), ("label_search", "label_search_batch"), ("records_page", "records_page"),

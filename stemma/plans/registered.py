@@ -7,13 +7,14 @@ as misspelt names or broken labels are expressions over those tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stemma import model as M
 from stemma.functions import terms, text as X
 from stemma.operators import (analytics as A, browse as Q, lifecycle as L, resolve as E,
-                              search as S, transform as T, validate as V)
+                              search as S, series, transform as T, validate as V)
 from stemma.operators.ris import to_ris
 from stemma.plans.catalog import Catalog, from_quads
 from stemma.plans.durable import new_path, written
@@ -54,6 +55,40 @@ on_catalog("export_wide", A.export_wide)
 on_catalog("ris_export", to_ris)
 
 
+@query
+def sketched_counters(spark, sf):
+    """Counters of three loads of the records from their stored sketches, against the exact ones.
+
+    The sketches' standard error is 0.8 %; `close` says that all six are within 4 %.
+    """
+    cat = adapter.catalog(spark, sf)
+    quads = written(cat.quads(), "loads")
+    loads = [A.counter_sketches(from_quads(quads.filter(F.pmod(F.xxhash64("g"), F.lit(3)) == k))) for k in range(3)]
+    stored = written(reduce(DataFrame.unionByName, loads), "sketches")
+    both = A.counters(cat).withColumn("exact", F.lit(True)).unionByName(
+        A.sketched_counters(stored).withColumn("exact", F.lit(False)))
+    both = both.agg(*[F.max(F.when(F.col("exact"), F.col(c))).alias(c) for c in A.COUNTERS],
+                    *[F.max(F.when(~F.col("exact"), F.col(c))).alias(f"about_{c}") for c in A.COUNTERS])
+    close = " and ".join(f"abs(about_{c} - {c}) <= 0.04 * {c}" for c in A.COUNTERS)
+    return both.selectExpr(*A.COUNTERS, f"{close} as close")
+
+
+@query
+def delta_series(spark, sf):
+    """Yearly series after articles were replaced and reports deleted, from the changed records alone."""
+    cat = adapter.catalog(spark, sf)
+    quads = cat.quads()
+    state = written(series.references(cat), "series")
+    store = buckets.create(quads, new_path(spark, "buckets"), 64)
+    new = _new_articles(cat, (M.PUBLICATION_DATE, f"'{M.VOCAB}1999'", "uri", None))
+    after = buckets.upsert_records(store, new, M.PUBLISHED, CREATOR, MOMENT)
+    state = written(series.apply_changes(state, series.changes(store.graphs(new), after.graphs(new))), "series")
+    gone = _graphs(spark, sf, "o_orderpriority = '5-LOW'")
+    none = after.graphs(gone).filter(F.lit(False))
+    state = series.apply_changes(state, series.changes(after.graphs(gone), none))
+    return series.counts(state)
+
+
 @query
 def csv_export(spark, sf):
     path = new_path(spark, "csv")
@@ -315,6 +350,16 @@ def name_variants(spark, sf):
     return V.name_variants(lines.select(name.alias("name")))
 
 
+@query
+def similar_names(spark, sf):
+    """Names of documents, their first two words, and the same with a letter less or a title."""
+    docs = adapter.table(spark, sf, "documents").selectExpr(
+        "doc_id", "regexp_extract(lower(text), '^([a-z]{4,20} [a-z]{4,20}) ', 1) as name").filter("name <> ''")
+    spelled = docs.selectExpr("case doc_id % 4 when 1 then substr(name, 2) when 2 then 'Dr. ' || name "
+                              "else name end as name").unionByName(docs.select("name"))
+    return V.similar_names(spelled, percent=75)
+
+
 @query
 def drop_existing(spark, sf):
     rows = adapter.batch(spark, sf).withColumn(
