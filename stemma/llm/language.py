@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stemma.llm.arrays import parts, utf8
@@ -22,7 +21,7 @@ LANDMARKS = 48         # landmark documents of one language at most
 MARKS = 1024           # landmark documents of all languages, about; each has one at least, however many there are
 BATCH = 64             # documents of one matrix product
 SLICE = 4 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -113,7 +112,7 @@ def _added(table):
 
 
 def train(docs: DataFrame, learn) -> Model:
-    """Fits on at most PER_LANGUAGE documents of each language, those with the least id hash.
+    """Fits on at most PER_LANGUAGE documents of each language, those with the least id hash; equal rows are one.
 
     `learn` is a condition on rows. Every language is learned. Tasks make the presence vectors
     from whole texts, packed, 2 KB a document, and then the sums of the regression; the driver
@@ -136,8 +135,9 @@ def train(docs: DataFrame, learn) -> Model:
                                       names=["id", "lang", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "lang", "text").filter("text is not null")
-    sample = written(rows.join(chosen, ["id", "lang"]).mapInArrow(run, "id long, lang string, bits binary"),
-                     "language-sample")
+    # Rows may share an id, so the bound is kept once more on the vectors themselves.
+    sample = rows.join(chosen, ["id", "lang"]).mapInArrow(run, "id long, lang string, bits binary").distinct()
+    sample = written(least_hashed(sample, "lang", "id", PER_LANGUAGE, "bits"), "language-sample")
     counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:

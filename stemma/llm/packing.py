@@ -120,14 +120,15 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, keep_ids
     may be shorter. Null or empty text is a piece of one token. Rows with a null or repeated
     doc_id are documents of their own. An empty table packs to nothing.
 
-    Pieces are dealt by a hash into groups of about GROUP, however long the documents are,
+    Pieces are dealt by a hash into groups of about GROUP, however long or alike the documents are,
     and each group is packed by best two fit in one task. A group wastes part of its last
     sequence at most, one in thousands, and sequence numbers of groups never meet.
     """
     pieces = token_pieces(docs, path, size, end_id, keep_ids)
     pieces = written(pieces if keep_ids else pieces.drop("ids"), "pieces")
     groups = max(1, math.ceil(pieces.count() * (10 if keep_ids else 1) / GROUP))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(groups)))
+    # The row's place in its file deals equal rows too.
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)))
     names = pieces.columns
     schema = pieces.select(*names, F.lit(0).cast("long").alias("sequence_id"),
                            F.lit(0).cast("long").alias("offset")).schema

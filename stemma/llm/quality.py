@@ -156,7 +156,7 @@ def grade_of_labels():
 
 
 def train(docs: DataFrame, labels: DataFrame, grade, n_grades: int):
-    """Fits on at most PER_GRADE documents of each grade, those with the least id hash.
+    """Fits on at most PER_GRADE documents of each grade, those with the least id hash; equal rows are one.
 
     Their features are made by tasks from whole texts; the driver holds that bounded sample.
     """
@@ -165,13 +165,17 @@ def train(docs: DataFrame, labels: DataFrame, grade, n_grades: int):
     def run(batches):
         for batch in batches:
             buf, off = utf8(batch.column("text"))
-            row, feature = features(buf, off)
-            cut = np.searchsorted(row, np.arange(len(off))).astype(np.int32)
-            yield pa.record_batch([batch.column("grade"), pa.ListArray.from_arrays(
-                pa.array(cut), pa.array(feature.astype(np.int32)))], names=["grade", "features"])
+            for i, j in parts(off, SLICE):
+                row, feature = features(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                cut = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+                yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "grade")),
+                                       pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))],
+                                      names=["doc_id", "grade", "features"])
 
     sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rated, "doc_id")
-              .select("grade", "text").mapInArrow(run, "grade int, features array<int>").toArrow())
+              .select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features array<int>"))
+    # Rows may share an id, so the bound is kept once more on the rows themselves.
+    sample = least_hashed(sample.distinct(), "grade", "doc_id", PER_GRADE, "features").select("grade", "features").toArrow()
     grades = sample.column("grade").to_numpy()
     lists = sample.column("features").combine_chunks()
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()

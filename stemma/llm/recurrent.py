@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 16
-CLASSES = 32           # output classes, each of CLASSES words
-VOCABULARY = CLASSES * CLASSES
 END, UNKNOWN = 0, 1    # the first two of the vocabulary
+ROWS, WINDOW = 256, 16  # streams side by side in training, and steps of one backpropagation
+RATE = 0.15
 
 
 def _sigmoid(x):
@@ -22,20 +22,35 @@ def _log_softmax(x):
 class Recurrent:
     """Gated recurrent units with an output factored by classes.
 
-    P(word | state) = P(class | state) * P(word | class, state). Words are numbered by falling
-    frequency, and word // CLASSES is the class, so classes of frequent words come first.
+    P(word | state) = P(class | state) * P(word | class, state), with `classes` classes of as many
+    words. Words are numbered by falling frequency, and word // classes is the class, so classes
+    of frequent words come first.
     """
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, classes: int = 32, seed: int = 5):
         rng = np.random.default_rng(seed)
-        h = HIDDEN
+        h, c = HIDDEN, classes
+        self.classes = c
 
         def new(*shape):
             return (rng.normal(size=shape) * 0.1).astype(np.float32)
 
-        self.p = {"input": new(VOCABULARY, 3 * h), "gates": new(h, 2 * h), "state": new(h, h),
-                  "classes": new(h, CLASSES), "class_bias": np.zeros(CLASSES, np.float32),
-                  "words": new(CLASSES, h, CLASSES), "word_bias": np.zeros((CLASSES, CLASSES), np.float32)}
+        self.p = {"input": new(c * c, 3 * h), "gates": new(h, 2 * h), "state": new(h, h),
+                  "classes": new(h, c), "class_bias": np.zeros(c, np.float32),
+                  "words": new(c, h, c), "word_bias": np.zeros((c, c), np.float32)}
+        self.square = {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
+
+    def flat(self) -> np.ndarray:
+        """Weights and sums of squared gradients, end to end."""
+        return np.concatenate([x.ravel() for t in (self.p, self.square) for x in t.values()])
+
+    def load(self, flat: np.ndarray) -> Recurrent:
+        lo = 0
+        for t in (self.p, self.square):
+            for k, x in t.items():
+                t[k] = flat[lo:lo + x.size].astype(np.float32).reshape(x.shape)
+                lo += x.size
+        return self
 
     def step(self, x, s):
         """New state, and what training needs, from input words `x` and states `s`."""
@@ -48,41 +63,45 @@ class Recurrent:
 
     def outputs(self, states, y):
         """Log10 probabilities of the words `y` after `states`, class by class."""
-        p = self.p
-        k = y // CLASSES
+        p, classes = self.p, self.classes
+        k = y // classes
         out = np.empty(len(y))
         order = np.argsort(k, kind="stable")
-        cut = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        cut = np.searchsorted(k[order], np.arange(classes + 1))
         for lo in range(0, len(y), 1 << 16):
             at = slice(lo, lo + (1 << 16))
             logits = _log_softmax(states[at] @ p["classes"] + p["class_bias"])
             out[at] = logits[np.arange(len(logits)), k[at]]
-        for c in range(CLASSES):
+        for c in range(classes):
             at = order[cut[c]:cut[c + 1]]
             if len(at):
                 logits = _log_softmax(states[at] @ p["words"][c] + p["word_bias"][c])
-                out[at] += logits[np.arange(len(at)), y[at] % CLASSES]
+                out[at] += logits[np.arange(len(at)), y[at] % classes]
         return out / np.log(10)
 
-    def train(self, stream: np.ndarray, rounds: int = 3, rows: int = 32, window: int = 24, rate: float = 0.02):
-        """Truncated backpropagation over `window` steps; the state goes on from window to window."""
-        steps = (len(stream) - 1) // rows
-        if steps < 1:
+    def train(self, stream: np.ndarray, rows: int = ROWS, window: int = WINDOW) -> Recurrent:
+        """Truncated backpropagation over `window` steps; the state goes on from window to window.
+
+        The stream is laid out in `rows` rows, fewer where it is short, the last one filled up with
+        ends. One AdaGrad step a window.
+        """
+        if len(stream) < 2:
             return self
-        x = stream[:rows * steps].reshape(rows, steps).T
-        y = stream[1:rows * steps + 1].reshape(rows, steps).T
-        square = {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
-        for _ in range(rounds):
-            s = np.zeros((rows, HIDDEN), np.float32)
-            for lo in range(0, steps, window):
-                s, grad = self._window(x[lo:lo + window], y[lo:lo + window], s)
-                for k, g in grad.items():
-                    square[k] += g * g
-                    self.p[k] -= np.float32(rate * 5) * g / np.sqrt(square[k])
+        rows = max(1, min(rows, len(stream) // (2 * window)))
+        steps = -(-(len(stream) - 1) // rows)
+        full = np.full(rows * steps + 1, END, np.int64)
+        full[:len(stream)] = stream
+        x, y = full[:-1].reshape(rows, steps).T, full[1:].reshape(rows, steps).T
+        s = np.zeros((rows, HIDDEN), np.float32)
+        for lo in range(0, steps, window):
+            s, grad = self._window(x[lo:lo + window], y[lo:lo + window], s)
+            for k, g in grad.items():
+                self.square[k] += g * g
+                self.p[k] -= np.float32(RATE) * g / np.sqrt(self.square[k])
         return self
 
     def _window(self, x, y, s):
-        p, h = self.p, HIDDEN
+        p, h, classes = self.p, HIDDEN, self.classes
         kept, states = [], []
         for t in range(len(x)):
             s, memory = self.step(x[t], s)
@@ -90,18 +109,23 @@ class Recurrent:
             states.append(s)
         flat, target = np.concatenate(states), y.ravel()
         grad = {k: np.zeros_like(v) for k, v in p.items()}
-        k = target // CLASSES
+        order = np.argsort(target, kind="stable")          # by class, and by word in it
+        flat, target = flat[order], target[order]
+        k = target // classes
         d = np.exp(_log_softmax(flat @ p["classes"] + p["class_bias"]))
         d[np.arange(len(d)), k] -= 1
         grad["classes"], grad["class_bias"] = flat.T @ d, d.sum(0)
         back = d @ p["classes"].T
-        for c in np.unique(k):
-            at = np.flatnonzero(k == c)
+        cut = np.searchsorted(k, np.arange(classes + 1))
+        for c in np.flatnonzero(np.diff(cut)):
+            at = slice(cut[c], cut[c + 1])
             d = np.exp(_log_softmax(flat[at] @ p["words"][c] + p["word_bias"][c]))
-            d[np.arange(len(at)), target[at] % CLASSES] -= 1
+            d[np.arange(len(d)), target[at] % classes] -= 1
             grad["words"][c], grad["word_bias"][c] = flat[at].T @ d, d.sum(0)
             back[at] += d @ p["words"][c].T
-        back = back.reshape(len(x), -1, h) / np.float32(x.shape[1])
+        whole = np.empty_like(back)
+        whole[order] = back
+        back = whole.reshape(len(x), -1, h) / np.float32(x.shape[1])
         carry = np.zeros_like(s)
         d_in = np.zeros((len(x), x.shape[1], 3 * h), np.float32)
         for t in range(len(x) - 1, -1, -1):
@@ -115,7 +139,10 @@ class Recurrent:
             grad["gates"] += old.T @ dg
             d_in[t] = np.concatenate([dg, dc], axis=1)
             carry = d * (1 - z) + through * r + dg @ p["gates"].T
-        np.add.at(grad["input"], x.ravel(), d_in.reshape(-1, 3 * h))
+        word = x.ravel()
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(word[order]) > 0])
+        grad["input"][word[order][first]] = np.add.reduceat(d_in.reshape(-1, 3 * h)[order], first, axis=0)
         for k in ("classes", "class_bias", "words", "word_bias"):
             grad[k] /= x.shape[1]
         return s, grad

@@ -103,11 +103,10 @@ def _send(length, buckets):
         if shard >= 0:
             _, buf, off, _ = _text(table)
             entry, cut, _ = _entries(_blocks(buf, off, length)[3], buckets)
-            for k in range(buckets):
-                if cut[k + 1] > cut[k]:
-                    rows["bucket"].append(k)
-                    rows["shard"].append(shard)
-                    rows["data"].append(entry[cut[k]:cut[k + 1]].tobytes())
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                rows["bucket"].append(k)
+                rows["shard"].append(shard)
+                rows["data"].append(entry[cut[k]:cut[k + 1]].tobytes())
         return pa.table(rows, schema=_sent)
     return run
 
@@ -196,14 +195,13 @@ def _resolve(length, buckets):
                 bucket = (g % U64(buckets)).astype(np.int64)
                 order = np.lexsort((h, g, bucket))
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for k in range(buckets):
+                for k in np.flatnonzero(np.diff(cut)).tolist():
                     o = order[cut[k]:cut[k + 1]]
-                    if len(o):
-                        rows["bucket"].append(k)
-                        rows["shard"].append(shard)
-                        rows["data"].append(g[o].tobytes() + h[o].astype(np.uint32).tobytes()
-                                            + (h[o] >> U64(48)).astype(np.uint16).tobytes()
-                                            + at[o].astype(np.uint32).tobytes())
+                    rows["bucket"].append(k)
+                    rows["shard"].append(shard)
+                    rows["data"].append(g[o].tobytes() + h[o].astype(np.uint32).tobytes()
+                                        + (h[o] >> U64(48)).astype(np.uint16).tobytes()
+                                        + at[o].astype(np.uint32).tobytes())
         return pa.table(rows, schema=_sent)
     return run
 

@@ -6,17 +6,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from stemma.llm.arrays import Hasher, mix, utf8, word_spans
-from stemma.llm.recurrent import CLASSES, END, UNKNOWN, VOCABULARY, Recurrent
+from stemma.llm.recurrent import END, UNKNOWN, Recurrent
 from stemma.plans.durable import written
 
 U64 = np.uint64
 SHARD = 4_000_000      # bytes of text of one shard, about
 BUCKET = 16_000_000    # bytes of text whose words meet in one task, about
-SAMPLE = 400           # documents that the recurrent model is trained on at most, about
-SAMPLE_WORDS = 250_000  # and their words at most
+STREAM = 1 << 17       # words that a task trains on at a time, about; documents stay whole
+ROUNDS = (1, 2, 4, 8)  # eighths of the training documents that each round ends with
+CHUNK = 1 << 16        # numbers of a model that are averaged together
+SALTS = 256            # groups of models that are averaged first
 END_WORD = 0x51ED270B27A5F3C1
 
 _sent = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("data", pa.binary())])
@@ -53,12 +56,11 @@ def _count(buckets):
         word, at, entry = _distinct(words, buckets)
         count = np.bincount(entry[np.repeat(~held, np.diff(cut))], minlength=len(word))
         rows = {"bucket": [], "shard": [], "data": []}
-        for k in range(buckets):
-            if at[k + 1] > at[k]:
-                part = slice(at[k], at[k + 1])
-                rows["bucket"].append(k)
-                rows["shard"].append(shard)
-                rows["data"].append(word[part].tobytes() + count[part].astype(np.uint32).tobytes())
+        for k in np.flatnonzero(np.diff(at)).tolist():
+            part = slice(at[k], at[k + 1])
+            rows["bucket"].append(k)
+            rows["shard"].append(shard)
+            rows["data"].append(word[part].tobytes() + count[part].astype(np.uint32).tobytes())
         return pa.table(rows, schema=_sent)
     return run
 
@@ -67,7 +69,13 @@ _COUNTS = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("data", pa.
                      ("distinct", pa.int64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
 
 
-def _total(table):
+def _total(vocabulary: int):
+    def run(table):
+        return _summed(table, vocabulary)
+    return run
+
+
+def _summed(table, vocabulary):
     """Adds up the counts of a bucket and gives each shard the sums of its words, in its order.
 
     One more row, of shard -1, has the bucket's tokens, distinct words and most frequent words.
@@ -82,7 +90,7 @@ def _total(table):
     for w, _ in sent:
         back.append(total[entry[lo:lo + len(w)]].tobytes())
         lo += len(w)
-    top = np.lexsort((word, -total))[:VOCABULARY]
+    top = np.lexsort((word, -total))[:vocabulary]
     top = top[total[top] > 0]
     n, none = table.num_rows, [None]
     return pa.table({
@@ -101,6 +109,67 @@ def _numbers(words, known, number):
     return np.where(known[at] == words, number[at], UNKNOWN)
 
 
+def classes_for(n_bytes: int) -> int:
+    """Output classes of the model; their square, the vocabulary, grows with the text (1024 words at 170 MB)."""
+    return max(16, round(n_bytes ** 0.2 / 1.4))
+
+
+_MODEL = pa.schema([("chunk", pa.int32()), ("salt", pa.int32()), ("part", pa.int32()), ("tokens", pa.int64()),
+                    ("data", pa.binary())])
+_MODELS = "chunk int, salt int, part int, tokens long, data binary"
+
+
+def _averaged(table):
+    """The mean of a chunk over models, weighted by the words that each has seen."""
+    table = table.sort_by("part")
+    tokens = table.column("tokens").to_pylist()
+    total = sum(tokens)
+    mean = sum(np.frombuffer(x.as_py()) * (n / total) for x, n in zip(table.column("data"), tokens))
+    head = [table.column(c)[0].as_py() for c in ("chunk", "salt")]
+    return pa.table({"chunk": [head[0]], "salt": [head[1]], "part": [head[1]], "tokens": [total], "data": [mean.tobytes()]},
+                    schema=_MODEL)
+
+
+def train(docs: DataFrame, known: np.ndarray, number: np.ndarray, classes: int) -> Recurrent:
+    """The recurrent model after one pass over all rows of `docs` that are not held out.
+
+    Documents are dealt by id into rounds of growing size. In a round each task goes on from the model
+    of the last round over its own documents, whole ones end to end, and the tasks' models are averaged
+    in chunks; the driver holds one model.
+    """
+    model = Recurrent(classes)
+    eighth = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS[-1]))
+    for low, high in zip((0, *ROUNDS), ROUNDS):
+        def run(batches, start=model.flat()):
+            mine, waiting, n, seen = Recurrent(classes).load(start), [], 0, 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                _, words, cut, _ = _words(pa.Table.from_batches([batch]))
+                for a, b in zip(cut[:-1], cut[1:]):
+                    waiting.append(_numbers(words[a:b], known, number))
+                    n += b - a
+                    if n >= STREAM:
+                        mine.train(np.concatenate([[END], *waiting]))
+                        waiting, n, seen = [], 0, seen + n
+            if n:
+                mine.train(np.concatenate([[END], *waiting]))
+                seen += n
+            if seen:
+                flat, part = mine.flat().astype(np.float64), TaskContext.get().partitionId()
+                for k, lo in enumerate(range(0, len(flat), CHUNK)):
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([part % SALTS], pa.int32()),
+                                           pa.array([part], pa.int32()), pa.array([int(seen)]),
+                                           pa.array([flat[lo:lo + CHUNK].tobytes()], pa.binary())], schema=_MODEL)
+
+        part = docs.filter(~F.col("held_out")).filter((eighth >= low) & (eighth < high))
+        mean = (part.mapInArrow(run, _MODELS).groupBy("chunk", "salt").applyInArrow(_averaged, _MODELS)
+                .groupBy("chunk").applyInArrow(_averaged, _MODELS).toArrow().sort_by("chunk"))
+        if mean.num_rows:
+            model.load(np.frombuffer(b"".join(mean.column("data").to_pylist())))
+    return model
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                   ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -124,45 +193,34 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     Word counts cover all rows: shards send each distinct word once, buckets of words add up
     and answer each shard, and nothing larger than a shard or a bucket meets in a task. A word
-    in every document is one entry per shard. The vocabulary is the 1022 most frequent
-    words. The model is trained on the driver, on about SAMPLE documents, those with the least id
-    hash, of at most SAMPLE_WORDS words; it sees them whole and in windows of truncated
-    backpropagation. Scoring carries the state through each whole document.
+    in every document is one entry per shard. The vocabulary is that of the most frequent words, more of
+    them the more text there is (`classes_for`). The model is trained by the tasks on all documents that are
+    not held out, whole, in windows of truncated backpropagation (`train`). Scoring carries the state
+    through each whole document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", held_out())
-    n_bytes, n_train = docs.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    classes = classes_for(n_bytes or 0)
     shards = max(1, math.ceil((n_bytes or 0) / SHARD))
     buckets = max(1, math.ceil((n_bytes or 0) / BUCKET))
     by_shard = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(shards))).groupBy("shard")
     counts = (by_shard.applyInArrow(_count(buckets), _SENT).groupBy("bucket")
-              .applyInArrow(_total, "bucket long, shard long, data binary, tokens long, distinct long, "
+              .applyInArrow(_total(classes * classes), "bucket long, shard long, data binary, tokens long, distinct long, "
                                     "words array<long>, counts array<long>"))
     counts = written(counts, "word-counts")
     stats = counts.filter("shard = -1")
     tokens, kinds = stats.agg(F.sum("tokens"), F.sum("distinct")).first()
     tokens, kinds = tokens or 0, kinds or 0
     top = (stats.select(F.explode(F.arrays_zip("counts", "words")).alias("w")).select("w.*")
-           .filter(F.col("words") != F.lit(END_WORD)).orderBy(F.desc("counts"), "words").limit(VOCABULARY - 2).collect())
+           .filter(F.col("words") != F.lit(END_WORD)).orderBy(F.desc("counts"), "words").limit(classes * classes - 2).collect())
     ranked = np.array([END_WORD] + [r["words"] for r in top], np.int64).view(np.uint64)
     number = np.r_[END, np.arange(2, len(ranked) + 1)]
     order = np.argsort(ranked)
     known, number = ranked[order], number[order]
 
-    def some(batches):
-        for batch in batches:
-            _, words, cut, _ = _words(pa.Table.from_batches([batch]))
-            n = _numbers(words, known, number).astype(np.int32)
-            yield pa.record_batch([pa.array([n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-                                  names=["words"])
-
-    share = min(1.0, SAMPLE / max(n_train or 0, 1))
-    chosen = docs.filter(~F.col("held_out")).filter(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    lists = [np.frombuffer(r[0], np.int32) for r in chosen.mapInArrow(some, "words binary").limit(2 * SAMPLE).collect()]
-    lists = sorted(lists, key=lambda x: (mix(np.array([len(x)], np.uint64))[0], x.tobytes()))
-    stream = np.concatenate([[END], *lists])[:SAMPLE_WORDS].astype(np.int64)
-    model = Recurrent().train(stream)
+    model = train(docs, known, number, classes)
+    model.square = {}
     low = math.log10(tokens + kinds + 1)
 
     def run(table, replies):

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import sys
+import unicodedata
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -329,7 +330,7 @@ def test_language(docs, corpus, empty):
     got = language.identify(docs)
     assert got.count() == docs.count()
     for r in got.collect():
-        if not r.text or not re.search(r"[^\W\d_]", r.text):
+        if not any(unicodedata.category(c)[0] == "L" for c in r.text or ""):
             assert (r.lang_pred, r.score) == ("und", 0.0)
         else:
             assert r.lang_pred in ("en", "fr")
@@ -527,21 +528,99 @@ def test_scores(docs, corpus, empty):
 
 
 def test_recurrent_model_learns_and_sums_to_one():
-    from stemma.llm.recurrent import CLASSES, Recurrent
+    from stemma.llm.recurrent import Recurrent
     rng = np.random.default_rng(0)
     stream = np.tile([5, 9, 40, 2, 7], 600)
     model = Recurrent()
     words, cut = stream[:50], np.array([0, 30, 50])
     before = model.score(words, cut).sum()
-    model.train(stream)
+    for _ in range(5):
+        model.train(stream, rows=16)
     assert model.score(words, cut).sum() > before / 5
     state = rng.normal(size=(1, 16)).astype(np.float32)
-    every = np.arange(CLASSES * CLASSES)
+    every = np.arange(model.classes ** 2)
     assert abs((10 ** model.outputs(np.repeat(state, len(every), 0), every)).sum() - 1) < 1e-3
     alone = np.concatenate([model.score(words[a:b], np.array([0, b - a])) for a, b in zip(cut[:-1], cut[1:])])
     assert np.allclose(alone, model.score(words, cut), atol=1e-4)
 
 
+def test_model_of_all_documents(spark):
+    """Held-out perplexity is below the base's and falls with the size of the corpus."""
+    rng = random.Random(6)
+    follow = {f"w{k}": [f"w{(k * 7 + j) % 60}" for j in range(3)] for k in range(60)}
+
+    def text():
+        w = ["w0"]
+        for _ in range(80):
+            w.append(rng.choice(follow[w[-1]]))
+        return " ".join(w)
+
+    rows = [(i, text()) for i in range(4000)]
+    told = []
+    for n in (300, 4000):
+        out = scoring.score_documents(spark.createDataFrame(rows[:n], "doc_id long, text string").repartition(2))
+        held = [r for r in out.collect() if r.held_out and r.doc_id < 300]
+        told.append(sum(r.score for r in held) / sum(r.n_tokens for r in held))
+        assert told[-1] > sum(r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert told[1] > told[0] + 0.2
+    assert scoring.classes_for(10**9) > scoring.classes_for(10**8) > scoring.classes_for(0) == 16
+
+
+def test_scores_against_a_plain_forward_pass(spark, monkeypatch):
+    """Every word of every held-out document, one at a time, through the weights that training gave."""
+    kept = []
+    real = scoring.train
+    monkeypatch.setattr(scoring, "train", lambda *a: kept.append((real(*a), *a[1:3])) or kept[-1][0])
+    rows = [(i, f"one two {'three ' * (i % 5)}four x{i}") for i in range(60)]
+    out = {r.doc_id: r for r in scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    model, known, number = kept[0]
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    h, c = 16, model.classes
+    counts = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words_of(t), None])
+    low = sum(counts.values()) * 1 + len(counts) + 1
+    for i, t in rows:
+        table = scoring._words(__import__("pyarrow").table({"doc_id": [i], "held_out": [True], "text": [t]}))
+        ids = scoring._numbers(table[1], known, number).tolist()
+        s, last, total = np.zeros(h), 0, 0.0
+        for w, word in zip(ids, [*words_of(t), None]):
+            a = p["input"][last]
+            g = 1 / (1 + np.exp(-(a[:2 * h] + s @ p["gates"])))
+            s = s + g[h:] * (np.tanh(a[2 * h:] + (g[:h] * s) @ p["state"]) - s)
+            for logits, k in ((s @ p["classes"] + p["class_bias"], w // c), (s @ p["words"][w // c] + p["word_bias"][w // c], w % c)):
+                total += (logits[k] - np.log(np.exp(logits).sum())) / np.log(10)
+            if w == 1:
+                total += math.log10((counts[word] + 1) / low)
+            last = w
+        assert abs(out[i].score - total) < 1e-3
+
+
+def test_samples_stay_bounded_where_ids_repeat(spark, monkeypatch):
+    """Many rows of a few ids: as many are fitted as the bound says, and equal ones once."""
+    monkeypatch.setattr(quality, "PER_GRADE", 10)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, grades, n: seen.append(len(rows)) or (
+        np.zeros(quality.SIZE), np.array([-1.0, 1.0])))
+    docs = spark.createDataFrame([(i % 3, f"word{i % 500} and more") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.rate(docs, labels).count() == 3000 and seen == [30]
+    monkeypatch.setattr(language, "PER_LANGUAGE", 10)
+    sums = []
+    real = language.Model.solve
+    monkeypatch.setattr(language.Model, "solve", lambda self, square, of, share: sums.append(square[-1, -1]) or real(
+        self, square, of, share))
+    told = docs.selectExpr("doc_id + 4 as doc_id", "text", "'en' as lang")
+    assert language.identify(told).count() == 3000
+    assert sums and sums[0] <= 10
+
+
+def test_equal_rows_are_dealt_to_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 100)
+    docs = spark.createDataFrame([(1, "same text")] * 1000, "doc_id long, text string")
+    got = packing.pack(docs, BPE, 64).collect()
+    groups = Counter(r.sequence_id >> 40 for r in got)
+    assert len(got) == 1000 and len(groups) == 10 and max(groups.values()) < 200
+
+
 def phrase_ends(text):
     known, out, i = set(), [], 0
     while i < len(text):
