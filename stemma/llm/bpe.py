@@ -89,6 +89,11 @@ class Coder:
             return array("I", self.fast.encode_ordinary(word)).tobytes()
         return self.raw(word)
 
+    def forget(self) -> None:
+        """Empties the memories of words and chunks."""
+        self.words.clear()
+        self.chunks.clear()
+
     def raw(self, text: str) -> bytes:
         return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stemma.llm.arrays import parts, utf8
+from stemma.llm.arrays import parts, release, utf8
 from stemma.llm.near import SMALL
 from stemma.llm.sample import least_hashed
 from stemma.llm.suffix import words8
@@ -216,5 +216,6 @@ def identify(docs: DataFrame) -> DataFrame:
                     part = batch.slice(i, j - i)
                     yield pa.record_batch([*part.columns, pa.array(lang.tolist(), pa.string()), pa.array(best)],
                                           names=[*part.schema.names, "lang_pred", "score"])
+        release()
 
     return docs.mapInArrow(run, schema)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stemma.llm.arrays import release
 from stemma.llm.bpe import coder
 from stemma.plans.durable import written
 
@@ -107,6 +108,8 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int = 0, keep_id
             yield pa.record_batch([batch.column("doc_id").take(pa.array(rows[0], pa.int64())),
                                    *(pa.array(r, f.type) for r, f in zip(rows[1:], list(_PIECE)[1:5])),
                                    pa.array(kept, pa.binary())], schema=_PIECE)
+        tool.forget()
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 

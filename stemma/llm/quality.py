@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stemma.llm.arrays import Hasher, mix, parts, utf8, word_spans
+from stemma.llm.arrays import Hasher, mix, parts, release, utf8, word_spans
 from stemma.llm.sample import least_hashed
 
 U64 = np.uint64
@@ -171,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, grade, n_grades: int):
                 yield pa.record_batch([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "grade")),
                                        pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))],
                                       names=["doc_id", "grade", "features"])
+        release()
 
     sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(rated, "doc_id")
               .select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features array<int>"))
@@ -220,5 +221,6 @@ def rate(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
                                        pa.array(np.where(words, above[:, -1], 0.0)),
                                        pa.array(words & (above[:, -1] >= least))],
                                       names=[*part.schema.names, "expected_grade", "tail_probability", "kept"])
+        release()
 
     return docs.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from stemma.llm.arrays import Hasher, mix, utf8
+from stemma.llm.arrays import Hasher, mix, release, utf8
 from stemma.llm.ranges import bounds_of, range_number
 from stemma.llm.suffix import repeated, words8
 
@@ -277,6 +277,15 @@ def _apply(length, texts):
     return run
 
 
+def _then_release(run):
+    """`run` over a pair of groups, and then what it has freed goes back to the system."""
+    def go(table, other):
+        out = run(table, other)
+        release()
+        return out
+    return go
+
+
 def _shards(docs: DataFrame, length: int, texts: bool, schema) -> DataFrame:
     total, bounds = bounds_of(docs, SHARD)
     buckets = max(1, math.ceil(total / BUCKET))
@@ -285,9 +294,9 @@ def _shards(docs: DataFrame, length: int, texts: bool, schema) -> DataFrame:
     by_shard = dealt.groupBy("shard")
     sent = by_shard.applyInArrow(_send(length, buckets), _SENT)
     known = sent.groupBy("bucket").applyInArrow(_merge_blocks, "shard long, bucket long, data binary")
-    left = by_shard.cogroup(known.groupBy("shard")).applyInArrow(_resolve(length, buckets), _SENT)
+    left = by_shard.cogroup(known.groupBy("shard")).applyInArrow(_then_release(_resolve(length, buckets)), _SENT)
     marks = left.groupBy("bucket").applyInArrow(_merge_strings, "shard long, data binary")
-    return by_shard.cogroup(marks.groupBy("shard")).applyInArrow(_apply(length, texts), schema)
+    return by_shard.cogroup(marks.groupBy("shard")).applyInArrow(_then_release(_apply(length, texts)), schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
