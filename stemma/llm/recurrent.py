@@ -6,7 +6,7 @@ import numpy as np
 
 HIDDEN = 16
 END, UNKNOWN = 0, 1    # the first two of the vocabulary
-ROWS, WINDOW = 256, 16  # streams side by side in training, and steps of one backpropagation
+ROWS, WINDOW = 512, 16  # streams side by side in training, and steps of one backpropagation
 RATE = 0.15
 
 
@@ -14,9 +14,19 @@ def _sigmoid(x):
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
 
-def _log_softmax(x):
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _softmax(x):
+    x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=-1, keepdims=True)
+    return x
+
+
+def _log_share(x, k):
+    """Logarithm of the softmax of each row at its place `k`."""
+    x -= x.max(axis=-1, keepdims=True)
+    own = x[np.arange(len(x)), k]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=-1))
 
 
 class Recurrent:
@@ -70,24 +80,22 @@ class Recurrent:
         cut = np.searchsorted(k[order], np.arange(classes + 1))
         for lo in range(0, len(y), 1 << 16):
             at = slice(lo, lo + (1 << 16))
-            logits = _log_softmax(states[at] @ p["classes"] + p["class_bias"])
-            out[at] = logits[np.arange(len(logits)), k[at]]
+            out[at] = _log_share(states[at] @ p["classes"] + p["class_bias"], k[at])
         for c in range(classes):
             at = order[cut[c]:cut[c + 1]]
             if len(at):
-                logits = _log_softmax(states[at] @ p["words"][c] + p["word_bias"][c])
-                out[at] += logits[np.arange(len(at)), y[at] % classes]
+                out[at] += _log_share(states[at] @ p["words"][c] + p["word_bias"][c], y[at] % classes)
         return out / np.log(10)
 
     def train(self, stream: np.ndarray, rows: int = ROWS, window: int = WINDOW) -> Recurrent:
         """Truncated backpropagation over `window` steps; the state goes on from window to window.
 
-        The stream is laid out in `rows` rows, fewer where it is short, the last one filled up with
+        The stream is laid out in `rows` rows, fewer where that gives under 32 windows, the last one filled up with
         ends. One AdaGrad step a window.
         """
         if len(stream) < 2:
             return self
-        rows = max(1, min(rows, len(stream) // (2 * window)))
+        rows = max(1, min(rows, len(stream) // (32 * window)))
         steps = -(-(len(stream) - 1) // rows)
         full = np.full(rows * steps + 1, END, np.int64)
         full[:len(stream)] = stream
@@ -112,14 +120,14 @@ class Recurrent:
         order = np.argsort(target, kind="stable")          # by class, and by word in it
         flat, target = flat[order], target[order]
         k = target // classes
-        d = np.exp(_log_softmax(flat @ p["classes"] + p["class_bias"]))
+        d = _softmax(flat @ p["classes"] + p["class_bias"])
         d[np.arange(len(d)), k] -= 1
         grad["classes"], grad["class_bias"] = flat.T @ d, d.sum(0)
         back = d @ p["classes"].T
         cut = np.searchsorted(k, np.arange(classes + 1))
         for c in np.flatnonzero(np.diff(cut)):
             at = slice(cut[c], cut[c + 1])
-            d = np.exp(_log_softmax(flat[at] @ p["words"][c] + p["word_bias"][c]))
+            d = _softmax(flat[at] @ p["words"][c] + p["word_bias"][c])
             d[np.arange(len(d)), target[at] % classes] -= 1
             grad["words"][c], grad["word_bias"][c] = flat[at].T @ d, d.sum(0)
             back[at] += d @ p["words"][c].T

@@ -14,9 +14,9 @@ from stemma.llm.recurrent import END, UNKNOWN, Recurrent
 from stemma.plans.durable import written
 
 U64 = np.uint64
-SHARD = 4_000_000      # bytes of text of one shard, about
+SHARD = 8_000_000      # bytes of text of one shard, about
 BUCKET = 16_000_000    # bytes of text whose words meet in one task, about
-STREAM = 1 << 17       # words that a task trains on at a time, about; documents stay whole
+STREAM = 1 << 18       # words that a task trains on at a time, about; documents stay whole
 ROUNDS = (1, 2, 4, 8)  # eighths of the training documents that each round ends with
 CHUNK = 1 << 16        # numbers of a model that are averaged together
 SALTS = 256            # groups of models that are averaged first
