@@ -296,8 +296,10 @@ def facet_counts(cat: Catalog, roles: list[str], work_class: str | None = None)
                 .groupBy("role", "property", F.col("target").alias("value"))
                 .agg(F.min("label").alias("label"), F.count("*").alias("n_subjects"),
                      F.sum("n").alias("n_rows")).orderBy(*order))
+    # One exchange serves the distinct graphs of a pair and their count.
+    pairs = links.repartition("role", "property", "target", "work")
     counts = (
-        links.groupBy("role", "property", "target", "work").agg(F.countDistinct("g").alias("n"))
+        pairs.groupBy("role", "property", "target", "work").agg(F.countDistinct("g").alias("n"))
         .groupBy("role", "property", F.col("target").alias("value"))
         .agg(F.count("*").alias("n_subjects"), F.sum("n").alias("n_triples"))
     )

@@ -600,7 +600,8 @@ ORACLES: dict[str, str] = {
             when 'published' then {REPAIRED.format('bad')} else cit end, g from hurt""",
     "norm_year": f"""with {BATCH} select distinct year as raw, clean_year as year from batch""",
     "norm_doi": f"""with {BATCH} select id, clean_doi as doi,
-        case when clean_doi is not null then clean_doi end as as_written from batch""",
+        case cast(substr(id, 2) as bigint) % 3 when 0 then 'http://.org/' when 1 then 'https://dx..org/' else '' end
+          || clean_doi as as_written from batch""",
     "norm_link": f"""with {BATCH} select id, nullif(link, 'Not found') as link from batch""",
     "norm_title": f"""with {BATCH} select id, replace(trim(title), '"', '') as title from batch""",
     "norm_pages": f"""with {BATCH} select id, volume[2:len(volume) - 1] as volume, issue,
