@@ -89,3 +89,18 @@ def test_noncharacters_in_literals_come_back(spark, tmp_path):
     assert got == [(f"urn:{i}", t, "urn:g﷐/") for i, t in enumerate(texts)]
     lines = spark.createDataFrame([('<urn:s> <urn:p> "\\uFDD1 \\ufdd2 \\u0041" <urn:g> .',)], "value string")
     assert nquads.parse_nquads(lines).first().o == "﷑ ﷒ A"
+
+
+def test_dump_is_compressed_and_small_files(spark, quads, tmp_path, monkeypatch):
+    monkeypatch.setattr(nquads, "LINES_PER_FILE", 5)
+    nquads.write_nquads(quads.coalesce(1), str(tmp_path / "dump"))
+    parts = sorted((tmp_path / "dump").glob("part-*"))
+    assert len(parts) == -(-quads.count() // 5) and all(p.name.endswith(".gz") for p in parts)
+    assert rows(nquads.read_nquads(spark, str(tmp_path / "dump"))) == rows(quads)
+
+
+def test_names_of_compressed_records(spark, tmp_path):
+    import gzip
+    (tmp_path / "r1.nq.gz").write_bytes(gzip.compress(b'<urn:s> <urn:p> "o" .\n'))
+    (tmp_path / "r2.nq").write_text('<urn:s> <urn:p> "o" .\n')
+    assert {r.g for r in nquads.read_records(spark, str(tmp_path)).collect()} == {M.BASE + "r1/", M.BASE + "r2/"}
