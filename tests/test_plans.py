@@ -6,6 +6,7 @@ from conftest import SF, rows
 from pyspark.errors import AnalysisException
 
 import __spark_entry__ as entry
+from stemma import model as M
 from stemma.operators import analytics as A, browse as Q
 from stemma.plans.catalog import Catalog, from_quads
 from stemma.sources import adapter, store
@@ -106,3 +107,35 @@ def test_query_equals_its_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     assert sorted(got.columns) == columns
     assert rows(got, *columns) == want
+
+
+def test_record_quads_are_the_facts_of_the_facets(spark, tmp_path, monkeypatch):
+    """Repeated and missing keys, names of one URI, names that a type and a brand share."""
+    from datetime import date
+
+    from stemma.plans.catalog import to_quads
+
+    tables = {
+        "nation": ("n_nationkey int, n_name string", [(1, "Le Pays"), (2, "LE PAYS"), (3, None), (4, "Tin")]),
+        "customer": ("c_custkey long, c_name string, c_nationkey int, c_mktsegment string", [
+            (1, "C 1", 1, "Fur"), (1, "C one", 2, "FUR"), (2, None, 3, None), (3, "C 3", 9, "Fur"), (None, "C", 4, "Oil")]),
+        "supplier": ("s_suppkey long, s_name string", [(1, "S 1"), (1, "S one"), (2, None), (None, "S")]),
+        "part": ("p_partkey long, p_name string, p_type string, p_brand string", [
+            (1, "a b", "Tin", "tin"), (1, "a-b", "TIN", "Tin"), (2, None, None, "B#1"), (3, "c", "Pays", None)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate date, o_orderpriority string", [
+            (1, 1, "O", date(1999, 1, 2), "1-A"), (1, 1, "F", date(1999, 1, 2), "1-A"), (2, 2, "P", None, "9-?"),
+            (3, 3, None, date(1998, 1, 2), None), (4, None, "O", date(1998, 1, 2), "2-B"),
+            (None, 1, "F", date(1997, 1, 2), "3-C"), (None, 1, "F", date(1997, 1, 2), "3-C"), (5, 7, "F", date(1996, 1, 2), "4-D")]),
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int", [
+            (1, 1, 1, 1), (1, 1, 1, 1), (1, 3, 2, 2), (2, 2, 9, 3), (3, 9, None, 4), (4, 3, 1, 10), (None, 1, 1, 1),
+            (None, None, 2, 2), (7, 1, 1, 5)]),
+    }
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    cat = adapter.catalog(spark, str(tmp_path))
+    monkeypatch.setattr(adapter, "LINES_PER_PARTITION", 4)
+    got = cat.quads()
+    assert rows(got) == rows(to_quads(cat)) and got.columns == M.QUAD_COLUMNS
+    assert got.count() == got.distinct().count() > 100
+    # Each source table is read a few times, not once for each kind of fact.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 15
