@@ -2,6 +2,7 @@ import re
 from itertools import product
 
 from conftest import OLD, SF, rows
+from pyspark.sql import functions as F
 
 from stemma import model as M
 from stemma.operators import search as S
@@ -117,3 +118,26 @@ def test_document_search_against_brute_force(spark):
     got = {(q, u) for q, u, *_ in rows(S.label_search(ask, lab, long_texts=True))}
     sets = [(u, set(words(t))) for u, t in docs]
     assert got == {(q, u) for q in queries for u, t in sets if set(words(q)) <= t}
+
+
+def test_best_of_labels_that_very_many_share(spark):
+    """Equal to ranking every pair; but a label meets the queries with its k least entities only."""
+    labels = [(f"u{i:03}", "red ring") for i in range(200)] + [("u150", "a red ring"), ("u150", "red"), ("u199", "red")]
+    labels += [("u150", "red"), ("u001", "red ring"), ("u000", "blue")]
+    lab = spark.createDataFrame(labels, "uri string, label string")
+    ask = spark.createDataFrame([(q,) for q in ("red", "red ri", "ring re", "bl", "none")], "query string")
+    every = {}
+    for q, u, text, score in brute(["red", "red ri", "ring re", "bl", "none"], labels, True):
+        best, least = every.get((q, u), (0, "~"))
+        every[q, u] = max(best, score), min(least, text)
+    want = []
+    for q in {q for q, _ in every}:
+        found = sorted((-score, u, text) for (p, u), (score, text) in every.items() if p == q)[:4]
+        want += [(q, n, u, text, -score) for n, (score, u, text) in enumerate(found, 1)]
+    hits = S.label_hits(ask, lab, True)
+    owners = lab.select(F.col("label").alias("id"), "uri", "label")
+    got = S.best_per_query(hits, owners, 4)
+    assert sorted((*r[:4], round(r[4], 9)) for r in got.collect()) == sorted(want)
+    # "red ring" met 200 entities a query before.
+    kept = S.least_owners(hits, owners, 4).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert kept == 4
