@@ -4,10 +4,11 @@ import duckdb
 import pytest
 from conftest import SF, rows
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stemma import model as M
-from stemma.operators import analytics as A, browse as Q
+from stemma.operators import analytics as A, browse as Q, resolve as E, transform as T
 from stemma.plans.catalog import Catalog, from_quads
 from stemma.sources import adapter, store
 
@@ -38,6 +39,62 @@ def test_back_links_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(entry.queries()["back_links"](spark, SF))
 
 
+def test_label_update_leaves_other_quads_where_they_are(spark, monkeypatch):
+    from stemma.plans import registered
+    kept, write = {}, registered.written
+    monkeypatch.setattr(registered, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    entry.queries()["label_update"](spark, SF)
+    told = (F.col("p") == M.REFERENCED_BY) | ((F.col("p") == M.RDFS_LABEL) & (F.col("s") == F.col("g")))
+    assert kept["labels"].count() > 0 and kept["labels"].filter(~told).count() == 0
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_quads_of_rows_are_dealt_out_by_graph_only(spark, no_broadcast):
+    text = plan(entry.queries()["rows_to_quads"](spark, SF))
+    assert "Exchange hashpartitioning(g#" in text and "Exchange hashpartitioning(s#" not in text
+
+
+def test_sides_of_hot_joins_come_from_files(spark, no_broadcast):
+    """Spark splits hot partitions of a join only where neither side is an aggregation or another join."""
+    names = spark.createDataFrame([("people", "Doe, J.")], "kind string, label string")
+    known = spark.createDataFrame([("people", "Doe, J.", "urn:d")], "kind string, label string, uri string")
+    slots = spark.createDataFrame([("g", "w", "people", "author", 1, "p", "Doe, J.")],
+                                  "g string, work string, kind string, role string, ordinal int, property string, label string")
+    resolved = T.resolve_slots(slots, E.match_entities(names, known))
+    assert "Aggregate" not in plan(resolved) and rows(resolved, "target") == [("urn:d",)]
+    cat = adapter.catalog(spark, SF)
+    assert "min(label" not in plan(A.labelled_links(cat, "year", "primary_subject"))
+
+
+def test_labels_of_creators_are_distinct_before_they_are_dealt_out(spark, no_broadcast):
+    assert "LeftSemi" not in plan(entry.queries()["record_creators"](spark, SF))
+
+
+def test_pairs_of_links_are_dealt_out_once(spark, no_broadcast):
+    assert "hashpartitioning(uri" not in plan(Q.link_pairs(adapter.catalog(spark, SF)))
+
+
+def test_profile_deals_facts_out_once_and_counts_distinct_things(spark, no_broadcast):
+    links = spark.createDataFrame(
+        [("w1", "g", "r", "p", 1, "t1"), ("w1", "g", "r", "p", 2, "t1"), ("w1", "g", "r", "p", 1, "t2"),
+         ("w2", "g", "r", "p", 1, "t2"), ("w2", "g", "r", "p", 1, "t2"), ("w3", "g", "r", "p", 1, None), ("w9", "g", "r", "p", 1, "t9")],
+        "work string, g string, role string, property string, ordinal int, target string")
+    literals = spark.createDataFrame([("w1", "g", "q", "x"), ("w1", "g", "q", "x"), ("w3", "g", "n", None)],
+                                     "work string, g string, property string, value string")
+    types = spark.createDataFrame([("w1", "g", "C"), ("w1", "g", "C"), ("w1", "g", "D"), ("w2", "g", "C"), ("w3", "g", "C"), ("w4", "g", "C")],
+                                  "work string, g string, class string")
+    got = Q.data_profile(Catalog(types, links, literals, None, None))
+    assert "Expand" not in plan(got)
+    assert rows(got, "class", "property", "n_works", "n_values", "fill_rate") == [
+        ("C", "n", 1, 0, 0.25), ("C", "p", 3, 2, 0.75), ("C", "q", 1, 1, 0.25), ("D", "p", 1, 2, 1.0), ("D", "q", 1, 1, 1.0)]
+
+
 def test_quads_and_tables_agree(spark):
     direct = adapter.catalog(spark, SF)
     rebuilt = from_quads(direct.quads().cache())
