@@ -59,6 +59,19 @@ def test_a_word_of_a_megabyte_costs_no_square(spark, tmp_path):
         assert rows(got, "query", "uri") == [("w", "urn:long"), ("w", "urn:w"), ("wi", "urn:w"), ("www", "urn:long")]
 
 
+def test_owners_stay_where_they_are_and_a_text_is_indexed_once(spark, tmp_path):
+    labels = spark.createDataFrame([("urn:a", "old road", "k"), ("urn:a", "old road", "k"), ("urn:b", "old road", "k"),
+                                    ("urn:c", "new road", "k")], "uri string, label string, kind string").repartition(3)
+    index = postings.build(labels, str(tmp_path / "i"), 2)
+    assert not [*Path(tmp_path, "i", "owners").rglob("bucket=*")]
+    assert index._table("postings").filter("token = 'old'").count() == 1
+    index.add(labels.filter("uri = 'urn:a'"), 1)
+    asked_for = asked(spark, "old road", "road", "roa")
+    assert rows(index.search(asked_for), "query", "uri", "label", "score") == [
+        ("old road", "urn:a", "old road", 1.0), ("old road", "urn:b", "old road", 1.0),
+        ("road", "urn:a", "old road", 0.5), ("road", "urn:b", "old road", 0.5), ("road", "urn:c", "new road", 0.5)]
+
+
 # ---- pages -----------------------------------------------------------------
 
 def test_pages_of_records(spark, cat, tmp_path):
