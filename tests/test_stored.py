@@ -70,6 +70,9 @@ def test_owners_stay_where_they_are_and_a_text_is_indexed_once(spark, tmp_path):
     assert rows(index.search(asked_for), "query", "uri", "label", "score") == [
         ("old road", "urn:a", "old road", 1.0), ("old road", "urn:b", "old road", 1.0),
         ("road", "urn:a", "old road", 0.5), ("road", "urn:b", "old road", 0.5), ("road", "urn:c", "new road", 0.5)]
+    # Long labels are not read where nobody asks for them.
+    short = index.search(asked_for).select("query", "uri", "score")
+    assert short.count() == 5 and "label:string" not in short._jdf.queryExecution().toString()
 
 
 # ---- pages -----------------------------------------------------------------
