@@ -1,8 +1,10 @@
 from conftest import OLD, rows
+from pyspark.sql import functions as F
 
 from stemma import model as M
 from stemma.operators import analytics as A, browse as Q, resolve as E
 from stemma.operators.ris import to_ris
+from stemma.plans.catalog import Catalog, from_quads
 from stemma.sources import exports
 from stemma.sources.templates import standard_templates
 
@@ -74,6 +76,25 @@ def test_record_fields_and_view(spark, cat):
         ("No author (). Draft.", "Journal article", True)}
 
 
+def test_record_fields_of_several_works_in_a_graph(spark, quads):
+    """Each work of a graph has the fields of its own templates; a row that two of them tell comes once."""
+    g = M.BASE + "w1/"
+    more = [(M.BASE + "w1", M.RDF_TYPE, M.BOOK, "uri", None, g), (M.BASE + "part", M.RDF_TYPE, M.REPORT, "uri", None, g),
+            (M.BASE + "w1", M.ISBN, "978", "literal", None, g)]
+    both = from_quads(quads.unionByName(spark.createDataFrame(more, M.QUAD)))
+    twice = Catalog(both.types, both.links.unionByName(both.links), both.literals.unionByName(both.literals.withColumn(
+        "work", F.lit(M.BASE + "part"))), both.labels.unionByName(both.labels), both.state)
+    fields = standard_templates(spark)
+    got = rows(Q.record_fields(twice, fields).filter(F.col("g") == g), "template", "field_id", "value", "label")
+    assert len(got) == len(set(got))
+    told = {(t, v) for t, _, v, _ in got}
+    assert {t for t, v in told if v == "Zebra crossing"} == {"article", "book", "report"}
+    assert {t for t, v in told if v == "978"} == {"book", "report"}
+    assert {t for t, v in told if v == M.BASE + "j1"} == {"article"}
+    view = rows(Q.record_view(twice, fields).filter(F.col("g") == g), "class_name", "title")
+    assert set(view) == {("Book", "Doe, J. (2020). Zebra crossing.")}
+
+
 def test_describe_and_usage(spark, quads):
     names = spark.createDataFrame([("a2",), ("roads",), ("nothing",)], "name string")
     got = rows(Q.describe(quads, names), "name", "s", "p", "o")

@@ -72,6 +72,12 @@ def test_sides_of_hot_joins_come_from_files(spark, no_broadcast):
     assert "min(label" not in plan(A.labelled_links(cat, "year", "primary_subject"))
 
 
+def test_record_pages_deal_facts_out_by_graph_once(spark, no_broadcast):
+    text = plan(entry.queries()["record_view"](spark, SF))
+    assert text.count("Exchange hashpartitioning(g#") == 1
+    assert "Exchange hashpartitioning(work#" not in text and "Exchange hashpartitioning(property#" not in text
+
+
 def test_labels_of_creators_are_distinct_before_they_are_dealt_out(spark, no_broadcast):
     assert "LeftSemi" not in plan(entry.queries()["record_creators"](spark, SF))
 
