@@ -11,6 +11,7 @@ from stemma import model as M
 from stemma.operators import analytics as A, browse as Q, resolve as E, transform as T
 from stemma.plans.catalog import Catalog, from_quads
 from stemma.sources import adapter, store
+from stemma.sources.templates import standard_templates
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -78,6 +79,18 @@ def test_record_pages_deal_facts_out_by_graph_once(spark, no_broadcast):
     assert "Exchange hashpartitioning(work#" not in text and "Exchange hashpartitioning(property#" not in text
 
 
+def test_facets_and_fields_of_a_dump_need_no_distinct_tables(spark, quads, no_broadcast):
+    dump = from_quads(quads)
+    facets = Q.facet_counts(dump, ["author", "year", "container"])
+    fields = Q.record_fields(dump, standard_templates(spark))
+    for df in (facets, fields):
+        assert "Exchange hashpartitioning(uri#" not in plan(df) and "work#" not in "".join(
+            line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line and "role#" not in line)
+    again = from_quads(quads.unionByName(quads))
+    assert rows(Q.facet_counts(again, ["author", "year", "container"])) == rows(facets)
+    assert rows(Q.record_fields(again, standard_templates(spark))) == rows(fields)
+
+
 def test_labels_of_creators_are_distinct_before_they_are_dealt_out(spark, no_broadcast):
     assert "LeftSemi" not in plan(entry.queries()["record_creators"](spark, SF))
 
