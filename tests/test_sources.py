@@ -1,6 +1,7 @@
 import json
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from stemma import model as M
 from stemma.operators.browse import browse_filters
@@ -104,3 +105,21 @@ def test_names_of_compressed_records(spark, tmp_path):
     (tmp_path / "r1.nq.gz").write_bytes(gzip.compress(b'<urn:s> <urn:p> "o" .\n'))
     (tmp_path / "r2.nq").write_text('<urn:s> <urn:p> "o" .\n')
     assert {r.g for r in nquads.read_records(spark, str(tmp_path)).collect()} == {M.BASE + "r1/", M.BASE + "r2/"}
+
+
+def test_plain_lines_are_cut_and_not_matched(spark):
+    told = ['<a> <b> <c> <d> .', '<a> <b> "c" <d> .', '<a> <b> ""^^<t> <d> .', '<a> <b> "c"@en <d> .', '<a> <b> <c> .',
+            '<a> <b> "c"^^<t> .', '<a> <b> "x > y" <d> .', '<a> <b> "x"y" <d> .', '<a> <b> "< z > <y" <d> .', '_:a <b> _:c <d> .',
+            '<a b> <"> <c <> <d﷐> .', '<a> <b> "﷑﷒" <d> .', '<a> <b> "c\\n\\u0041" <d> .', '<\\u0041> <b> <c> <d> .',
+            '<a> <b> "c" <d> . # x', '<a> <b>  <c> <d> .', '<a> <b> "c" <d>', '<a> <b> "c" "d" <e> .', '<a> <b> "c"^^<t> "d" .',
+            '<a> <b> <c> <d> <e> .', '<> <> <> <> .', '> <b> <c> <d> .', '<a> x<b> <c> <d> .', '<a> <b> x"c" <d> .',
+            '<a> <b> "c"^^<t> x<d> .', '<a> <b> "c"^^ <d> .', '> > > > .', '>>>>', '', ' .', '<a> <b> " <c> <d> .']
+    lines = spark.createDataFrame([(i, line) for i, line in enumerate(told)] + [(99, None)], "i int, value string")
+    got = nquads.parse_nquads(lines, keep=["i"])
+    # A blank at the end says nothing, but such a line is matched as a whole.
+    want = nquads.parse_nquads(lines.selectExpr("i", "value || ' ' as value"), keep=["i"])
+    assert rows(got) == rows(want) and got.count() == 16
+    named = lines.withColumn("graph", F.lit("urn:g"))
+    assert rows(nquads.parse_nquads(named, "graph", ["i"])) == rows(want.withColumn("g", F.lit("urn:g")).select(*got.columns))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(replace(") == 1 and "CASE WHEN isnull(plain" in plan
