@@ -111,3 +111,16 @@ def test_similar_names_edges(spark):
     assert V.similar_names(none).count() == 0
     with pytest.raises(ValueError):
         V.similar_names(none, percent=50)
+
+
+def test_counters_of_quads_count_rows_as_stated(spark, quads):
+    """Counting makes things distinct itself, so no pass makes the links distinct before."""
+    from stemma.operators import analytics as A
+    from stemma.plans.catalog import from_quads
+
+    cat = from_quads(quads.unionByName(quads))
+    assert rows(A.counters(cat)) == rows(A.counters(from_quads(quads)))
+    told = A._things(cat)
+    assert "Aggregate" not in told._jdf.queryExecution().optimizedPlan().toString()
+    sketches = A.counter_sketches(cat)
+    assert rows(A.sketched_counters(sketches)) == rows(A.counters(cat))
